@@ -38,32 +38,8 @@ def _limb_masks(limb: Column, alphabet: Column) -> Column:
     return F.map_from_arrays(alphabet, masks)
 
 
-def _lcs_one_limb(short: Column, long: Column) -> Column:
-    def body(p):
-        start = F.shiftrightunsigned(F.lit(-1).cast("bigint"), 1)  # 63 ones
-        full = F.call_function(
-            "shiftrightunsigned", start, F.lit(63) - F.length(p["s"])
-        )
-
-        def run(masks):
-            common = F.filter(chars(F.reverse(p["l"])), lambda c: F.map_contains_key(masks, c))
-            left = F.aggregate(
-                common,
-                full,
-                lambda v, c: let(
-                    v.bitwiseAND(masks[c]),
-                    lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(full),
-                ),
-            )
-            return F.length(p["s"]) - F.bit_count(left)
-
-        return let(_limb_masks(p["s"], F.array_distinct(chars(p["s"]))), run)
-
-    return let(F.struct(short.alias("s"), long.alias("l")), body)
-
-
-def _lcs_many_limbs(short: Column, long: Column) -> Column:
-    """Same recurrence with a carry running from the last limb to the first."""
+def _lcs(short: Column, long: Column) -> Column:
+    """Bit-parallel recurrence; a carry runs from the low limb to the high ones."""
     def body(p):
         # limb 0 holds the last 62 characters, which are the low bits
         rev = F.reverse(p["s"])
@@ -119,9 +95,7 @@ def lcs_length(a: Column, b: Column) -> Column:
         )
         return let(
             ordered,
-            lambda q: F.when(F.length(q["s"]) == 0, F.lit(0))
-            .when(F.length(q["s"]) <= LIMB, _lcs_one_limb(q["s"], q["l"]))
-            .otherwise(_lcs_many_limbs(q["s"], q["l"])),
+            lambda q: F.when(F.length(q["s"]) == 0, F.lit(0)).otherwise(_lcs(q["s"], q["l"])),
         )
 
     return let(F.struct(a.alias("a"), b.alias("b")), body)
@@ -138,8 +112,14 @@ def ratio(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), body)
 
 
-def ratio_reaches(a: Column, b: Column, pct: int, strict: bool = False) -> Column:
-    """Whether ``ratio`` is at least (``strict``: above) ``pct`` percent."""
+def best_ratio(*pairs: tuple[Column, Column]) -> Column:
+    """Largest ratio of several pairs."""
+    each = F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in pairs])
+    return F.array_max(F.transform(each, lambda p: ratio(p["a"], p["b"])))
+
+
+def _settle(a: Column, b: Column, pct: int, strict: bool, equal, short, near, exact) -> Column:
+    """Decide "ratio at least pct" from the cheapest evidence that settles it."""
     def body(p):
         total = F.length(p["a"]) + F.length(p["b"])
         # insertions and deletions that may be spent
@@ -147,30 +127,41 @@ def ratio_reaches(a: Column, b: Column, pct: int, strict: bool = False) -> Colum
         budget = F.floor((slack - 1) / 100 if strict else slack / 100).cast("int")
 
         def decide(q):
-            d = F.call_function("levenshtein", p["a"], p["b"], q)
-            return (
-                F.when(F.abs(F.length(p["a"]) - F.length(p["b"])) > q, F.lit(False))
-                .otherwise(
-                    let(
-                        d,
-                        lambda e: F.when(e < 0, F.lit(False))
-                        .when(e * 2 <= q, F.lit(True))
-                        .otherwise(total - lcs_length(p["a"], p["b"]) * 2 <= q),
-                    )
+            edits = F.call_function("levenshtein", p["a"], p["b"], q)
+            return F.when(F.abs(F.length(p["a"]) - F.length(p["b"])) > q, short).otherwise(
+                let(
+                    edits,
+                    lambda e: F.when(e < 0, short)
+                    .when((e * 2 <= q) & F.lit(near is not None), near)
+                    .otherwise(let(lcs_length(p["a"], p["b"]), lambda n: exact(total, n, q))),
                 )
             )
 
-        return F.when(p["a"] == p["b"], F.lit(True)).otherwise(let(budget, decide))
+        return F.when(p["a"] == p["b"], equal).otherwise(let(budget, decide))
 
     return let(F.struct(a.alias("a"), b.alias("b")), body)
 
 
-def sort_words(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+def ratio_reaches(a: Column, b: Column, pct: int, strict: bool = False) -> Column:
+    """Whether ``ratio`` is at least (``strict``: above) ``pct`` percent."""
+    return _settle(
+        a, b, pct, strict, F.lit(True), F.lit(False), F.lit(True),
+        lambda total, n, budget: total - n * 2 <= budget,
+    )
+
+
+def ratio_from(a: Column, b: Column, pct: int) -> Column:
+    """``ratio`` where it is at least ``pct`` percent, otherwise 0."""
+    return _settle(
+        a, b, pct, False, F.lit(1.0), F.lit(0.0), None,
+        lambda total, n, budget: F.when(
+            total - n * 2 <= budget, n * F.lit(2.0) / total
+        ).otherwise(F.lit(0.0)),
+    )
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    return ratio(sort_words(a), sort_words(b))
+def sort_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(c, " ")), " ")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -188,7 +179,9 @@ def brand_similarity(a: Column, b: Column) -> Column:
         return (
             F.when((p["a"] == "") | (p["b"] == ""), F.lit(0.0))
             .when(p["a"] == p["b"], F.lit(1.0))
-            .otherwise(F.greatest(ratio(p["a"], p["b"]), token_sort_ratio(p["a"], p["b"])))
+            .otherwise(
+                best_ratio((p["a"], p["b"]), (sort_words(p["a"]), sort_words(p["b"])))
+            )
         )
 
     return let(F.struct(F.lower(norm(a)).alias("a"), F.lower(norm(b)).alias("b")), body)
@@ -202,9 +195,8 @@ def best_token_scores(app_tokens: Column, label_tokens: Column, pct: int) -> Col
         lambda t: F.aggregate(
             distinct,
             F.lit(0.0),
-            lambda best, w: F.when(
-                (best < 1.0) & ratio_reaches(t, w, pct), F.greatest(best, ratio(t, w))
-            ).otherwise(best),
+            lambda best, w: F.when(best < 1.0, F.greatest(best, ratio_from(t, w, pct)))
+            .otherwise(best),
         ),
     )
 
@@ -237,7 +229,7 @@ def smart_match(app: Column, label: Column, cfg: RuleConfig = DEFAULT) -> Column
                 _outcome(F.greatest(F.lit(0.88), worst * 0.95), "fuzzy_token"),
             ).otherwise(
                 _outcome(
-                    F.greatest(ratio(p["a"], p["b"]), token_sort_ratio(p["a"], p["b"])),
+                    best_ratio((p["a"], p["b"]), (sort_words(p["a"]), sort_words(p["b"]))),
                     "fuzzy_ratio",
                 )
             )
@@ -292,18 +284,18 @@ def confusable(a: Column, b: Column, cfg: RuleConfig = DEFAULT) -> Column:
             F.zip_with(chars(F.left(a_, n)), chars(F.left(b_, n)), lambda x, y: F.concat(x, y)),
             lambda xy: F.left(xy, F.lit(1)) != F.right(xy, F.lit(1)),
         )
-        close = F.when(gap <= 3, ratio_reaches(a_, b_, cfg.confusable_pct)).otherwise(False)
-        by_place = let(
-            places,
-            lambda d: F.when(
-                F.size(d).between(1, 2), F.forall(d, lambda xy: xy.isin(single))
-            ).otherwise(close),
-        )
         return (
             F.when(a_ == b_, F.lit(True))
-            .when(gap > 2, close)
-            .when(one_swap, F.lit(True))
-            .otherwise(by_place)
+            .when((gap <= 2) & one_swap, F.lit(True))
+            .otherwise(
+                let(
+                    places,
+                    lambda d: F.when(
+                        (gap <= 2) & F.size(d).between(1, 2),
+                        F.forall(d, lambda xy: xy.isin(single)),
+                    ).otherwise((gap <= 3) & ratio_reaches(a_, b_, cfg.confusable_pct)),
+                )
+            )
         )
 
     bound = F.struct(F.lower(norm(a)).alias("a"), F.lower(norm(b)).alias("b"))
@@ -338,9 +330,13 @@ def tokens_in_words(
     def found(t):
         near = F.exists(
             words,
-            lambda w: (ocr_fold(w) == ocr_fold(t))
-            | ratio_reaches(t, w, pct)
-            | ratio_reaches(ocr_fold(t), ocr_fold(w), pct),
+            lambda w: F.exists(
+                F.array(
+                    F.struct(t.alias("t"), w.alias("w")),
+                    F.struct(ocr_fold(t).alias("t"), ocr_fold(w).alias("w")),
+                ),
+                lambda p: ratio_reaches(p["t"], p["w"], pct),
+            ),
         )
         return (
             F.when(F.contains(text_lower, t), F.lit(True))

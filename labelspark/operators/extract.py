@@ -7,8 +7,6 @@ the walks over neighbours work on that array inside the row.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +22,37 @@ FIELD = "struct<value:string,bbox:array<int>>"
 
 
 def any_of(values: list[str], whole_word: bool = False) -> str:
-    """Case-insensitive alternation, longest value first."""
-    ordered = sorted(values, key=len, reverse=True)
-    body = "|".join(re.escape(v).replace(r"\ ", " ") for v in ordered)
-    return rf"(?iU)\b(?:{body})\b" if whole_word else rf"(?i)(?:{body})"
+    """Alternation for the leftmost, longest value, ignoring case."""
+    body = "|".join(sorted(values, key=len, reverse=True))
+    return rf"(?iU)\b(?:{body})\b" if whole_word else f"(?i)(?:{body})"
+
+
+def occurs_pattern(values: list[str], whole_word: bool = False) -> str:
+    """Pattern that only tells whether a value occurs, for upper-cased text.
+
+    Values that contain another value cannot change the answer and are left out.
+    """
+    upper = sorted({v.upper() for v in values})
+
+    def within(short, long):
+        return f" {short} " in f" {long} " if whole_word else short in long
+
+    by_letter: dict[str, list[str]] = {}
+    for v in upper:
+        if not any(o != v and within(o, v) for o in upper):
+            by_letter.setdefault(v[0], []).append(v[1:])
+    # one branch per first letter keeps the scan short
+    body = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
+    return rf"(?U)\b(?:{body})\b" if whole_word else f"(?:{body})"
 
 
-CLASS_ANYWHERE = any_of(C.CLASS_KEYWORDS)
-CLASS_WORD = any_of(C.CLASS_KEYWORDS, whole_word=True)
-COUNTRY_NAME = any_of(C.KNOWN_COUNTRIES)
-SERVING_MARKER = any_of(C.SERVING_MARKERS)
+CLASS_NAME = any_of(C.CLASS_KEYWORDS, whole_word=True)
+CLASS_ANYWHERE = occurs_pattern(C.CLASS_KEYWORDS)
+CLASS_WORD = occurs_pattern(C.CLASS_KEYWORDS, whole_word=True)
+COUNTRY_ANYWHERE = occurs_pattern(C.KNOWN_COUNTRIES)
+SERVING_MARKER = occurs_pattern(C.SERVING_MARKERS)
+SERVING_TRACE = occurs_pattern(C.SERVING_MARKERS + C.ORPHAN_SERVING_WORDS) + r"|\|"
+WARNING_KEYWORD = occurs_pattern(C.WARNING_KEYWORDS)
 SUFFIX_WORD = r"(?:^|\s)(%s)(?=\s|$)" % "|".join(
     sorted(C.BRAND_SUFFIXES + C.CORPORATE_SUFFIXES + C.OTHER_SUFFIXES, key=len, reverse=True)
 )
@@ -70,46 +89,43 @@ def abv_qualified(t: Column) -> Column:
     )
 
 
-def is_stop_content(t: Column) -> Column:
-    """Text that cannot continue a class designation (stripped text)."""
+def is_stop_content(t: Column, up: Column) -> Column:
+    """Text that cannot continue a class designation (stripped, and upper-cased)."""
     return (
         t.rlike(C.ABV_QUALIFIED)
         | t.rlike(C.BOTTLER_HEADER)
-        | F.contains(F.upper(t), F.lit("IMPORTED BY"))
+        | F.contains(up, F.lit("IMPORTED BY"))
         | t.rlike(C.NET_CONTENTS)
         | t.rlike(C.COUNTRY_PHRASE)
-        | F.startswith(F.upper(t), F.lit("CONTAINS"))
-        | (t.rlike(C.CITY_STATE) & ~t.rlike(CLASS_ANYWHERE))
+        | F.startswith(up, F.lit("CONTAINS"))
+        | (t.rlike(C.CITY_STATE) & ~up.rlike(CLASS_ANYWHERE))
         | t.rlike(C.PANEL_MARKER)
     )
 
 
-def is_class_anchor(t: Column) -> Column:
+def is_class_anchor(t: Column, up: Column, stop: Column) -> Column:
     """A class keyword, not stop content, and more than a weak word or two."""
     found = F.array_distinct(X.upper_words(t))
     strong = F.arrays_overlap(found, F.array(*[F.lit(w) for w in C.STRONG_CLASS_WORDS]))
-    return (
-        F.when(~t.rlike(CLASS_WORD), F.lit(False))
-        .when(is_stop_content(t), F.lit(False))
-        .otherwise(strong | (F.size(found) > 3))
-    )
+    return F.when(
+        up.rlike(CLASS_WORD) & ~stop, strong | (F.size(found) > 3)
+    ).otherwise(F.lit(False))
 
 
-def is_serving_only(t: Column) -> Column:
-    return t.rlike(SERVING_MARKER) & ~has_warning_keyword(t)
+def is_serving_only(up: Column) -> Column:
+    return up.rlike(SERVING_MARKER) & ~has_warning_keyword(up)
 
 
-def has_warning_keyword(t: Column) -> Column:
-    return F.upper(t).rlike("|".join(C.WARNING_KEYWORDS))
+def has_warning_keyword(up: Column) -> Column:
+    return up.rlike(WARNING_KEYWORD)
 
 
 def opens_warning(up: Column) -> Column:
     return F.contains(up, F.lit("GOVERNMENT")) & F.contains(up, F.lit("WARNING"))
 
 
-def leaves_warning(t: Column) -> Column:
+def leaves_warning(t: Column, up: Column) -> Column:
     """Panel marker, CONTAINS line, or a quantity outside the statement heading."""
-    up = F.upper(t)
     return (
         t.isin(C.PANEL_MARKERS)
         | F.startswith(up, F.lit("CONTAINS"))
@@ -166,17 +182,17 @@ def net_value(t: Column) -> Column:
 
 def block_tests(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Evaluate every per-block test once."""
-    t = F.col("t")
+    t, up = F.col("t"), F.col("up")
     loose = F.regexp_extract_all(F.col("text"), F.lit(C.ABV_LOOSE), F.lit(1))
     return (
         blocks.withColumn("text", F.coalesce("text", F.lit("")))
         .withColumn("t", strip(F.col("text")))
         .withColumn("up", F.upper("t"))
         .withColumn("junk", is_junk(t))
-        .withColumn("stop", is_stop_content(t))
-        .withColumn("class_any", t.rlike(CLASS_ANYWHERE))
-        .withColumn("class_word", t.rlike(CLASS_WORD))
-        .withColumn("anchor", is_class_anchor(t))
+        .withColumn("stop", is_stop_content(t, up))
+        .withColumn("class_any", up.rlike(CLASS_ANYWHERE))
+        .withColumn("class_word", up.rlike(CLASS_WORD))
+        .withColumn("anchor", is_class_anchor(t, up, F.col("stop")))
         .withColumn("adjective", F.col("up").isin(C.CLASS_ADJECTIVES))
         .withColumn("suffix", suffix_candidate(t))
         .withColumn("abv", abv_qualified(t))
@@ -191,7 +207,7 @@ def block_tests(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
         .withColumn("net", net_value(t))
         .withColumn("country", country_value(t))
         .withColumn(
-            "country_name", (F.length("t") < 40) & t.rlike(COUNTRY_NAME)
+            "country_name", (F.length("t") < 40) & up.rlike(COUNTRY_ANYWHERE)
         )
         .withColumn("bottler_header", t.rlike(C.BOTTLER_HEADER))
         .withColumn(
@@ -203,12 +219,12 @@ def block_tests(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
             | F.startswith("up", F.lit("CONTAINS")),
         )
         .withColumn("opens", opens_warning(F.col("up")))
-        .withColumn("leaves", leaves_warning(t))
+        .withColumn("leaves", leaves_warning(t, up))
         .withColumn(
             "in_warning",
             (F.length("t") >= 2)
             & ~F.col("leaves")
-            & has_warning_keyword(t),
+            & has_warning_keyword(up),
         )
         .withColumn(
             "warning_pos",
@@ -219,9 +235,9 @@ def block_tests(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
         .withColumn(
             "warning_text",
             F.when(
-                F.col("in_warning"),
+                F.col("in_warning") & up.rlike(SERVING_TRACE),
                 X.strip_nutrition(t, C.SERVING_MARKERS, C.ORPHAN_SERVING_WORDS),
-            ),
+            ).when(F.col("in_warning"), t),
         )
     )
 
@@ -352,7 +368,7 @@ def class_type(bs: Column, combined: Column) -> Column:
             ),
         )
 
-    fallback = field(strip(F.regexp_extract(combined, CLASS_WORD, 0)), F.lit(None))
+    fallback = field(strip(F.regexp_extract(combined, CLASS_NAME, 0)), F.lit(None))
     return let(
         first_index(bs, lambda b: b["anchor"]),
         lambda at: F.when(at > 0, around(at)).otherwise(fallback),
