@@ -73,3 +73,47 @@ def deduplicate(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
             ).alias("blocks"),
         )
     )
+
+
+CELL_X, CELL_Y = 256, 64
+
+
+def overlap_pairs(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+    """Pairs of blocks of a label that overlap by more than the threshold.
+
+    Blocks meet only in the cells of a grid they share; a pair is reported from the
+    first cell the two have in common, so no distinct is needed.
+    """
+    def cells(low, high, size):
+        start = F.floor(F.col(low) / size)
+        return F.sequence(start, F.greatest(F.floor((F.col(high) - 1) / size), start))
+
+    spread = (
+        blocks.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+        .select("label_id", "block_id", *BOX, F.explode(cells("x1", "x2", CELL_X)).alias("cx"),
+                F.floor(F.col("x1") / CELL_X).alias("sx"))
+        .select("*", F.explode(cells("y1", "y2", CELL_Y)).alias("cy"),
+                F.floor(F.col("y1") / CELL_Y).alias("sy"))
+    )
+    a, b = spread.alias("a"), spread.alias("b")
+    box_a = {c: F.col(f"a.{c}") for c in BOX}
+    box_b = {c: F.col(f"b.{c}") for c in BOX}
+    same_cell = (
+        (F.col("a.label_id") == F.col("b.label_id"))
+        & (F.col("a.cx") == F.col("b.cx"))
+        & (F.col("a.cy") == F.col("b.cy"))
+        & (F.col("a.block_id") < F.col("b.block_id"))
+    )
+    first_common = (F.col("a.cx") == F.greatest("a.sx", "b.sx")) & (
+        F.col("a.cy") == F.greatest("a.sy", "b.sy")
+    )
+    return (
+        a.join(b, same_cell)
+        .filter(first_common & (overlap(box_a, box_b) > cfg.overlap))
+        .select(
+            F.col("a.label_id").alias("label_id"),
+            F.col("a.block_id").alias("block_a"),
+            F.col("b.block_id").alias("block_b"),
+            overlap(box_a, box_b).alias("overlap"),
+        )
+    )

@@ -138,7 +138,7 @@ def test_statement_repairs(evaluate):
         "upper", "mixed", "mixed", "GOVERNMENT WARNING: of PREGNANCY",
         "during pregnancy, machinery", "Government Warning: x", "a b , c", "a b c the end",
         "SURGEON GENERAL WOMEN SHOULD PREGNANCY", "def", "abc",
-        "the Surgeon General says", ["Foo", "BAZ"], 4, 10, 999999, "and more",
+        "the Surgeon General says", ["Foo", "BAZ"], 4, 10, 999999, "and  more",
     )
 
 
