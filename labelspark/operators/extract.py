@@ -184,60 +184,54 @@ def block_tests(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Evaluate every per-block test once."""
     t, up = F.col("t"), F.col("up")
     loose = F.regexp_extract_all(F.col("text"), F.lit(C.ABV_LOOSE), F.lit(1))
+    # stages: every stage uses only columns of the stages before it
     return (
         blocks.withColumn("text", F.coalesce("text", F.lit("")))
         .withColumn("t", strip(F.col("text")))
         .withColumn("up", F.upper("t"))
-        .withColumn("junk", is_junk(t))
-        .withColumn("stop", is_stop_content(t, up))
-        .withColumn("class_any", up.rlike(CLASS_ANYWHERE))
-        .withColumn("class_word", up.rlike(CLASS_WORD))
-        .withColumn("anchor", is_class_anchor(t, up, F.col("stop")))
-        .withColumn("adjective", F.col("up").isin(C.CLASS_ADJECTIVES))
-        .withColumn("suffix", suffix_candidate(t))
-        .withColumn("abv", abv_qualified(t))
-        .withColumn(
-            "abv_score",
-            F.when(plausible_abv(F.col("abv")), 2).otherwise(1)
-            + F.when(F.col("up").rlike("ALC|VOL|PROOF"), 2).otherwise(0),
+        .withColumns(
+            {
+                "junk": is_junk(t),
+                "stop": is_stop_content(t, up),
+                "class_any": up.rlike(CLASS_ANYWHERE),
+                "class_word": up.rlike(CLASS_WORD),
+                "adjective": up.isin(C.CLASS_ADJECTIVES),
+                "suffix": suffix_candidate(t),
+                "abv": abv_qualified(t),
+                "abv_any": F.get(loose, F.lit(0)),
+                "abv_loose": F.get(F.filter(loose, plausible_abv), F.lit(0)),
+                "proof_no": F.regexp_extract("t", C.PROOF, 1),
+                "net": net_value(t),
+                "country": country_value(t),
+                "country_name": (F.length("t") < 40) & up.rlike(COUNTRY_ANYWHERE),
+                "bottler_header": t.rlike(C.BOTTLER_HEADER),
+                "opens": opens_warning(up),
+                "leaves": leaves_warning(t, up),
+            }
         )
-        .withColumn("abv_any", F.get(loose, F.lit(0)))
-        .withColumn("abv_loose", F.get(F.filter(loose, plausible_abv), F.lit(0)))
-        .withColumn("proof_no", F.regexp_extract("t", C.PROOF, 1))
-        .withColumn("net", net_value(t))
-        .withColumn("country", country_value(t))
-        .withColumn(
-            "country_name", (F.length("t") < 40) & up.rlike(COUNTRY_ANYWHERE)
+        .withColumns(
+            {
+                "anchor": is_class_anchor(t, up, F.col("stop")),
+                "abv_score": F.when(plausible_abv(F.col("abv")), 2).otherwise(1)
+                + F.when(up.rlike("ALC|VOL|PROOF"), 2).otherwise(0),
+                "bottler_end": up.rlike("GOVERNMENT|WARNING")
+                | t.rlike(r"^\d+\s*%")
+                | t.rlike("(?i)^" + C.NET_CONTENTS.removeprefix("(?i)"))
+                | (F.col("country") != "")
+                | F.startswith("up", F.lit("CONTAINS")),
+                "in_warning": (F.length("t") >= 2) & ~F.col("leaves") & has_warning_keyword(up),
+            }
         )
-        .withColumn("bottler_header", t.rlike(C.BOTTLER_HEADER))
-        .withColumn(
-            "bottler_end",
-            F.col("up").rlike("GOVERNMENT|WARNING")
-            | t.rlike(r"^\d+\s*%")
-            | t.rlike("(?i)^" + C.NET_CONTENTS.removeprefix("(?i)"))
-            | (F.col("country") != "")
-            | F.startswith("up", F.lit("CONTAINS")),
-        )
-        .withColumn("opens", opens_warning(F.col("up")))
-        .withColumn("leaves", leaves_warning(t, up))
-        .withColumn(
-            "in_warning",
-            (F.length("t") >= 2)
-            & ~F.col("leaves")
-            & has_warning_keyword(up),
-        )
-        .withColumn(
-            "warning_pos",
-            F.when(
-                F.col("in_warning"), X.statement_position(t, cfg.required_statement)
-            ),
-        )
-        .withColumn(
-            "warning_text",
-            F.when(
-                F.col("in_warning") & up.rlike(SERVING_TRACE),
-                X.strip_nutrition(t, C.SERVING_MARKERS, C.ORPHAN_SERVING_WORDS),
-            ).when(F.col("in_warning"), t),
+        .withColumns(
+            {
+                "warning_pos": F.when(
+                    F.col("in_warning"), X.statement_position(t, cfg.required_statement)
+                ),
+                "warning_text": F.when(
+                    F.col("in_warning") & up.rlike(SERVING_TRACE),
+                    X.strip_nutrition(t, C.SERVING_MARKERS, C.ORPHAN_SERVING_WORDS),
+                ).when(F.col("in_warning"), t),
+            }
         )
     )
 

@@ -146,26 +146,28 @@ def rule_inputs(matched: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
         "*", *[F.col("t")[i].alias(f"t_{n}") for i, n in enumerate(("brand", "class", "bottler"))]
     )
     values = (
-        inputs
-        .withColumn("label_abv", abv_float(col("l_alcohol_pct")))
-        .withColumn("app_abv", abv_float(col("a_alcohol_pct")))
-        .withColumn("label_ml", net_ml(col("l_net_contents")))
-        .withColumn("app_ml", net_ml(col("a_net_contents")))
-        .withColumn("statement", norm(col("government_warning.value")))
-        .withColumn(
-            "statement_clean",
-            X.collapse_warning(X.drop_tokens(col("statement"), col("suspicious"))),
+        inputs.withColumns(
+            {
+                "label_abv": abv_float(col("l_alcohol_pct")),
+                "app_abv": abv_float(col("a_alcohol_pct")),
+                "label_ml": net_ml(col("l_net_contents")),
+                "app_ml": net_ml(col("a_net_contents")),
+                "statement": norm(col("government_warning.value")),
+                "class_name": F.when(
+                    col("a_class_type") != "", col("a_class_type")
+                ).otherwise(col("l_class_type")),
+                "age_known": known_age(),
+            }
         )
-        .withColumn("statement_norm", X.statement_norm(col("statement_clean")))
-        .withColumn("statement_words", X.upper_words(col("statement_norm")))
-        .withColumn(
-            "class_name",
-            F.when(col("a_class_type") != "", col("a_class_type")).otherwise(
-                col("l_class_type")
-            ),
+        .withColumns(
+            {
+                "statement_norm": X.statement_norm(
+                    X.collapse_warning(X.drop_tokens(col("statement"), col("suspicious")))
+                ),
+                "inferred": infer_requirements(col("class_name")),
+            }
         )
-        .withColumn("inferred", infer_requirements(col("class_name")))
-        .withColumn("age_known", known_age())
+        .withColumn("statement_words", X.upper_words(col("statement_norm")))
     )
     compared = F.array(
         *[
@@ -855,11 +857,18 @@ def as_application_side(applications: DataFrame) -> DataFrame:
 def run_rules(matched: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Add ``results`` to rows that hold an application and the extracted fields."""
     keep = [F.col(c) for c in matched.columns]
-    return rule_inputs(matched, cfg).select(*keep, rule_array(cfg).alias("results"))
+    # The condition is always true. Being non-deterministic to the optimizer, it stops
+    # filters on the results from being pushed below, which would copy the rule
+    # expressions into the filter over and over.
+    results = F.when(F.spark_partition_id() >= 0, rule_array(cfg))
+    return rule_inputs(matched, cfg).select(*keep, results.alias("results"))
 
 
 def explode_results(checked: DataFrame, *keys: str) -> DataFrame:
     """Long table ``rule_results``: one row per rule, numbered from 0."""
+    # The identity lambda keeps the optimizer from splitting the large result
+    # expressions into one copy per field of the struct.
+    rows = F.transform("results", lambda r: r)
     return checked.select(
-        *(keys or ("label_id",)), F.posexplode("results").alias("rule_seq", "r")
+        *(keys or ("label_id",)), F.posexplode(rows).alias("rule_seq", "r")
     ).select(*(keys or ("label_id",)), "rule_seq", "r.*")

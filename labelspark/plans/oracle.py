@@ -148,9 +148,9 @@ rules AS (
  UNION ALL SELECT label_id, 7, 'Alcohol & contents', 'Net contents matches', 'needs_review', concat('Net contents on label (', net_contents, ' ≈ ', l_ml, ' mL) does not match application (', a_net, ' ≈ ', a_ml, ' mL).'), net_contents, a_net FROM j WHERE net_contents <> '' AND abs(a_ml - l_ml) > 5
  UNION ALL SELECT label_id, 8, 'Warning', 'GOVERNMENT WARNING in caps', CASE WHEN contains(upper(government_warning), 'GOVERNMENT WARNING') THEN 'pass' ELSE 'fail' END, 'GOVERNMENT WARNING appears in required form.', 'GOVERNMENT WARNING', 'GOVERNMENT WARNING' FROM j
  UNION ALL SELECT label_id, 9, 'Warning', 'Exact warning wording', CASE WHEN {FULL_OK} THEN 'pass' ELSE 'undecided' END, 'Warning statement present and appears complete.', government_warning, '{REQUIRED}' FROM j
- UNION ALL SELECT label_id, 10, 'Origin', 'Bottler/producer statement', 'pass', CASE WHEN bottler_in THEN 'Bottler/producer matches (token_containment).'
-   WHEN bottler = '' THEN 'Bottler/producer found on label (tokens in full text).'
-   WHEN lower(bottler) = lower(a_bottler) THEN 'Bottler/producer matches (exact).' ELSE 'Bottler/producer matches (exact_ocr_normalized).' END, bottler, a_bottler FROM j
+ UNION ALL SELECT label_id, 10, 'Origin', 'Bottler/producer statement', 'pass', CASE WHEN bottler = '' THEN 'Bottler/producer found on label (tokens in full text).'
+   WHEN lower(bottler) = lower(a_bottler) THEN 'Bottler/producer matches (exact).'
+   WHEN bottler_in THEN 'Bottler/producer matches (token_containment).' ELSE 'Bottler/producer matches (exact_ocr_normalized).' END, bottler, a_bottler FROM j
  UNION ALL SELECT label_id, 11, 'Origin', 'Bottler address', CASE WHEN contains(bottler, 'Frederick') THEN 'pass' ELSE 'needs_review' END,
   CASE WHEN contains(bottler, 'Frederick') THEN 'Bottler city/state found on label.' WHEN contains(lower(bottler), 'md') THEN 'Bottler city ''Frederick'' not found on label.' ELSE 'Bottler city ''Frederick'', state ''MD'' not found on label.' END, bottler, concat(a_city, ', ', a_state) FROM j WHERE bottler <> ''
  UNION ALL SELECT label_id, 12, 'Origin', 'Country of origin', CASE WHEN country_of_origin = '' THEN 'fail' ELSE 'pass' END,
@@ -293,7 +293,9 @@ ORACLE: dict[str, str] = {
     "field_government_warning": field("government_warning", "warning_box"),
     "field_bottler": field("bottler", "bottler_box"),
     "field_country_of_origin": field("country_of_origin", "country_box"),
-    "field_warning_by_anchor": f"WITH {FIELDS} SELECT label_id, government_warning AS value FROM fields",
+    "field_warning_by_anchor": f"""WITH {FLAGS}, head AS (SELECT label_id, min(place) AS start, arg_min(x1, place) AS hx1, arg_min(x2, place) AS hx2 FROM g WHERE opens GROUP BY 1)
+ SELECT label_id, string_agg(text, ' ' ORDER BY place) AS value FROM g JOIN head USING (label_id)
+ WHERE place >= start AND NOT stop AND x1 <= hx2 + greatest(0.3 * (hx2 - hx1), 30) AND x2 >= hx1 - greatest(0.3 * (hx2 - hx1), 30) GROUP BY 1""",
     "field_coverage": f"""WITH {FIELDS}, u AS (SELECT x.field AS field, x.v AS v FROM fields, LATERAL (VALUES {COVERED}) AS x(field, v))
  SELECT field, count(*) AS labels, count(*) FILTER (v <> '') AS found FROM u GROUP BY 1""",
     "field_comparison": f"""WITH {FIELDS}, j AS (SELECT t.*, fields.* EXCLUDE (label_id) FROM t JOIN fields USING (label_id))

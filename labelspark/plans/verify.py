@@ -29,15 +29,12 @@ def join_labels(applications: DataFrame, labels: DataFrame) -> DataFrame:
     """
     empty = F.struct(F.lit("").alias("value"), F.lit(None).alias("bbox")).cast(FIELD)
     joined = as_application_side(applications).join(labels, "label_id", "left")
-    for name in schemas.FIELDS:
-        if name in labels.columns:
-            joined = joined.withColumn(name, F.coalesce(name, empty))
     none = F.array().cast(f"array<{FIELD}>")
-    return (
-        joined.withColumn("all_text", F.coalesce("all_text", F.lit("")))
-        .withColumn("brand_candidates", F.coalesce("brand_candidates", none))
-        .withColumn("brand_prominent", F.coalesce("brand_prominent", empty))
-    )
+    defaults = {name: empty for name in schemas.FIELDS if name in labels.columns}
+    defaults |= {
+        "all_text": F.lit(""), "brand_candidates": none, "brand_prominent": empty,
+    }
+    return joined.withColumns({n: F.coalesce(n, v) for n, v in defaults.items()})
 
 
 def verify_blocks(
