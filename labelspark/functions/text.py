@@ -172,11 +172,23 @@ def collapse_repeats(text: Column) -> Column:
     out = F.regexp_replace(text, r"\|\s*", " ")
     out = F.regexp_replace(out, r"\}\s*", " ")
     out = F.regexp_replace(out, r"[—\-]{3,}", " ")
-    for _ in range(3):
+
+    def one_round(c):
         for n in (5, 4, 3, 2, 1):
-            more = r"(?:\s+\w+){%d}" % (n - 1)
-            out = F.regexp_replace(out, r"(?iU)(\b\w+%s)\s+\1\b" % more, "$1")
-    return norm(out)
+            more = r"(?:\s++\w++){%d}" % (n - 1)
+            c = F.regexp_replace(c, r"(?iU)(\b\w++%s)\s++\1\b" % more, "$1")
+        return c
+
+    def again(before, rounds):
+        """Another round only for texts the last one changed, three in all."""
+        return let(
+            one_round(before),
+            lambda after: F.when(
+                (after == before) if rounds > 1 else F.lit(True), after
+            ).otherwise(again(after, rounds - 1) if rounds > 1 else after),
+        )
+
+    return norm(let(out, lambda t: again(t, 3)))
 
 
 # fixed values: repairs of the upper-cased statement, applied in this order

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.functions.text import upper_words
+from labelspark.functions.text import let, upper_words
 
 GRAM = 4
 SHORT = 3
@@ -13,12 +13,19 @@ SHORT = 3
 
 def _word_grams(text: Column) -> Column:
     """Distinct runs of ``GRAM`` words delimited by single spaces."""
-    ws = F.split(text, " ")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(ws) - GRAM + 1),
-        lambda i: F.array_join(F.slice(ws, i, F.lit(GRAM)), " "),
+    # ``let`` splits the text once, not once per run
+    return let(
+        F.split(text, " "),
+        lambda ws: F.when(
+            F.size(ws) >= GRAM,
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(0), F.size(ws) - GRAM),
+                    lambda i: F.concat_ws(" ", *[F.get(ws, i + n) for n in range(GRAM)]),
+                )
+            ),
+        ),
     )
-    return F.when(F.size(ws) >= GRAM, F.array_distinct(runs))
 
 
 def _char_grams(text: Column, n: int) -> Column:

@@ -196,18 +196,18 @@ def ratio(a: str, b: str) -> str:
 
 SIMILAR = f"""{APPS}, lines AS (SELECT k - 1 AS k, CASE WHEN k % 7 = 0 THEN replace(upper(brand_name),'O','0') ELSE upper(brand_name) END AS line FROM apps),
 p AS (SELECT label_id, lower(brand_name) AS a, lower(line) AS b FROM apps JOIN lines USING (k)),
-tok AS (SELECT *, string_split(a, ' ') AS at, string_split(b, ' ') AS bt, translate(a, '1058', 'iosb') AS ao, translate(b, '1058', 'iosb') AS bo,
+tok AS (SELECT *, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb, translate(a, '1058', 'iosb') AS ao, translate(b, '1058', 'iosb') AS bo,
   array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM p),
-cross_tokens AS (SELECT label_id, i, unnest(bt) AS y, x FROM (SELECT label_id, bt, unnest(at) AS x, unnest(range(len(at))) AS i FROM tok)),
+cross_tokens AS (SELECT label_id, i, unnest(tb) AS y, x FROM (SELECT label_id, tb, unnest(ta) AS x, unnest(range(len(ta))) AS i FROM tok)),
 best AS (SELECT label_id, min(r) AS worst FROM (SELECT label_id, i, max({ratio("x", "y")}) AS r FROM cross_tokens GROUP BY 1, 2) GROUP BY 1),
 scored AS (SELECT tok.*, worst, {ratio("a", "b")} AS whole, {ratio("sa", "sb")} AS sorted_words FROM tok JOIN best USING (label_id))
 SELECT label_id, round(whole, 6) AS ratio,
- round(CASE WHEN a = b OR ao = bo THEN 1.0 WHEN list_has_all(bt, at) OR list_has_all(string_split(bo, ' '), string_split(ao, ' ')) THEN 0.95
-  WHEN list_has_all(at, bt) OR list_has_all(string_split(ao, ' '), string_split(bo, ' ')) THEN 0.9 WHEN contains(a, b) OR contains(b, a) THEN 0.92
+ round(CASE WHEN a = b OR ao = bo THEN 1.0 WHEN list_has_all(tb, ta) OR list_has_all(string_split(bo, ' '), string_split(ao, ' ')) THEN 0.95
+  WHEN list_has_all(ta, tb) OR list_has_all(string_split(ao, ' '), string_split(bo, ' ')) THEN 0.9 WHEN contains(a, b) OR contains(b, a) THEN 0.92
   WHEN worst >= 0.85 THEN greatest(0.88, 0.95 * worst) ELSE greatest(whole, sorted_words) END, 6) AS score,
- CASE WHEN a = b THEN 'exact' WHEN ao = bo THEN 'exact_ocr_normalized' WHEN list_has_all(bt, at) THEN 'token_containment'
+ CASE WHEN a = b THEN 'exact' WHEN ao = bo THEN 'exact_ocr_normalized' WHEN list_has_all(tb, ta) THEN 'token_containment'
   WHEN list_has_all(string_split(bo, ' '), string_split(ao, ' ')) THEN 'token_containment_ocr_normalized'
-  WHEN list_has_all(at, bt) THEN 'reverse_containment' WHEN list_has_all(string_split(ao, ' '), string_split(bo, ' ')) THEN 'reverse_containment_ocr_normalized'
+  WHEN list_has_all(ta, tb) THEN 'reverse_containment' WHEN list_has_all(string_split(ao, ' '), string_split(bo, ' ')) THEN 'reverse_containment_ocr_normalized'
   WHEN contains(a, b) OR contains(b, a) THEN 'substring' WHEN worst >= 0.85 THEN 'fuzzy_token' ELSE 'fuzzy_ratio' END AS reason
 FROM scored"""
 
@@ -328,7 +328,7 @@ ORACLE: dict[str, str] = {
     "name_similarity": f"WITH {SIMILAR}",
     "misread_numbers": MISREAD,
     "youngest_age": """WITH s AS (SELECT p_partkey, p_size, p_partkey % 37 AS other, concat('aged ', p_size, ' years, finished ', p_partkey % 37, ' year in oak') AS text FROM part)
- SELECT p_partkey, least(p_size, other) AS age, concat(left(text, 5 + length(cast(p_size AS varchar)) + 6), ', fi') AS snippet FROM s""",
+ SELECT p_partkey, least(p_size, other) AS age, concat(left(text, 5 + length(cast(p_size AS varchar)) + 6), ', fin') AS snippet FROM s""",
     "statement_words": rf"""WITH {FIELDS}, n AS (SELECT label_id, replace(upper(government_warning), ',', '') AS normed, regexp_extract_all(upper(all_text), '\w+') AS label_words FROM fields),
  w AS (SELECT *, regexp_extract_all(normed, '\w+') AS ws FROM n)
  SELECT label_id, normed, len(list_filter([{quoted(NEED_WORDS)}], lambda q: len(list_filter(ws, lambda e: e = q OR (length(q) >= 5 AND length(e) >= 4 AND levenshtein(e, q) <= 2)))
@@ -340,7 +340,7 @@ ORACLE: dict[str, str] = {
  counted AS (SELECT label_id, word, count(*) AS n FROM (SELECT label_id, unnest(regexp_extract_all(upper(all_text), '\w+')) AS word FROM labels) GROUP BY 1, 2)
  SELECT label_id, word, n FROM counted WHERE length(word) >= 2 AND NOT regexp_matches(word, '^\d+$') AND word NOT IN (SELECT word FROM lexicon)""",
     "documents_with_passages": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "document_words": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(upper(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS word FROM documents),
+    "document_words": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS word FROM documents),
  c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2)
  SELECT doc_id, sum(n) AS words, count(*) AS distinct_words, max(n) AS most_frequent FROM c GROUP BY 1""",
     "document_cleaning": r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS normed, regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS ws FROM documents),
