@@ -1,0 +1,26 @@
+"""Where lineage is cut: the shared folder the cluster names, a local one in tests."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        sc.setCheckpointDir(shared)
+    elif sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelspark-"))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives the loss of executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -7,9 +7,12 @@ least as long.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspark.checkpoints import cut
 from labelspark.config import DEFAULT, RuleConfig
 from labelspark.functions.geometry import intersection, overlap
 from labelspark.functions.similarity import ratio_reaches
@@ -51,27 +54,104 @@ def keep_greedily(ordered: Column, cfg: RuleConfig) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
 
 
-def deduplicate(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """One row per label: ``blocks`` array in kept order (its index is the block id)."""
-    item = F.struct(
-        priority(blocks).alias("key"), "text", *BOX, F.col("confidence")
+def as_items(blocks: DataFrame) -> DataFrame:
+    return blocks.select("label_id", priority(blocks).alias("key"), "text", *BOX, "confidence")
+
+
+def numbered(kept: DataFrame) -> DataFrame:
+    """``blocks`` array in kept order; its index is the block id."""
+    return kept.select(
+        "label_id",
+        F.transform(
+            "kept",
+            lambda b, i: F.struct(
+                i.cast("bigint").alias("block_id"),
+                b["text"].alias("text"),
+                *[b[c].alias(c) for c in BOX],
+                b["confidence"].alias("confidence"),
+            ),
+        ).alias("blocks"),
     )
-    return (
-        blocks.groupBy("label_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("found"))
-        .select("label_id", keep_greedily(F.col("found"), cfg).alias("kept"))
-        .select(
-            "label_id",
-            F.transform(
-                "kept",
-                lambda b, i: F.struct(
-                    i.cast("bigint").alias("block_id"),
-                    b["text"].alias("text"),
-                    *[b[c].alias(c) for c in BOX],
-                    b["confidence"].alias("confidence"),
-                ),
-            ).alias("blocks"),
+
+
+ITEM = ["key", "text", *BOX, "confidence"]
+
+
+def gathered(items: DataFrame) -> DataFrame:
+    return items.groupBy("label_id").agg(
+        F.array_sort(F.collect_list(F.struct(*ITEM))).alias("found")
+    )
+
+
+def deduplicate(
+    blocks: DataFrame, cfg: RuleConfig = DEFAULT, crowded: DataFrame | None = None
+) -> DataFrame:
+    """One row per label with its surviving ``blocks``.
+
+    Labels of usual size are folded inside their row. ``crowded`` names the labels
+    (column label_id) with too many blocks for that; they are reduced by
+    :func:`settle_in_rounds` before anything is gathered.
+    """
+    items = as_items(blocks)
+    usual = items if crowded is None else items.join(crowded, "label_id", "left_anti")
+    kept = gathered(usual).select("label_id", keep_greedily(F.col("found"), cfg).alias("kept"))
+    if crowded is not None:
+        rest = settle_in_rounds(items.join(crowded, "label_id", "left_semi"), cfg)
+        kept = kept.unionByName(gathered(rest).withColumnRenamed("found", "kept"))
+    return numbered(kept)
+
+
+def settle_in_rounds(items: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+    """The same greedy outcome for labels of any size, as distributed rounds.
+
+    Overlapping blocks share a cell of a grid. In every round a block that comes
+    first in all its cells is kept, since nothing before it is still open; the open
+    blocks it suppresses leave. A cell has at most one such block per round, so
+    joins never pair the blocks of a cell with each other, and the first block of
+    all settles in every round, so the rounds end.
+    """
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    flat = items.filter(~solid)  # no area: never a duplicate, never suppresses
+    # an exact copy behaves like its first one, so only that stays
+    first_copy = F.min_by(F.struct("key", "confidence"), "key").alias("f")
+    opened = cut(
+        items.filter(solid).groupBy("label_id", "text", *BOX).agg(first_copy)
+        .select("label_id", "f.key", "text", *BOX, "f.confidence")
+    )
+    block = ["label_id", "key"]
+    cell = ["label_id", "cx", "cy"]
+    kept = [flat]
+    while not opened.isEmpty():
+        spread = in_cells(opened)
+        first = spread.groupBy(*cell).agg(F.min("key").alias("first"))
+        settled = (
+            spread.join(first, cell).groupBy(*block)
+            .agg(F.bool_and(F.col("key") == F.col("first")).alias("leads")).filter("leads")
+            .select(*block)
+        )
+        new = cut(opened.join(settled, block, "left_semi"))
+        kept.append(new)
+        rest = opened.join(new.select(*block), block, "left_anti")
+        leaders = in_cells(new).select(
+            *cell, F.struct("text", *BOX).alias("leader")
+        )
+        here = F.struct("text", *BOX)
+        gone = (
+            in_cells(rest).join(leaders, cell).filter(suppresses(F.col("leader"), here, cfg))
+            .select(*block).distinct()
         )
+        opened = cut(rest.join(gone, block, "left_anti"))
+    return reduce(DataFrame.unionByName, kept).select("label_id", *ITEM)
+
+
+def in_cells(items: DataFrame) -> DataFrame:
+    """One row per block and grid cell (cx, cy) it touches."""
+    def cells(low, high, size):
+        start = F.floor(F.col(low) / size)
+        return F.sequence(start, F.greatest(F.floor((F.col(high) - 1) / size), start))
+
+    return items.select("*", F.explode(cells("x1", "x2", CELL_X)).alias("cx")).select(
+        "*", F.explode(cells("y1", "y2", CELL_Y)).alias("cy")
     )
 
 
@@ -84,15 +164,9 @@ def overlap_pairs(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     Blocks meet only in the cells of a grid they share; a pair is reported from the
     first cell the two have in common, so no distinct is needed.
     """
-    def cells(low, high, size):
-        start = F.floor(F.col(low) / size)
-        return F.sequence(start, F.greatest(F.floor((F.col(high) - 1) / size), start))
-
-    spread = (
+    spread = in_cells(
         blocks.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
-        .select("label_id", "block_id", *BOX, F.explode(cells("x1", "x2", CELL_X)).alias("cx"),
-                F.floor(F.col("x1") / CELL_X).alias("sx"))
-        .select("*", F.explode(cells("y1", "y2", CELL_Y)).alias("cy"),
+        .select("label_id", "block_id", *BOX, F.floor(F.col("x1") / CELL_X).alias("sx"),
                 F.floor(F.col("y1") / CELL_Y).alias("sy"))
     )
     a, b = spread.alias("a"), spread.alias("b")

@@ -1,9 +1,13 @@
+import random
+from dataclasses import replace
+
 import pytest
-from pyspark.sql import functions as F
 
 from labelspark import schemas
+from labelspark.config import DEFAULT
 from labelspark.operators.blocks import line_blocks
-from labelspark.operators.dedup import deduplicate
+from labelspark.operators.dedup import deduplicate, overlap_pairs
+from labelspark.plans.verify import blocks_from_words, crowded_labels
 from labelspark.sources.words import union_passes, usable_words
 
 WORDS = [
@@ -120,3 +124,42 @@ def test_deduplicate(spark):
     assert {r["label_id"]: [b["text"] for b in r["blocks"]] for r in kept} == EXPECTED
     best = next(r for r in kept if r["label_id"] == "confidence")
     assert best["blocks"][0]["confidence"] == 95
+
+
+def test_rounds_give_the_same_as_the_fold(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        x, y = rng.randint(0, 500), rng.randint(0, 200)
+        w, h = rng.choice([(0, 10), (60, 20), (90, 25), (400, 30), (600, 140)])
+        text = " ".join(rng.choice(["pale", "ale", "gin", "rum"]) for _ in range(rng.randint(1, 5)))
+        for copy in range(rng.choice([1, 1, 1, 4])):
+            rows.append((f"L{i % 2}", 1000 * copy + i, text, x, y, x + w, y + h,
+                         float(rng.randint(50, 60))))
+    for name, items in BLOCKS.items():
+        rows += [(name, i, t, *box, float(c)) for i, (t, *box, c) in enumerate(items)]
+    blocks = spark.createDataFrame(rows, schemas.LABEL_BLOCKS)
+    folded = {r["label_id"]: r["blocks"] for r in deduplicate(blocks).collect()}
+    crowded = blocks.select("label_id").distinct().filter("label_id <> 'L1'")
+    settled = {r["label_id"]: r["blocks"] for r in deduplicate(blocks, crowded=crowded).collect()}
+    assert settled == folded
+    assert 10 < len(folded["L0"]) < 250
+
+
+def test_overlap_pairs(spark):
+    blocks = block_frame(spark)
+    found = {(r["label_id"], r["block_a"], r["block_b"]) for r in overlap_pairs(blocks).collect()}
+    expected = {
+        ("copies", 0, 1), ("confidence", 0, 1), ("similar", 0, 1), ("longer_other", 0, 1),
+        ("chain", 0, 1), ("chain", 1, 2),
+    }
+    assert found == expected
+
+
+def test_crowded_labels_are_found(words):
+    assert crowded_labels(words) is None
+    crowded = crowded_labels(words, replace(DEFAULT, max_words_per_label=6))
+    assert [r["label_id"] for r in crowded.collect()] == ["lines"]
+    usual = blocks_from_words(words).collect()
+    split = blocks_from_words(words, replace(DEFAULT, max_words_per_label=3)).collect()
+    assert sorted(usual) == sorted(split)
