@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.functions.text import let, upper_words
+from labelspark.functions.text import (
+    let, norm, statement_norm, upper_words, word_counts,
+)
 
 GRAM = 4
 SHORT = 3
@@ -96,3 +98,14 @@ def unknown_words(counted: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
     unknown = vocabulary.join(lexicon.select("word").distinct(), "word", "left_anti")
     return counted.join(unknown, "word")
+
+
+def suspicious_words(labels: DataFrame, lexicon: DataFrame, required: str) -> DataFrame:
+    """Label and its ``suspicious`` words: in its statement, but neither in the required
+    wording nor in the lexicon."""
+    statement = statement_norm(norm(F.col("government_warning.value")))
+    counted = word_multiset(labels.select("label_id", statement.alias("s")), "label_id", "s")
+    extra = counted.filter(~F.col("word").isin(*word_counts(required)))
+    return unknown_words(extra, lexicon).groupBy("label_id").agg(
+        F.array_sort(F.collect_set("word")).alias("suspicious")
+    )

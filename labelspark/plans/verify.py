@@ -11,8 +11,9 @@ from labelspark.config import DEFAULT, RuleConfig
 from labelspark.operators.blocks import line_blocks
 from labelspark.operators.dedup import deduplicate
 from labelspark.operators.extract import FIELD, extract_fields, with_brand
-from labelspark.operators.rules import as_application_side, run_rules
+from labelspark.operators.rules import as_application_side, required_norm, run_rules
 from labelspark.operators.score import CRITICAL, score_array
+from labelspark.operators.statements import suspicious_words
 from labelspark.sources.words import usable_words
 
 
@@ -51,16 +52,35 @@ def join_labels(applications: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def verify_blocks(
-    applications: DataFrame, blocks: DataFrame, cfg: RuleConfig = DEFAULT
+    applications: DataFrame,
+    blocks: DataFrame,
+    cfg: RuleConfig = DEFAULT,
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
-    """Typed applications and label blocks to results, counts and overall status."""
-    matched = join_labels(applications, extract_fields(blocks, cfg))
+    """Typed applications and label blocks to results, counts and overall status.
+
+    ``lexicon`` (column word, upper case) marks other words of a statement as
+    suspicious; without it none are.
+    """
+    labels = extract_fields(blocks, cfg)
+    if lexicon is not None:
+        odd = suspicious_words(labels, lexicon, required_norm(cfg))
+        labels = labels.join(odd, "label_id", "left")
+    matched = join_labels(applications, labels)
+    if lexicon is not None:
+        none = F.array().cast("array<string>")
+        matched = matched.withColumn("suspicious", F.coalesce("suspicious", none))
     return score_array(run_rules(with_brand(matched, F.col("brand_name_app")), cfg))
 
 
-def verify(applications: DataFrame, words: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+def verify(
+    applications: DataFrame,
+    words: DataFrame,
+    cfg: RuleConfig = DEFAULT,
+    lexicon: DataFrame | None = None,
+) -> DataFrame:
     """Typed applications and OCR words to checked labels."""
-    return verify_blocks(applications, blocks_from_words(words, cfg), cfg)
+    return verify_blocks(applications, blocks_from_words(words, cfg), cfg, lexicon)
 
 
 def batch_report(checked: DataFrame) -> DataFrame:
