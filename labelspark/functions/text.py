@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,24 @@ SPACE = r"[\s\x1c-\x1f]"
 EDGE_PUNCTUATION = r"""^[.,;:!?'"()]+|[.,;:!?'"()]+$"""
 
 
+def built_once(fn):
+    """Reuse the columns a builder returns for the same arguments.
+
+    Building a large expression takes thousands of calls into the JVM; the columns
+    do not change, so one copy per gateway serves all plans.
+    """
+    built = {}
+
+    @wraps(fn)
+    def reuse(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in built:
+            built[key] = fn(*args)
+        return built[key]
+
+    return reuse
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it by name inside ``body``."""
     return F.transform(F.array(value), body)[0]

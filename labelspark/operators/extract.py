@@ -7,6 +7,8 @@ the walks over neighbours work on that array inside the row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from labelspark.functions import geometry as G
 from labelspark.functions import text as X
 from labelspark.functions.numbers import plausible_abv
 from labelspark.functions.similarity import brand_similarity
-from labelspark.functions.text import let, strip
+from labelspark.functions.text import built_once, let, strip
 
 FIELD = "struct<value:string,bbox:array<int>>"
 
@@ -180,60 +182,59 @@ def net_value(t: Column) -> Column:
     return F.when(number == "", F.lit("")).otherwise(F.concat_ws(" ", number, canonical))
 
 
-def block_tests(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """Evaluate every per-block test once."""
+@built_once
+def block_stages(cfg: RuleConfig) -> list[dict[str, Column]]:
+    """Per-block tests; every stage uses only columns of the stages before it."""
     t, up = F.col("t"), F.col("up")
     loose = F.regexp_extract_all(F.col("text"), F.lit(C.ABV_LOOSE), F.lit(1))
-    # stages: every stage uses only columns of the stages before it
-    return (
-        blocks.withColumn("text", F.coalesce("text", F.lit("")))
-        .withColumn("t", strip(F.col("text")))
-        .withColumn("up", F.upper("t"))
-        .withColumns(
-            {
-                "junk": is_junk(t),
-                "stop": is_stop_content(t, up),
-                "class_any": up.rlike(CLASS_ANYWHERE),
-                "class_word": up.rlike(CLASS_WORD),
-                "adjective": up.isin(C.CLASS_ADJECTIVES),
-                "suffix": suffix_candidate(t),
-                "abv": abv_qualified(t),
-                "abv_any": F.get(loose, F.lit(0)),
-                "abv_loose": F.get(F.filter(loose, plausible_abv), F.lit(0)),
-                "proof_no": F.regexp_extract("t", C.PROOF, 1),
-                "net": net_value(t),
-                "country": country_value(t),
-                "country_name": (F.length("t") < 40) & up.rlike(COUNTRY_ANYWHERE),
-                "bottler_header": t.rlike(C.BOTTLER_HEADER),
-                "opens": opens_warning(up),
-                "leaves": leaves_warning(t, up),
-            }
-        )
-        .withColumns(
-            {
-                "anchor": is_class_anchor(t, up, F.col("stop")),
-                "abv_score": F.when(plausible_abv(F.col("abv")), 2).otherwise(1)
-                + F.when(up.rlike("ALC|VOL|PROOF"), 2).otherwise(0),
-                "bottler_end": up.rlike("GOVERNMENT|WARNING")
-                | t.rlike(r"^\d+\s*%")
-                | t.rlike("(?i)^" + C.NET_CONTENTS.removeprefix("(?i)"))
-                | (F.col("country") != "")
-                | F.startswith("up", F.lit("CONTAINS")),
-                "in_warning": (F.length("t") >= 2) & ~F.col("leaves") & has_warning_keyword(up),
-            }
-        )
-        .withColumns(
-            {
-                "warning_pos": F.when(
-                    F.col("in_warning"), X.statement_position(t, cfg.required_statement)
-                ),
-                "warning_text": F.when(
-                    F.col("in_warning") & up.rlike(SERVING_TRACE),
-                    X.strip_nutrition(t, C.SERVING_MARKERS, C.ORPHAN_SERVING_WORDS),
-                ).when(F.col("in_warning"), t),
-            }
-        )
-    )
+    return [
+        {"text": F.coalesce("text", F.lit(""))},
+        {"t": strip(F.col("text"))},
+        {"up": F.upper("t")},
+        {
+            "junk": is_junk(t),
+            "stop": is_stop_content(t, up),
+            "class_any": up.rlike(CLASS_ANYWHERE),
+            "class_word": up.rlike(CLASS_WORD),
+            "adjective": up.isin(C.CLASS_ADJECTIVES),
+            "suffix": suffix_candidate(t),
+            "abv": abv_qualified(t),
+            "abv_any": F.get(loose, F.lit(0)),
+            "abv_loose": F.get(F.filter(loose, plausible_abv), F.lit(0)),
+            "proof_no": F.regexp_extract("t", C.PROOF, 1),
+            "net": net_value(t),
+            "country": country_value(t),
+            "country_name": (F.length("t") < 40) & up.rlike(COUNTRY_ANYWHERE),
+            "bottler_header": t.rlike(C.BOTTLER_HEADER),
+            "opens": opens_warning(up),
+            "leaves": leaves_warning(t, up),
+        },
+        {
+            "anchor": is_class_anchor(t, up, F.col("stop")),
+            "abv_score": F.when(plausible_abv(F.col("abv")), 2).otherwise(1)
+            + F.when(up.rlike("ALC|VOL|PROOF"), 2).otherwise(0),
+            "bottler_end": up.rlike("GOVERNMENT|WARNING")
+            | t.rlike(r"^\d+\s*%")
+            | t.rlike("(?i)^" + C.NET_CONTENTS.removeprefix("(?i)"))
+            | (F.col("country") != "")
+            | F.startswith("up", F.lit("CONTAINS")),
+            "in_warning": (F.length("t") >= 2) & ~F.col("leaves") & has_warning_keyword(up),
+        },
+        {
+            "warning_pos": F.when(
+                F.col("in_warning"), X.statement_position(t, cfg.required_statement)
+            ),
+            "warning_text": F.when(
+                F.col("in_warning") & up.rlike(SERVING_TRACE),
+                X.strip_nutrition(t, C.SERVING_MARKERS, C.ORPHAN_SERVING_WORDS),
+            ).when(F.col("in_warning"), t),
+        },
+    ]
+
+
+def block_tests(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+    """Evaluate every per-block test once."""
+    return reduce(DataFrame.withColumns, block_stages(cfg), blocks)
 
 
 # --- walks over the ordered blocks of one label --------------------------------
@@ -632,27 +633,30 @@ def country_of_origin(bs: Column) -> Column:
     )
 
 
-def extract_fields(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """Block table to one row per label. The brand stays open until the application is
-    known: ``brand_candidates`` and ``brand_prominent`` go into :func:`pick_brand`."""
-    labels = in_reading_order(block_tests(blocks, cfg))
-    bs = F.col("bs")
-    combined = F.col("combined")
-    warning = (
-        warning_by_reference(bs) if cfg.required_statement.strip() else warning_by_anchor(bs)
-    )
-    return labels.select(
-        "label_id",
-        "all_text",
+@built_once
+def field_columns(by_reference: bool) -> list[Column]:
+    bs, combined = F.col("bs"), F.col("combined")
+    return [
         brand_candidates(bs).alias("brand_candidates"),
         prominent_brand(bs).alias("brand_prominent"),
         class_type(bs, combined).alias("class_type"),
         alcohol_pct(bs, combined).alias("alcohol_pct"),
         proof(bs, combined).alias("proof"),
         net_contents(bs, combined).alias("net_contents"),
-        warning.alias("government_warning"),
+        (warning_by_reference(bs) if by_reference else warning_by_anchor(bs)).alias(
+            "government_warning"
+        ),
         bottler(bs, F.col("combined_stripped")).alias("bottler"),
         country_of_origin(bs).alias("country_of_origin"),
+    ]
+
+
+def extract_fields(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+    """Block table to one row per label. The brand stays open until the application is
+    known: ``brand_candidates`` and ``brand_prominent`` go into :func:`pick_brand`."""
+    labels = in_reading_order(block_tests(blocks, cfg))
+    return labels.select(
+        "label_id", "all_text", *field_columns(bool(cfg.required_statement.strip()))
     )
 
 

@@ -10,7 +10,8 @@ def first_files(files: DataFrame) -> DataFrame:
     """First file in listing order per key: an aggregate, so many copies of one name
     are reduced before the exchange."""
     order = "listing_no" if "listing_no" in files.columns else "path"
-    return files.groupBy("file_key").agg(F.min_by("path", order).alias("path"))
+    first = F.min_by(F.struct("path", F.col(order).alias("listed")), order)
+    return files.groupBy("file_key").agg(first.alias("f")).select("file_key", "f.*")
 
 
 def match_files(applications: DataFrame, files: DataFrame) -> DataFrame:
@@ -19,10 +20,10 @@ def match_files(applications: DataFrame, files: DataFrame) -> DataFrame:
     The file side has one row per key, so a label_id that a third of the
     applications share is split by the adaptive skew join.
     """
-    order = "listing_no" if "listing_no" in files.columns else "path"
-    exact = first_files(files)
-    folded = files.groupBy(F.lower("file_key").alias("folded_key")).agg(
-        F.min_by("path", order).alias("folded_path")
+    by_key = first_files(files)
+    exact = by_key.drop("listed")
+    folded = by_key.groupBy(F.lower("file_key").alias("folded_key")).agg(
+        F.min_by("path", "listed").alias("folded_path")
     )
     joined = (
         applications.join(exact, F.col("label_id") == F.col("file_key"), "left")

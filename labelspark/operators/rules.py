@@ -18,7 +18,7 @@ from labelspark.functions.numbers import abv_float, net_ml, percent
 from labelspark.functions.similarity import (
     clean_words, confusable, smart_match, tokens_in_words,
 )
-from labelspark.functions.text import norm
+from labelspark.functions.text import built_once, norm
 
 IDENTITY, ALCOHOL, WARNING, ORIGIN, OTHER = (
     "Identity", "Alcohol & contents", "Warning", "Origin", "Other",
@@ -108,41 +108,10 @@ def rule_inputs(matched: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
         clean_words(F.col("all_text")).alias("label_words"),
     )
     col = F.col
-    # One expression per kind of comparison, applied to the pairs that need it: the
-    # fuzzy functions are large, and a copy per rule would swell the plan.
-    pairs = F.array(
-        F.struct(col("a_brand_name").alias("app"), col("l_brand_name").alias("label")),
-        F.struct(col("a_class_type").alias("app"), col("l_class_type").alias("label")),
-        F.struct(
-            col("a_bottler").alias("app"),
-            F.when(col("l_bottler") != "", col("l_bottler"))
-            .otherwise(col("l_brand_name")).alias("label"),
-        ),
-    )
-    inputs = inputs.withColumn(
-        "m", F.transform(pairs, lambda p: smart_match(p["app"], p["label"], cfg))
-    ).select(
+    inputs = inputs.withColumn("m", match_scores(cfg)).select(
         "*", *[F.col("m")[i].alias(f"m_{n}") for i, n in enumerate(("brand", "class", "bottler"))]
     )
-    # full-text search, only where the match score leaves it to decide
-    searches = F.array(
-        *[
-            F.struct(col(f"a_{f}").alias("value"), need.alias("need"))
-            for f, need in [
-                ("brand_name", col("m_brand.score") < cfg.match_pass),
-                ("class_type", col("m_class.score") < cfg.match_pass),
-                ("bottler",
-                 (col("l_bottler") == "") | (col("m_bottler.score") < cfg.bottler_pass)),
-            ]
-        ]
-    )
-    found = F.transform(
-        searches,
-        lambda s: F.when(
-            s["need"], tokens_in_words(s["value"], col("low"), col("label_words"), cfg)
-        ).otherwise(F.lit(False)),
-    )
-    inputs = inputs.withColumn("t", found).select(
+    inputs = inputs.withColumn("t", found_in_text(cfg)).select(
         "*", *[F.col("t")[i].alias(f"t_{n}") for i, n in enumerate(("brand", "class", "bottler"))]
     )
     values = (
@@ -167,8 +136,64 @@ def rule_inputs(matched: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
                 "inferred": infer_requirements(col("class_name")),
             }
         )
-        .withColumn("statement_words", X.upper_words(col("statement_norm")))
+        .withColumns(
+            {
+                "statement_words": X.upper_words(col("statement_norm")),
+                "exact": exact_wording(cfg),
+            }
+        )
+        .withColumns(wording_evidence(cfg))
+        .withColumn("age_text", age_snippet())
     )
+    return values.withColumn("c", misreads(cfg)).select(
+        "*", *[F.col("c")[i].alias(f"c_{f}") for i, f in enumerate(confusable_needs(cfg))]
+    )
+
+
+# One expression per kind of comparison, applied to the pairs that need it: the fuzzy
+# functions are large, and a copy per rule would swell the plan.
+
+
+@built_once
+def match_scores(cfg: RuleConfig) -> Column:
+    """Match outcomes of brand, class and bottler (or the brand, lacking a bottler)."""
+    col = F.col
+    pairs = F.array(
+        F.struct(col("a_brand_name").alias("app"), col("l_brand_name").alias("label")),
+        F.struct(col("a_class_type").alias("app"), col("l_class_type").alias("label")),
+        F.struct(
+            col("a_bottler").alias("app"),
+            F.when(col("l_bottler") != "", col("l_bottler"))
+            .otherwise(col("l_brand_name")).alias("label"),
+        ),
+    )
+    return F.transform(pairs, lambda p: smart_match(p["app"], p["label"], cfg))
+
+
+@built_once
+def found_in_text(cfg: RuleConfig) -> Column:
+    """Full-text search, only where the match score leaves it to decide."""
+    col = F.col
+    needs = {
+        "brand_name": col("m_brand.score") < cfg.match_pass,
+        "class_type": col("m_class.score") < cfg.match_pass,
+        "bottler": (col("l_bottler") == "") | (col("m_bottler.score") < cfg.bottler_pass),
+    }
+    searches = F.array(
+        *[F.struct(col(f"a_{f}").alias("value"), n.alias("need")) for f, n in needs.items()]
+    )
+    return F.transform(
+        searches,
+        lambda s: F.when(
+            s["need"], tokens_in_words(s["value"], col("low"), col("label_words"), cfg)
+        ).otherwise(F.lit(False)),
+    )
+
+
+@built_once
+def misreads(cfg: RuleConfig) -> Column:
+    """Whether OCR may have misread a value, in the order of ``confusable_needs``."""
+    col = F.col
     compared = F.array(
         *[
             F.struct(col(f"a_{f}").alias("app"), col(f"l_{f}").alias("label"),
@@ -177,17 +202,15 @@ def rule_inputs(matched: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
             for f, need in confusable_needs(cfg).items()
         ]
     )
-    mixed = F.transform(
+    return F.transform(
         compared,
         lambda p: F.when(p["need"], confusable(p["app"], p["label"], cfg)).otherwise(
             F.lit(False)
         ),
     )
-    return values.withColumn("c", mixed).select(
-        "*", *[F.col("c")[i].alias(f"c_{f}") for i, f in enumerate(confusable_needs(cfg))]
-    )
 
 
+@built_once
 def confusable_needs(cfg: RuleConfig) -> dict[str, Column]:
     """Where a rule asks whether OCR may have misread the value, by field."""
     col = F.col
@@ -205,6 +228,7 @@ def confusable_needs(cfg: RuleConfig) -> dict[str, Column]:
     }
 
 
+@built_once
 def known_age() -> Column:
     """Years of age: application value when positive, else the youngest on the label."""
     col = F.col
@@ -499,22 +523,47 @@ def required_norm(cfg: RuleConfig) -> str:
     return " ".join(cfg.required_statement.upper().replace(",", " ").split())
 
 
+@built_once
+def exact_wording(cfg: RuleConfig) -> Column:
+    """The statement contains the required wording or is a long enough start of it."""
+    text, need = F.col("statement_norm"), F.lit(required_norm(cfg))
+    if not required_norm(cfg):
+        return F.lit(True)
+    return F.contains(text, need) | ((F.length(text) >= 50) & F.startswith(need, text))
+
+
+@built_once
+def wording_evidence(cfg: RuleConfig) -> dict[str, Column]:
+    """What the wording rule cites; the word tests only where the wording is not exact."""
+    words, need = F.col("statement_words"), required_norm(cfg)
+    return {
+        "shown": display_statement(cfg),
+        "words_present": F.when(~F.col("exact"), all_words_present(words, need)),
+        "extra": F.when(~F.col("exact"), extra_words(words, need)),
+    }
+
+
+@built_once
+def age_snippet() -> Column:
+    low = F.col("low")
+    return F.coalesce(
+        X.snippet(low, AGED, 10, 30), X.snippet(low, YEARS, 15, 5),
+        X.snippet(low, AGE_STATEMENT, 0, 20),
+    )
+
+
 def wording_rule(cfg: RuleConfig) -> Column:
     col = F.col
     box, text, words = col("government_warning.bbox"), col("statement_norm"), col("statement_words")
     required = " ".join(cfg.required_statement.split())
-    shown = display_statement(cfg)
     suspicious = F.array_sort(col("suspicious"))
 
     def out(status, message, app=required):
-        return result("Exact warning wording", WARNING, status, message, box, shown, app)
+        return result("Exact warning wording", WARNING, status, message, box, col("shown"), app)
 
     complete = "Warning statement present and appears complete."
     if not required:
         return out("pass", complete, "Required statement")
-    need = F.lit(required_norm(cfg))
-    exact = F.contains(text, need) | ((F.length(text) >= 50) & F.startswith(need, text))
-
     def has(*phrases):
         test = F.lit(True)
         for p in phrases:
@@ -523,8 +572,7 @@ def wording_rule(cfg: RuleConfig) -> Column:
 
     first = has("(1)", "SURGEON GENERAL", "ACCORDING TO THE")
     second = has("(2)", "IMPAIRS", "OPERATE MACHINERY", "HEALTH PROBLEMS")
-    present = all_words_present(words, required_norm(cfg))
-    extra = extra_words(words, required_norm(cfg))
+    present, extra = col("words_present"), col("extra")
     in_order = phrase_within_gap(words, "BIRTH DEFECTS") & phrase_within_gap(
         words, "HEALTH PROBLEMS"
     )
@@ -550,7 +598,7 @@ def wording_rule(cfg: RuleConfig) -> Column:
         )
     )
     return (
-        F.when(exact, out("pass", complete))
+        F.when(col("exact"), out("pass", complete))
         .when(F.length(text) < 50, out("fail", "Warning text appears incomplete or incorrect."))
         .when(
             first & second & present & (F.size(extra) == 0) & in_order & capitals,
@@ -753,10 +801,7 @@ def other_rules(cfg: RuleConfig) -> list[Column]:
         col("f_age_statement_required") | unknown
         | F.coalesce(col("age_known") < cfg.whisky_age_years, F.lit(False)),
     ).otherwise(col("f_age_statement_required"))
-    age_text = F.coalesce(
-        X.snippet(low, AGED, 10, 30), X.snippet(low, YEARS, 15, 5),
-        X.snippet(low, AGE_STATEMENT, 0, 20),
-    )
+    age_text = col("age_text")
     age_message = F.concat(
         F.when(age_text.isNotNull(), "Age statement found.").otherwise(
             "Age statement required but not found."
@@ -824,6 +869,7 @@ def other_rules(cfg: RuleConfig) -> list[Column]:
 # --- the whole rule set ---------------------------------------------------------------
 
 
+@built_once
 def rule_array(cfg: RuleConfig = DEFAULT) -> Column:
     """Results of one row in the fixed category order."""
     rules = [
