@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from labelspark import schemas
 from labelspark.plans.verify import verify_blocks
