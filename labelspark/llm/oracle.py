@@ -77,4 +77,33 @@ from documents d left join sizes using (doc_id) join reach r on r.x = d.doc_id
 group by 1, 2
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op8_exact_dedup": OP8, "op10_decontamination": OP10}
+OP3 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all
+  select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), named as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place,
+         coalesce(lag(role) over (partition by conv_id order by turn nulls first, role, text), 'start') as before,
+         case when role in ('system', 'user', 'assistant') then length(role)
+              else 2 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) end as title_chars
+  from turns
+), checked as (
+  select *, before || '>' || role in
+    ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') as fine
+  from named
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(4 + title_chars + 2 + length(text) + length(regexp_replace(text, '[^\\#<:]', '', 'g')) + 8)::bigint
+         as formatted_chars,
+       bool_and(fine) and arg_max(role, place) = 'assistant' as valid_order,
+       coalesce(min(place) filter (not fine), -1)::int as first_bad_turn
+from checked group by conv_id
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op8_exact_dedup": OP8, "op10_decontamination": OP10}
