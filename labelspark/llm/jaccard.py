@@ -29,7 +29,7 @@ from labelspark.llm.tasks import map_batches
 
 #: Prices of the allocation: one signature sent, one pair of sets compared, and how likely two
 #: unrelated sets of a band are taken to agree on a shingle. They move cost, never results.
-SIGNATURE_COST, PAIR_COST, AGREEMENT = 1.0, 20.0, 0.3
+SIGNATURE_COST, PAIR_COST, AGREEMENT = 1.0, 20.0, 0.05
 #: Sizes of a band differ by less than this factor.
 BAND_NUMERATOR, BAND_DENOMINATOR = 3, 2
 BYTES_PER_WORD = 6
