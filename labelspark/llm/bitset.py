@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Upper bound of a filter, 16 MB. A fuller filter lets more rows pass, never fewer.
-MAX_BITS = 1 << 27
+#: Upper bound of a filter, 8 MB. A fuller filter lets more rows pass, never fewer.
+MAX_BITS = 1 << 26
 BITS_PER_KEY = 64
 
 
@@ -29,10 +29,10 @@ def build_filter(df: DataFrame, column: str, keys: int) -> np.ndarray:
         df.select(places.alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out.view(np.uint64)
 
 

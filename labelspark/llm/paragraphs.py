@@ -72,7 +72,7 @@ def spans_of(text: str | None, s: ParagraphSettings) -> tuple[list[bytes], list[
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("key", pa.int64()), ("check", pa.int32())])
-_BANDS = pa.schema([("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_BANDS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("key", pa.int64()), ("elements", pa.binary())])
 #: Keys a task remembers, to send a repeated paragraph's bands or shingles once.
 REMEMBERED = 200_000
@@ -115,14 +115,14 @@ def _occurrences(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
 
 
 def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """(band, key): the MinHash bands of each paragraph."""
+    """(doc_id, key, band): the MinHash bands of each paragraph."""
     bands, rows = tuned_bands(s.percent, s.recall, s.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            names, values = [], []
-            for text in b.column("text").to_pylist():
+            docs_, names, values = [], [], []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 shingles, at, key = _parts(text, s)
                 new = [i for i, x in enumerate(key[:, 0].tolist()) if x not in done]
                 if not new:
@@ -136,14 +136,16 @@ def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
                         least = np.minimum.reduceat(mix(padded, 1000 + band * rows + r), cut)[::2]
                         total = mix(total * np.uint64(31) + least, 5)
                     own.append(total)
-                names.append(key[new, 0].view(np.int64) if len(new) == len(key) else key[new, 0].copy().view(np.int64))
+                docs_ += [doc] * len(new)
+                names.append(key[new, 0].copy().view(np.int64))
                 values.append(np.stack(own, axis=1).view(np.int64))
             flat = np.concatenate(values).ravel() if values else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)
-            yield batch_of(_BANDS, np.concatenate(names) if names else np.zeros(0, np.int64), lists)
+            yield batch_of(_BANDS, docs_, np.concatenate(names) if names else np.zeros(0, np.int64), lists)
 
-    made = map_batches(docs.select("text"), run, "key long, bands array<long>")
-    return made.select("key", F.explode("bands").alias("band"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = map_batches(read, run, "doc_id long, key long, bands array<long>")
+    return made.select("doc_id", "key", F.explode("bands").alias("band"))
 
 
 def _candidates(banded: DataFrame) -> DataFrame:
@@ -151,13 +153,15 @@ def _candidates(banded: DataFrame) -> DataFrame:
 
     The first key stands for the band, so a band of near copies gives as many pairs as it has
     keys; the neighbours' chain adds second chances for those that differ from the first.
+    Stretches of one document overlap and meet by design; those meetings are left out.
     """
     order = Window.partitionBy("band").orderBy("key")
-    near = banded.select("key", F.first("key").over(order).alias("first"), F.lag("key").over(order).alias("before"))
-    pairs = near.where("before is not null and before <> key").select(
-        F.col("key").alias("u"), F.explode(F.array_distinct(F.array("first", "before"))).alias("v")
+    one = F.struct("key", "doc_id")
+    near = banded.select("key", "doc_id", F.first(one).over(order).alias("first"), F.lag(one).over(order).alias("before"))
+    other = near.where("before.key <> key").select(
+        "key", "doc_id", F.explode(F.array_distinct(F.array("first", "before"))).alias("o")
     )
-    return pairs.where("u <> v").distinct()
+    return other.where("o.key <> key and o.doc_id <> doc_id").select(F.col("key").alias("u"), F.col("o.key").alias("v")).distinct()
 
 
 def _shingles_of(docs: DataFrame, keys: DataFrame, s: ParagraphSettings) -> DataFrame:
