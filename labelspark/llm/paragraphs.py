@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from labelspark.llm.bitset import build_filter, may_hold
 from labelspark.llm.components import components
-from labelspark.llm.hashing import mix, overlap, run_hashes, word_hashes
+from labelspark.llm.hashing import mix, multiplier, overlap, run_hashes, word_hashes
 from labelspark.llm.stored import stored
 from labelspark.llm.tasks import batch as batch_of
 from labelspark.llm.tasks import map_batches
@@ -56,8 +56,13 @@ def _starts(hashes: np.ndarray, s: ParagraphSettings) -> np.ndarray:
     window, n = s.passage - s.stretch + 1, len(hashes) - s.stretch + 1
     if n < window:
         return np.empty(0, dtype=np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(mix(hashes[:n], 9), window).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
+    least = (mix(hashes[:n], 9) & ~np.uint64(0xFFFFFFFF)) | np.arange(n, dtype=np.uint64)
+    width = 1
+    while width < window:  # least value of each run, with its place in the low half
+        step = min(width, window - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def spans_of(text: str | None, s: ParagraphSettings) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -133,7 +138,7 @@ def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
                 for band in range(bands):
                     total = np.full(len(new), band, dtype=np.uint64)
                     for r in range(rows):
-                        least = np.minimum.reduceat(mix(padded, 1000 + band * rows + r), cut)[::2]
+                        least = np.minimum.reduceat(padded * multiplier(1000 + band * rows + r), cut)[::2]
                         total = mix(total * np.uint64(31) + least, 5)
                     own.append(total)
                 docs_ += [doc] * len(new)
