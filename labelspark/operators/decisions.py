@@ -36,13 +36,15 @@ def bucket_of(decision: Column) -> Column:
 
 
 def move_applications(store: DataFrame, decided: DataFrame) -> DataFrame:
-    """Store after the decisions: a decided entry leaves its bucket for the new one.
+    """Store after the decisions: a decided entry moves to the new bucket and keeps the rest.
 
     ``store`` and ``decided`` hold one entry per id and ``bucket``; a decision on
     an id the store does not know adds the entry.
     """
-    stays = store.join(decided.select("id"), "id", "left_anti")
-    return stays.unionByName(decided, allowMissingColumns=True)
+    to = decided.select("id", F.col("bucket").alias("_to"))
+    moved = store.join(to, "id", "left").withColumn("bucket", F.coalesce("_to", "bucket"))
+    added = decided.join(store.select("id"), "id", "left_anti")
+    return moved.drop("_to").unionByName(added, allowMissingColumns=True)
 
 
 def bucket_counts(store: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ COUNTRY_ANYWHERE = occurs_pattern(C.KNOWN_COUNTRIES)
 SERVING_MARKER = occurs_pattern(C.SERVING_MARKERS)
 SERVING_TRACE = occurs_pattern(C.SERVING_MARKERS + C.ORPHAN_SERVING_WORDS) + r"|\|"
 WARNING_KEYWORD = occurs_pattern(C.WARNING_KEYWORDS)
-SUFFIX_WORD = r"(?:^|\s)(%s)(?=\s|$)" % "|".join(
+SUFFIX_WORD = r"(?U)(?:^|\s)(%s)(?=\s|$)" % "|".join(
     sorted(C.BRAND_SUFFIXES + C.CORPORATE_SUFFIXES + C.OTHER_SUFFIXES, key=len, reverse=True)
 )
 

@@ -903,10 +903,9 @@ def as_application_side(applications: DataFrame) -> DataFrame:
 def run_rules(matched: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Add ``results`` to rows that hold an application and the extracted fields."""
     keep = [F.col(c) for c in matched.columns]
-    # The condition is always true. Being non-deterministic to the optimizer, it stops
-    # filters on the results from being pushed below, which would copy the rule
-    # expressions into the filter over and over.
-    results = F.when(F.spark_partition_id() >= 0, rule_array(cfg))
+    # A generator of one row: filters on keys go below it, filters on the results stay
+    # above, so the rule expressions are not copied into them.
+    results = F.explode(F.array(rule_array(cfg)))
     return rule_inputs(matched, cfg).select(*keep, results.alias("results"))
 
 

@@ -29,18 +29,28 @@ def canonical_name(header: str) -> str:
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
-    """Rename submitted headers; the first of two headers with one meaning is kept."""
-    seen: dict[str, str] = {}
+    """Rename submitted headers; of headers with one meaning, the first that is filled in counts."""
+    same: dict[str, list[str]] = {}
     for c in df.columns:
-        seen.setdefault(canonical_name(c), c)
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in seen.items()])
+        same.setdefault(canonical_name(c), []).append(c)
+    return df.select(*[_first_filled(old).alias(new) for new, old in same.items()])
 
 
-def read_applications(spark: SparkSession, path: str) -> DataFrame:
+def _first_filled(names: list[str]) -> Column:
+    columns = [F.col(f"`{n}`") for n in names]
+    if len(columns) == 1:
+        return columns[0]
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns], columns[0])
+
+
+def read_applications(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV submission to typed applications. Everything is read as text: numbers keep
-    the form they were written in."""
+    the form they were written in.
+
+    Quoted fields may hold line breaks, for which a file is read by one task; set
+    ``multi_line`` to False for huge files known to have none, which are then split."""
     raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=False, escape='"',
+        path, header=True, inferSchema=False, multiLine=multi_line, escape='"',
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
     )
     return type_applications(normalize_columns(raw))

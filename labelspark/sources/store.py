@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +38,39 @@ def entries(checked: DataFrame, bucket: str = "under_review") -> DataFrame:
     )
 
 
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    """Number and folder of the current version, if any."""
+    try:
+        named = spark.read.schema("number long, folder string").parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if _missing(e):
+            return []
+        raise
+    return named.orderBy(F.col("number").desc(), "folder").limit(1).collect()
+
+
 def write_store(store: DataFrame, path: str) -> None:
-    """Parquet partitioned by bucket, so reading one bucket reads its files only."""
-    store.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Write a new version, partitioned by bucket, and then name it the current one.
+
+    Older versions stay, so ``store`` may be read from the same path.
+    """
+    current = _versions(store.sparkSession, path)
+    number, folder = (current[0]["number"] if current else 0) + 1, f"data-{uuid.uuid4().hex}"
+    store.write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    named = store.sparkSession.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(folder).alias("folder"))
+    named.write.mode("append").parquet(f"{path}/versions")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store, or three empty buckets where nothing readable is there."""
-    try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
-    except AnalysisException:
+    """The current version, or three empty buckets where nothing was written yet."""
+    current = _versions(spark, path)
+    if not current:
         return spark.createDataFrame([], STORE_SCHEMA)
+    return spark.read.schema(STORE_SCHEMA).parquet(f"{path}/{current[0]['folder']}")
 
 
 def to_json_form(store: DataFrame) -> DataFrame:
@@ -64,14 +88,35 @@ def export_json(store: DataFrame, path: str) -> None:
     to_json_form(store).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def import_json(spark: SparkSession, path: str) -> DataFrame:
-    """Exported store; a missing path or unreadable lines give no entries."""
+def _exported(spark: SparkSession, path: str) -> DataFrame | None:
     text_form = STORE_SCHEMA.replace("image_bytes binary", "image_bytes string")
     try:
-        raw = spark.read.schema(text_form).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if _missing(e):
+            return None
+        raise
+    entry = F.from_json("value", f"{text_form}, unreadable string", {"columnNameOfCorruptRecord": "unreadable"})
+    parsed = lines.where("trim(value) <> ''").withColumn("e", entry)
+    if "bucket" in lines.columns:  # the export's folders name it
+        parsed = parsed.withColumn("e", F.col("e").withField("bucket", F.col("bucket").cast("string")))
+    return parsed.select("e.*")
+
+
+def import_json(spark: SparkSession, path: str) -> DataFrame:
+    """Exported store; a missing path gives no entries. See `import_rejects` for other lines."""
+    raw = _exported(spark, path)
+    if raw is None:
         return spark.createDataFrame([], STORE_SCHEMA)
-    return from_json_form(raw)
+    return from_json_form(raw.where("unreadable is null").drop("unreadable"))
+
+
+def import_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of an export that are no entries: bucket and the line."""
+    raw = _exported(spark, path)
+    if raw is None:
+        return spark.createDataFrame([], "bucket string, unreadable string")
+    return raw.where("unreadable is not null").select("bucket", "unreadable")
 
 
 def write_report(report: DataFrame, path: str, form: str = "parquet") -> None:

@@ -163,3 +163,43 @@ def test_failed_rows_and_filters(verified):
     statuses = P.filter_status(rows, "Needs review").select("overall_status").distinct()
     assert [r[0] for r in statuses.collect()] == ["Needs review"]
     assert sum(r["labels"] for r in P.batch_totals(rows).collect()) == 200
+
+
+def test_store_survives_reading_and_writing_one_path(spark, tmp_path):
+    from labelspark.operators.decisions import move_applications
+    from labelspark.sources.store import STORE_SCHEMA, read_store, write_store
+
+    path = str(tmp_path / "store")
+    rows = [("L1", "Old Tom", "Gin", "ok", "{}", None, "{}", "under_review"), ("L2", "B", "C", "ok", "{}", None, "{}", "under_review")]
+    write_store(spark.createDataFrame(rows, STORE_SCHEMA), path)
+    for bucket in ("approved", "rejected"):
+        decided = spark.createDataFrame([("L1", bucket), ("L3", bucket)], "id string, bucket string")
+        write_store(move_applications(read_store(spark, path), decided), path)
+    after = {r.id: (r.brand_name, r.bucket) for r in read_store(spark, path).collect()}
+    assert after == {"L1": ("Old Tom", "rejected"), "L2": ("B", "under_review"), "L3": (None, "rejected")}
+
+
+def test_csv_fields_may_hold_line_breaks(spark, tmp_path):
+    from labelspark.sources.applications import read_applications
+
+    (tmp_path / "in.csv").write_text('label_id,brand_name,class_type\nA,"Old\nTom",Gin\n')
+    rows = read_applications(spark, str(tmp_path / "in.csv")).collect()
+    assert [(r.label_id, r.brand_name) for r in rows] == [("A", "Old\nTom")]
+
+
+def test_unreadable_export_lines_are_rejects(spark, tmp_path):
+    from labelspark.sources.store import import_json, import_rejects
+
+    folder = tmp_path / "bucket=approved"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id": "L1", "image_bytes": ""}\n{"id": broken\n')
+    assert [r.id for r in import_json(spark, str(tmp_path)).collect()] == ["L1"]
+    assert [r.unreadable for r in import_rejects(spark, str(tmp_path)).collect()] == ['{"id": broken']
+
+
+def test_key_filters_pass_below_the_rules(spark):
+    from labelspark.plans.queries import QUERIES
+
+    plan = QUERIES["verify_labels"](spark, "/root/testdata/sf0.001").where("label_id = 'L7'")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in text.split("Generate", 1)[1] and "L7" in text.split("Generate", 1)[1]
