@@ -6,6 +6,10 @@ segments' allowances add up to H + 1, two such sets differ in fewer elements tha
 allowance in at least one segment. Allowance 1 asks for an equal subset, allowance 2 for
 subsets that differ in one element at most, which one-deletion neighbourhoods find. How many
 segments have which allowance is decided by cost for each band of sizes.
+
+Sets that meet are compared by parity sketches before any element travels: bit b tells whether
+an odd number of a set's elements hash to b. Two sketches differ in at most as many bits as
+their sets have unshared elements, so a pair over the allowance is refused without error.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ SIGNATURE_COST, PAIR_COST, AGREEMENT = 1.0, 20.0, 0.05
 #: Sizes of a band differ by less than this factor.
 BAND_NUMERATOR, BAND_DENOMINATOR = 3, 2
 BYTES_PER_WORD = 6
+#: Longs of a parity sketch. More refuse more unrelated pairs of long texts; results are the same.
+SKETCH_WORDS = 16
+#: Sets of a bucket's part: fuller buckets are compared in several parts.
+PART = 4096
 
 
 @dataclass(frozen=True)
@@ -95,13 +103,21 @@ def _set_key(elements: np.ndarray) -> tuple[int, int]:
     return _signed(n >> 64), _signed(n & ((1 << 64) - 1))
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements that hash to each bit, as SKETCH_WORDS longs."""
+    bits = SKETCH_WORDS * 64
+    counts = np.bincount((mix(elements, 4) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 _ROWS = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
-     ("full", pa.list_(pa.int64())), ("fewer", pa.list_(pa.int64())), ("raw_sha256", pa.string())]
+     ("full", pa.list_(pa.int64())), ("fewer", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+     ("raw_sha256", pa.string())]
 )
 _SETS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("elements", pa.binary())])
 
@@ -139,7 +155,7 @@ def _signed_rows(docs: DataFrame, k: int, percent: int, bands: list[Band]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            sizes, keys, full, fewer = [], [], [], []
+            sizes, keys, full, fewer, sketches = [], [], [], [], []
             for t in texts:
                 elements = _elements(t, k)
                 sizes.append(len(elements))
@@ -147,10 +163,14 @@ def _signed_rows(docs: DataFrame, k: int, percent: int, bands: list[Band]) -> Da
                 f, d = of(elements)
                 full.append(f.view(np.int64))
                 fewer.append(d.view(np.int64))
+                sketches.append(sketch(elements))
             digests = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
-            yield batch_of(_ROWS, b.column("doc_id"), sizes, *(zip(*keys) if keys else ([], [])), full, fewer, digests)
+            yield batch_of(
+                _ROWS, b.column("doc_id"), sizes, *(zip(*keys) if keys else ([], [])), full, fewer, sketches, digests
+            )
 
-    kind = "doc_id long, n_shingles long, hi long, lo long, full array<long>, fewer array<long>, raw_sha256 string"
+    kind = "doc_id long, n_shingles long, hi long, lo long, full array<long>, fewer array<long>"
+    kind += ", sketch array<long>, raw_sha256 string"
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, kind)
 
 
@@ -167,9 +187,8 @@ def _buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return numbered.where("rank > 1 or next is not null").drop("next")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
-    """(set, elements) of every set that shares a signature with another."""
-    keys = stored(classes.join(buckets.select("set").distinct(), "set", "left_semi").select("set", "hi", "lo"))
+def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(set, elements) of the sets of `keys` (set, hi, lo)."""
     bits = docs.sparkSession.sparkContext.broadcast(build_filter(keys, "hi", keys.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,42 +228,78 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(with_both.select("u", "v", "eu", "ev"), run, "u long, v long")
 
 
-def _labels(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the buckets whose sets are not in one component yet, with label and parts."""
+    if labels is None:
+        named = buckets.withColumn("label", F.col("set"))
+    else:
+        named = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
+            "label", F.coalesce("label", "set")
+        )
+    open_ = named.groupBy("signature").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.max("rank").alias("size")
+    ).where("a < b")
+    parts = F.ceil(F.col("size") / PART).cast("int").alias("parts")
+    return stored(named.join(open_.select("signature", parts), "signature"))
+
+
+def _met(active: DataFrame, sketches: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+    """(u, v): sets of ranks low..high-1 with later sets of their bucket that may be similar.
+
+    Sizes, labels and sketches are compared within the join, so no other pair leaves it. A full
+    bucket is dealt to several tasks: its later sets by rank, its first sets to each of them.
+    """
+    with_bits = active.join(sketches, "set")
+    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
+    first = with_bits.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
+        "signature", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("u"),
+        F.col("n").alias("nu"), F.col("rank").alias("ru"), F.col("label").alias("lu"), *[F.col(c).alias("u" + c) for c in bits]
+    )
+    later = with_bits.where(F.col("rank") > low).withColumn("part", (F.col("rank") % F.col("parts")).cast("int"))
+    unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("u" + c))) for c in bits), F.lit(0))
+    return first.join(later, ["signature", "part"]).where(
+        (F.col("rank") > F.col("ru")) & (F.col("label") != F.col("lu"))
+        & (F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent)
+        & (unlike * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent))
+    ).select("u", F.col("set").alias("v")).distinct()
+
+
+def _labels(docs: DataFrame, classes: DataFrame, buckets: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, label) of all sets that are linked to another.
 
     In each signature's bucket the sets of the first ranks are compared with all later sets of
     other components, then the next ranks, eight times as many, and so on. Sets found linked
     need no comparison with each other, so a bucket of near copies costs its size, not its
     square; a bucket is done when its sets are in one component or all pairs across are tested.
+    Elements are made and sent only for sets whose sketches let them pass.
     """
-    links = tested = labels = None
+    links = tested = sets = labels = None
     low, high = 1, 2
-    active = buckets.withColumn("label", F.col("set"))
+    active = _open(buckets, None)
     while True:
-        first = active.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "signature", F.col("set").alias("u"), F.col("n").alias("nu"), F.col("rank").alias("ru"), F.col("label").alias("lu")
-        )
-        met = first.join(active, "signature").where(
-            (F.col("rank") > F.col("ru")) & (F.col("label") != F.col("lu"))
-            & (F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent)
-        )
-        pairs = met.select("u", F.col("set").alias("v")).distinct()
+        pairs = _met(active, sketches, low, high, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs)
-        found = stored(_similar(pairs, sets, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        named = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
-            "label", F.coalesce("label", "set")
-        )
-        open_ = named.groupBy("signature").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-        active = stored(named.join(open_.select("signature"), "signature", "left_semi"))
+        if not pairs.isEmpty():
+            need = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()
+            if sets is not None:
+                need = need.join(sets.select("set"), "set", "left_anti")
+            keys = stored(classes.join(need, "set", "left_semi").select("set", "hi", "lo"))
+            if not keys.isEmpty():
+                more = _sets(docs, keys, k)
+                sets = more if sets is None else sets.unionByName(more)
+            found = stored(_similar(pairs, sets, percent))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = components(links)
+                active = _open(active.drop("label", "parts"), labels)
         low, high = high, high * 8
         last = active.agg(F.max("rank")).first()[0]
         if last is None or last <= low:
-            return labels
+            break
+    return docs.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
 
 
 def similar_rows(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -265,8 +320,12 @@ def similar_rows(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("row").alias("set"), F.min("doc_id").alias("first"))
     )
     buckets = stored(_buckets(rows, classes))
-    sets = _sets(docs, classes, buckets, k)
-    labels = _labels(buckets, sets, percent)
+    met = classes.join(buckets.select("set").distinct(), "set", "left_semi").select("set")
+    sketches = stored(
+        rows.withColumnRenamed("row", "set").join(met, "set", "left_semi")
+        .select("set", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
+    )
+    labels = _labels(docs, classes, buckets, sketches, k, percent)
     labelled = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "label", F.coalesce("label", "set")
     )
