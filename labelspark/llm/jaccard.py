@@ -208,7 +208,8 @@ def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
             yield batch_of(_SETS, *(zip(*out) if out else [[]] * 3))
 
     found = map_batches(docs.select("text"), run, "hi long, lo long, elements binary")
-    return stored(found.join(keys, ["hi", "lo"]).groupBy("set").agg(F.first("elements").alias("elements")))
+    once = found.groupBy("hi", "lo").agg(F.first("elements").alias("elements"))
+    return stored(once.join(keys, ["hi", "lo"]).select("set", "elements"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,13 +224,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    with_v = pairs.join(sets.select(F.col("set").alias("v"), F.col("elements").alias("ev")), "v")
-    with_both = with_v.join(sets.select(F.col("set").alias("u"), F.col("elements").alias("eu")), "u")
+    def side(node: str) -> DataFrame:
+        named = sets.select(F.col("set").alias(node), F.col("elements").alias("e" + node))
+        return named.join(pairs.select(node), node, "left_semi")
+
+    with_both = pairs.join(side("v"), "v").join(side("u"), "u")
     return map_batches(with_both.select("u", "v", "eu", "ev"), run, "u long, v long")
 
 
 def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the buckets whose sets are not in one component yet, with label and parts."""
+    """Rows of the buckets whose sets are not in one component yet, with label and the bucket's size."""
     if labels is None:
         named = buckets.withColumn("label", F.col("set"))
     else:
@@ -239,8 +243,7 @@ def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     open_ = named.groupBy("signature").agg(
         F.min("label").alias("a"), F.max("label").alias("b"), F.max("rank").alias("size")
     ).where("a < b")
-    parts = F.ceil(F.col("size") / PART).cast("int").alias("parts")
-    return stored(named.join(open_.select("signature", parts), "signature"))
+    return stored(named.join(open_.select("signature", "size"), "signature"))
 
 
 def _met(active: DataFrame, sketches: DataFrame, low: int, high: int, percent: int) -> DataFrame:
@@ -249,7 +252,8 @@ def _met(active: DataFrame, sketches: DataFrame, low: int, high: int, percent: i
     Sizes, labels and sketches are compared within the join, so no other pair leaves it. A full
     bucket is dealt to several tasks: its later sets by rank, its first sets to each of them.
     """
-    with_bits = active.join(sketches, "set")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    with_bits = active.where(F.col("size") > low).withColumn("parts", parts).join(sketches, "set")
     bits = [f"s{i}" for i in range(SKETCH_WORDS)]
     first = with_bits.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
         "signature", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("u"),
@@ -294,7 +298,7 @@ def _labels(docs: DataFrame, classes: DataFrame, buckets: DataFrame, sketches: D
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links)
-                active = _open(active.drop("label", "parts"), labels)
+                active = _open(active.drop("label", "size"), labels)
         low, high = high, high * 8
         last = active.agg(F.max("rank")).first()[0]
         if last is None or last <= low:
