@@ -241,9 +241,6 @@ class RuleConfig:
     abv_optional_types: tuple = ("beer",)
     required_statement: str = REQUIRED_STATEMENT
     generic_tokens: tuple = field(default=tuple(GENERIC_BRAND_TOKENS))
-    # A label with more OCR words than this leaves the one-row-per-label plan
-    # and is de-duplicated by distributed rounds instead (operators/dedup.py).
-    max_words_per_label: int = 20_000
 
 
 DEFAULT = RuleConfig()

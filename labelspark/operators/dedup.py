@@ -7,12 +7,9 @@ least as long.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelspark.checkpoints import cut
 from labelspark.config import DEFAULT, RuleConfig
 from labelspark.functions.geometry import intersection, overlap
 from labelspark.functions.similarity import ratio_reaches
@@ -54,94 +51,53 @@ def keep_greedily(ordered: Column, cfg: RuleConfig) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
 
 
-def as_items(blocks: DataFrame) -> DataFrame:
-    return blocks.select("label_id", priority(blocks).alias("key"), "text", *BOX, "confidence")
+ITEM = ["key", "text", *BOX, "confidence"]
 
 
-def numbered(kept: DataFrame) -> DataFrame:
-    """``blocks`` array in kept order; its index is the block id."""
-    return kept.select(
-        "label_id",
-        F.transform(
-            "kept",
-            lambda b, i: F.struct(
-                i.cast("bigint").alias("block_id"),
-                b["text"].alias("text"),
-                *[b[c].alias(c) for c in BOX],
-                b["confidence"].alias("confidence"),
-            ),
-        ).alias("blocks"),
-    )
+def without_copies(blocks: DataFrame) -> DataFrame:
+    """Blocks with their key; of exact copies with an area only the first stays.
 
+    A copy behaves like the first one, so this changes no result. Blocks without an
+    area are never duplicates and are left as they are.
+    """
+    items = blocks.select("label_id", priority(blocks).alias("key"), "text", *BOX, "confidence")
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    first = F.min(F.struct("key", "confidence")).alias("f")
+    alone = F.when(~F.coalesce(solid, F.lit(False)), F.col("key")).alias("alone")
+    return items.groupBy("label_id", "text", *BOX, alone).agg(first).select(
+        "label_id", "f.key", "text", *BOX, "f.confidence"
+    )
 
-ITEM = ["key", "text", *BOX, "confidence"]
 
+def banded(items: DataFrame) -> DataFrame:
+    """Add ``band``: blocks of different bands of a label do not overlap.
 
-def gathered(items: DataFrame) -> DataFrame:
-    return items.groupBy("label_id").agg(
-        F.array_sort(F.collect_list(F.struct(*ITEM))).alias("found")
-    )
+    From top to bottom, a block that starts at or below the end of all before it opens a band.
+    """
+    down = Window.partitionBy("label_id").orderBy("y1", "key")
+    reach = F.max("y2").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    return items.withColumn("reach", reach).withColumn(
+        "band", F.sum(F.coalesce(F.col("y1") >= F.col("reach"), F.lit(False)).cast("int")).over(
+            down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+    ).drop("reach")
 
 
-def deduplicate(
-    blocks: DataFrame, cfg: RuleConfig = DEFAULT, crowded: DataFrame | None = None
-) -> DataFrame:
-    """One row per label with its surviving ``blocks``.
+def deduplicate(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+    """The surviving blocks, numbered in order of priority as ``block_id``.
 
-    Labels of usual size are folded inside their row. ``crowded`` names the labels
-    (column label_id) with too many blocks for that; they are reduced by
-    :func:`settle_in_rounds` before anything is gathered.
-    """
-    items = as_items(blocks)
-    usual = items if crowded is None else items.join(crowded, "label_id", "left_anti")
-    kept = gathered(usual).select("label_id", keep_greedily(F.col("found"), cfg).alias("kept"))
-    if crowded is not None:
-        rest = settle_in_rounds(items.join(crowded, "label_id", "left_semi"), cfg)
-        kept = kept.unionByName(gathered(rest).withColumnRenamed("found", "kept"))
-    return numbered(kept)
-
-
-def settle_in_rounds(items: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """The same greedy outcome for labels of any size, as distributed rounds.
-
-    Overlapping blocks share a cell of a grid. In every round a block that comes
-    first in all its cells is kept, since nothing before it is still open; the open
-    blocks it suppresses leave. A cell has at most one such block per round, so
-    joins never pair the blocks of a cell with each other, and the first block of
-    all settles in every round, so the rounds end.
+    One plan for labels of every size: only blocks of one band meet in a row, and the
+    survivors stay rows. All steps after the collapse of copies share one exchange.
     """
-    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    flat = items.filter(~solid)  # no area: never a duplicate, never suppresses
-    # an exact copy behaves like its first one, so only that stays
-    first_copy = F.min_by(F.struct("key", "confidence"), "key").alias("f")
-    opened = cut(
-        items.filter(solid).groupBy("label_id", "text", *BOX).agg(first_copy)
-        .select("label_id", "f.key", "text", *BOX, "f.confidence")
+    found = banded(without_copies(blocks)).groupBy("label_id", "band").agg(
+        F.array_sort(F.collect_list(F.struct(*ITEM))).alias("found")
+    )
+    kept = found.select("label_id", F.inline_outer(keep_greedily(F.col("found"), cfg)))
+    order = Window.partitionBy("label_id").orderBy(*ITEM)
+    return kept.select(
+        "label_id", (F.row_number().over(order) - 1).cast("bigint").alias("block_id"),
+        "text", *BOX, "confidence",
     )
-    block = ["label_id", "key"]
-    cell = ["label_id", "cx", "cy"]
-    kept = [flat]
-    while not opened.isEmpty():
-        spread = in_cells(opened)
-        first = spread.groupBy(*cell).agg(F.min("key").alias("first"))
-        settled = (
-            spread.join(first, cell).groupBy(*block)
-            .agg(F.bool_and(F.col("key") == F.col("first")).alias("leads")).filter("leads")
-            .select(*block)
-        )
-        new = cut(opened.join(settled, block, "left_semi"))
-        kept.append(new)
-        rest = opened.join(new.select(*block), block, "left_anti")
-        leaders = in_cells(new).select(
-            *cell, F.struct("text", *BOX).alias("leader")
-        )
-        here = F.struct("text", *BOX)
-        gone = (
-            in_cells(rest).join(leaders, cell).filter(suppresses(F.col("leader"), here, cfg))
-            .select(*block).distinct()
-        )
-        opened = cut(rest.join(gone, block, "left_anti"))
-    return reduce(DataFrame.unionByName, kept).select("label_id", *ITEM)
 
 
 def in_cells(items: DataFrame) -> DataFrame:

@@ -49,9 +49,7 @@ def applications(spark, d):
 
 def kept_blocks(spark, d):
     found = T.label_blocks(spark, d)
-    return U.deduplicate(found.drop("pass_id", "line_no")).select(
-        "label_id", F.inline("blocks")
-    )
+    return U.deduplicate(found.drop("pass_id", "line_no"))
 
 
 def extracted(spark, d):

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark import schemas
-from labelspark.checkpoints import cut
 from labelspark.config import DEFAULT, RuleConfig
 from labelspark.operators.blocks import line_blocks
 from labelspark.operators.dedup import deduplicate
@@ -17,22 +16,9 @@ from labelspark.operators.statements import suspicious_words
 from labelspark.sources.words import usable_words
 
 
-def crowded_labels(words: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame | None:
-    """Labels with more words than fit the one-row-per-label plan; None if there are none.
-
-    Counts one column with a map-side aggregate, so a label that holds a large part
-    of the table is found without gathering it.
-    """
-    sizes = words.groupBy("label_id").agg(F.count("*").alias("n"))
-    crowded = cut(sizes.filter(F.col("n") > cfg.max_words_per_label).select("label_id"))
-    return None if crowded.isEmpty() else crowded
-
-
 def blocks_from_words(words: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """OCR words of all passes to the block table of the labels."""
-    blocks = line_blocks(usable_words(words))
-    kept = deduplicate(blocks, cfg, crowded_labels(words, cfg))
-    return kept.select("label_id", F.inline("blocks"))
+    return deduplicate(line_blocks(usable_words(words)), cfg)
 
 
 def join_labels(applications: DataFrame, labels: DataFrame) -> DataFrame:
