@@ -108,6 +108,16 @@ def test_deletion_signatures_meet():
     assert less[0] in fewer and less[0] != one[0]
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 9, 200, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 10 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)))
+        bits = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+    assert not jaccard.sketch(np.empty(0, np.uint64)).any()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "u long, v long")
     assert {(r.node, r.label) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
