@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspark.llm.bitset import build_filter, may_hold
@@ -127,6 +127,11 @@ def _elements(text: str | None, k: int) -> np.ndarray:
     return shingle_set(word_hashes((text or "").encode().lower().split()), k)
 
 
+def _place() -> Column:
+    """Hash of a row's doc_id, never null: where the row of a set is looked for."""
+    return F.xxhash64(F.col("doc_id").cast("long"))
+
+
 def _bands(docs: DataFrame, percent: int) -> list[Band]:
     """Bands priced by how many texts have about as many words; all texts are counted."""
     limits = band_limits(percent)
@@ -188,14 +193,20 @@ def _buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """(set, elements) of the sets of `keys` (set, hi, lo)."""
-    bits = docs.sparkSession.sparkContext.broadcast(build_filter(keys, "hi", keys.count()))
+    """(set, elements) of the sets of `keys` (set, hi, lo, place).
+
+    Only texts of rows that may stand for one of the sets are divided into shingles again.
+    """
+    n = keys.count()
+    sc = docs.sparkSession.sparkContext
+    places, bits = (sc.broadcast(build_filter(keys, c, n)) for c in ("place", "hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for b in batches:
             out = []
-            for t in b.column("text").to_pylist():
+            mine = may_hold(places.value, b.column("place").to_numpy().view(np.uint64))
+            for t in b.column("text").filter(pa.array(mine)).to_pylist():
                 elements = _elements(t, k)
                 if not len(elements):
                     continue
@@ -207,7 +218,8 @@ def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
                 out.append((*key, elements.tobytes()))
             yield batch_of(_SETS, *(zip(*out) if out else [[]] * 3))
 
-    found = map_batches(docs.select("text"), run, "hi long, lo long, elements binary")
+    read = docs.select("text", _place().alias("place"))
+    found = map_batches(read, run, "hi long, lo long, elements binary")
     once = found.groupBy("hi", "lo").agg(F.first("elements").alias("elements"))
     return stored(once.join(keys, ["hi", "lo"]).select("set", "elements"))
 
@@ -289,7 +301,7 @@ def _labels(docs: DataFrame, classes: DataFrame, buckets: DataFrame, sketches: D
             need = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()
             if sets is not None:
                 need = need.join(sets.select("set"), "set", "left_anti")
-            keys = stored(classes.join(need, "set", "left_semi").select("set", "hi", "lo"))
+            keys = stored(classes.join(need, "set", "left_semi").select("set", "hi", "lo", "place"))
             if not keys.isEmpty():
                 more = _sets(docs, keys, k)
                 sets = more if sets is None else sets.unionByName(more)
@@ -321,7 +333,9 @@ def similar_rows(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     bands = _bands(docs, percent)
     rows = stored(_signed_rows(docs, k, percent, bands).withColumn("row", F.monotonically_increasing_id()))
     classes = stored(
-        rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("row").alias("set"), F.min("doc_id").alias("first"))
+        rows.where("n_shingles > 0").withColumn("place", _place()).groupBy("hi", "lo").agg(
+            F.min("row").alias("set"), F.min("doc_id").alias("first"), F.min_by("place", "row").alias("place")
+        )
     )
     buckets = stored(_buckets(rows, classes))
     met = classes.join(buckets.select("set").distinct(), "set", "left_semi").select("set")
