@@ -238,7 +238,7 @@ SELECT label_id, pos, criterion, CASE WHEN a2 = '' THEN '—' ELSE a2 END AS app
  CASE WHEN criterion = 'Government Warning Wording' THEN '' END AS unmatched FROM cutoff"""
 
 LOG = """log AS (SELECT concat('L', user_id) AS label_id, ts, event_id AS entry_no,
- CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'decline' ELSE 'undo' END AS decision FROM events WHERE event_type IN ('purchase', 'error', 'click')),
+ CASE WHEN event_type IN ('purchase', 'signup') THEN 'approve' WHEN event_type = 'error' THEN 'decline' ELSE 'undo' END AS decision FROM events),
 current_state AS (SELECT label_id, decision, ts FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY ts DESC, entry_no DESC) AS rn FROM log) WHERE rn = 1 AND decision <> 'undo')"""
 
 
@@ -274,7 +274,7 @@ ORACLE: dict[str, str] = {
     "missing_label_files": f"WITH {FILES} SELECT label_id, brand_name FROM apps WHERE lower(label_id) NOT IN (SELECT lower(file_key) FROM files)",
     "usable_ocr_words": f"WITH {WORDS} SELECT label_id, count(*) AS words, sum(length(text)) AS chars FROM words WHERE word_no % 5 <> 0 AND word_no % 7 <> 0 GROUP BY 1",
     "word_gaps": f"WITH {WORDS} SELECT label_id, pass_id, line_num, word_no, gap FROM gaps",
-    "gap_thresholds": f"WITH {WORDS} SELECT label_id, pass_id, line_num, word_no, threshold FROM gaps JOIN cuts USING (label_id, pass_id, line_num) WHERE gap IS NOT NULL",
+    "gap_thresholds": f"WITH {WORDS} SELECT label_id, pass_id, line_num, word_no, coalesce(threshold, 18.0) AS threshold FROM gaps LEFT JOIN cuts USING (label_id, pass_id, line_num)",
     "sub_lines": f"WITH {WORDS} SELECT label_id, pass_id, line_num, word_no, sub_line FROM subs",
     "line_blocks": f"""WITH {WORDS} SELECT label_id, pass_id, line_num, sub_line, string_agg(text, ' ' ORDER BY "left", word_no) AS text, min("left") AS x1, min(top) AS y1,
  max("left" + width) AS x2, max(top + 28) AS y2, avg(conf) AS confidence FROM subs GROUP BY 1, 2, 3, 4""",

@@ -144,8 +144,7 @@ def word_gaps(spark, d):
 
 @query
 def gap_thresholds(spark, d):
-    gaps = B.gap_thresholds(B.word_gaps(usable_words(T.ocr_words(spark, d))))
-    return gaps.filter(F.col("gap").isNotNull()).select(
+    return B.gap_thresholds(B.word_gaps(usable_words(T.ocr_words(spark, d)))).select(
         "label_id", "pass_id", "line_num", "word_no", "threshold"
     )
 
@@ -516,15 +515,16 @@ def stitched_conversations(spark, d):
 
 
 def decision_log(spark, d):
+    """Every event as an entry of the decision log."""
     kind = F.col("event_type")
     decision = (
-        F.when(kind == "purchase", "approve").when(kind == "error", "decline")
-        .when(kind == "click", "undo")
+        F.when(kind.isin("purchase", "signup"), "approve").when(kind == "error", "decline")
+        .otherwise("undo")
     )
     return T.table(spark, d, "events").select(
         F.concat(F.lit("L"), F.col("user_id")).alias("label_id"), "ts",
         F.col("event_id").alias("entry_no"), decision.alias("decision"),
-    ).filter(F.col("decision").isNotNull())
+    )
 
 
 @query
