@@ -296,6 +296,8 @@ ORACLE: dict[str, str] = {
     "field_warning_by_anchor": f"""WITH {FLAGS}, head AS (SELECT label_id, min(place) AS start, arg_min(x1, place) AS hx1, arg_min(x2, place) AS hx2 FROM g WHERE opens GROUP BY 1)
  SELECT label_id, string_agg(text, ' ' ORDER BY place) AS value FROM g JOIN head USING (label_id)
  WHERE place >= start AND NOT stop AND x1 <= hx2 + greatest(0.3 * (hx2 - hx1), 30) AND x2 >= hx1 - greatest(0.3 * (hx2 - hx1), 30) GROUP BY 1""",
+    "field_table": f"""WITH {FIELDS}, u AS (SELECT label_id, x.field AS field, x.v AS v FROM fields, LATERAL (VALUES {COVERED}) AS x(field, v))
+ SELECT label_id, field, CASE WHEN v = '' THEN '(not found)' WHEN field = 'Gov. warning' THEN regexp_replace(v, '\\bsurgeon\\s+general\\b', 'Surgeon General', 'gi') ELSE v END AS extracted FROM u""",
     "field_coverage": f"""WITH {FIELDS}, u AS (SELECT x.field AS field, x.v AS v FROM fields, LATERAL (VALUES {COVERED}) AS x(field, v))
  SELECT field, count(*) AS labels, count(*) FILTER (v <> '') AS found FROM u GROUP BY 1""",
     "field_comparison": f"""WITH {FIELDS}, j AS (SELECT t.*, fields.* EXCLUDE (label_id) FROM t JOIN fields USING (label_id))
@@ -323,8 +325,9 @@ ORACLE: dict[str, str] = {
     "parsed_contents": f"""WITH {APPS}, l AS (SELECT label_id, alcohol_pct, net_contents_ml AS app, CASE WHEN k % 23 = 0 THEN replace(net_contents_ml,'0','O') ELSE net_contents_ml END AS line FROM apps),
  m AS (SELECT *, regexp_replace(line, '^75O', '750') AS fixed FROM l)
  SELECT label_id, {ML.format("fixed")} AS label_ml, {ML.format("app")} AS app_ml, cast(alcohol_pct AS double) AS abv, translate(line, 'OoIlSB', '001158') AS digits FROM m""",
-    "normalised_names": f"""WITH {BLOCKS} SELECT label_id, concat(text, ' x') AS normed, array_to_string(string_split(lower(text), ' '), '|') AS tokens,
- translate(lower(text), '1058', 'iosb') AS folded, concat(upper(left(text, 1)), lower(substring(text, 2))) AS cased FROM blocks WHERE pass_id = 0 AND line_no = 1""",
+    "normalised_names": f"""WITH {BLOCKS} SELECT label_id, pass_id, line_no, concat(text, ' x') AS normed,
+ array_to_string(list_filter(list_transform(string_split(lower(concat('(', text, '), ...')), ' '), lambda x: trim(x, '.,;:!?''"()')), lambda x: x <> ''), '|') AS tokens,
+ translate(lower(text), '1058', 'iosb') AS folded, concat(upper(left(text, 1)), lower(substring(text, 2))) AS cased FROM blocks""",
     "name_similarity": f"WITH {SIMILAR}",
     "misread_numbers": MISREAD,
     "youngest_age": """WITH s AS (SELECT p_partkey, p_size, p_partkey % 37 AS other, concat('aged ', p_size, ' years, finished ', p_partkey % 37, ' year in oak') AS text FROM part)

@@ -247,6 +247,11 @@ def field_warning_by_anchor(spark, d):
     return labels.select("label_id", F.col("government_warning.value").alias("value"))
 
 
+@query
+def field_table(spark, d):
+    return P.field_table(fields(spark, d))
+
+
 @query
 def field_coverage(spark, d):
     return P.field_coverage(fields(spark, d))
@@ -363,10 +368,10 @@ def parsed_contents(spark, d):
 
 @query
 def normalised_names(spark, d):
-    lines = T.label_blocks(spark, d).filter("pass_id = 0 and line_no = 1")
+    """Normal forms of every block's text."""
     text = F.col("text")
-    return lines.select(
-        "label_id", X.norm(F.concat(F.lit("  "), text, F.lit(" \t x"))).alias("normed"),
+    return T.label_blocks(spark, d).select(
+        "label_id", "pass_id", "line_no", X.norm(F.concat(F.lit("  "), text, F.lit(" \t x"))).alias("normed"),
         F.array_join(X.tokenize(F.concat(F.lit("("), text, F.lit("), ..."))), "|").alias("tokens"),
         X.ocr_text(text).alias("folded"),
         X.apply_casing(text, F.lit("mixed")).alias("cased"),
