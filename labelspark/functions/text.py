@@ -234,6 +234,15 @@ def statement_norm(text: Column) -> Column:
     return norm(F.regexp_replace(out, r"\s+[A-Z]{1,2}\s*$", ""))
 
 
+def statement_norm_of(text: str) -> str:
+    """What ``statement_norm`` gives for a configured wording."""
+    out = text.upper()
+    for pattern, repaired in STATEMENT_REPAIRS:
+        out = re.sub(pattern, repaired, out)
+    out = re.sub(r",\s*", " ", " ".join(out.split()))
+    return re.sub(r"\s+[A-Z]{1,2}\s*$", "", " ".join(out.split())).strip()
+
+
 def statement_position(text: Column, required: str) -> Column:
     """Index in the required text of the longest known start of ``text``."""
     ref = F.lit(" ".join(required.split()).upper())

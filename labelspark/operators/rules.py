@@ -519,8 +519,8 @@ def display_statement(cfg: RuleConfig) -> Column:
 
 
 def required_norm(cfg: RuleConfig) -> str:
-    """Required wording the way ``statement_norm`` leaves it (upper case, no commas)."""
-    return " ".join(cfg.required_statement.upper().replace(",", " ").split())
+    """Required wording, read the same way as the label's statement."""
+    return X.statement_norm_of(cfg.required_statement)
 
 
 @built_once

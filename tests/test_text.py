@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from labelspark.config import DEFAULT
 from labelspark.functions import numbers as N
 from labelspark.functions import similarity as S
 from labelspark.functions import text as X
@@ -153,3 +154,12 @@ def test_tokens(evaluate):
         S.similarity(L("STONES THROW"), L("Stones  Throw")), S.similarity(L(""), L("x")),
     )
     assert got == (True, False, True, False, False, 1.0, 0.0)
+
+
+def test_configured_wording_is_read_like_the_label(evaluate):
+    wordings = [
+        DEFAULT.required_statement, "Drink it at home, if you are OK", "surgeon OM, preg- nancy", "7 ] machin-\nery, ab", "",
+    ]
+    got = evaluate(*[X.statement_norm(L(w)) for w in wordings])
+    assert list(got) == [X.statement_norm_of(w) for w in wordings]
+    assert got[1] == "DRINK IT AT HOME IF YOU ARE"
