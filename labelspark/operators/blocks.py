@@ -31,7 +31,7 @@ def with_hierarchy(words: DataFrame) -> DataFrame:
 def word_gaps(words: DataFrame) -> DataFrame:
     """Add ``gap`` to the word on the left and that word's text as ``prev_text``."""
     by_x = Window.partitionBy(*LINE).orderBy("left", "word_no")
-    return words.withColumn(
+    return with_hierarchy(words).withColumn(
         "gap", F.col("left") - F.lag(F.col("left") + F.col("width")).over(by_x)
     ).withColumn("prev_text", F.lower(F.lag("text").over(by_x)))
 
@@ -72,7 +72,7 @@ def ordered_text(order: list[str], text: str = "text", sep: str = " ") -> Column
 
 def line_blocks(words: DataFrame) -> DataFrame:
     """Usable words to blocks; the position columns keep the order of the blocks."""
-    parts = sub_lines(with_hierarchy(words))
+    parts = sub_lines(words)
     return parts.groupBy(*LINE, "sub_line").agg(
         ordered_text(["left", "word_no"]).alias("text"),
         F.min("left").cast("int").alias("x1"),

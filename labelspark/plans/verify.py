@@ -71,18 +71,20 @@ def verify(
 
 def batch_report(checked: DataFrame) -> DataFrame:
     """One row per processed application. A row whose processing failed carries its
-    ``error`` and counts as critical with one failure."""
-    error = F.col("error") if "error" in checked.columns else F.lit(None).cast("string")
+    ``error`` and counts as critical with one failure. A row whose words could not be
+    read at all, marked by ``ocr_error``, is critical with no failure counted."""
+    none = F.lit(None).cast("string")
+    error = F.col("error") if "error" in checked.columns else none
+    unread = F.col("ocr_error").isNotNull() if "ocr_error" in checked.columns else F.lit(False)
     brand = "brand_name_app" if "brand_name_app" in checked.columns else "brand_name"
     kind = "class_type_app" if "class_type_app" in checked.columns else "class_type"
     return checked.select(
         "label_id",
-        F.when(error.isNotNull(), CRITICAL).otherwise(F.col("overall_status")).alias(
+        F.when(error.isNotNull() | unread, CRITICAL).otherwise(F.col("overall_status")).alias(
             "overall_status"
         ),
-        F.when(error.isNotNull(), 1).otherwise(F.col("fail_count")).cast("int").alias(
-            "fail_count"
-        ),
+        F.when(error.isNotNull(), 1).when(unread, 0).otherwise(F.col("fail_count"))
+        .cast("int").alias("fail_count"),
         F.col(brand).alias("brand_name"),
         F.col(kind).alias("class_type"),
         error.alias("error"),

@@ -166,3 +166,14 @@ def test_overlap_pairs(spark):
         ("chain", 0, 1), ("chain", 1, 2),
     }
     assert found == expected
+
+
+def test_gaps_without_layout_columns(spark):
+    from labelspark.operators.blocks import sub_lines, word_gaps
+
+    words = spark.createDataFrame(
+        [("L1", 0, 1, "a", 90.0, 0, 0, 5, 5), ("L1", 0, 2, "b", 90.0, 50, 0, 5, 5)],
+        "label_id string, pass_id int, word_no int, text string, conf double, left int, top int, width int, height int",
+    )
+    assert [r["gap"] for r in word_gaps(words).collect()] == [None, None]
+    assert [r["sub_line"] for r in sub_lines(words).collect()] == [0, 0]

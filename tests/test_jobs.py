@@ -165,6 +165,13 @@ def test_failed_rows_and_filters(verified):
     assert sum(r["labels"] for r in P.batch_totals(rows).collect()) == 200
 
 
+def test_unread_labels_are_critical_without_failures(verified):
+    rows = batch_report(verified.withColumn("ocr_error", F.when(F.col("label_id") == "L1", "no reader")))
+    one = rows.filter("label_id = 'L1'").first()
+    assert (one["overall_status"], one["fail_count"], one["error"]) == ("Critical issues", 0, None)
+    assert rows.filter("label_id <> 'L1'").exceptAll(batch_report(verified).filter("label_id <> 'L1'")).isEmpty()
+
+
 def test_store_survives_reading_and_writing_one_path(spark, tmp_path):
     from labelspark.operators.decisions import move_applications
     from labelspark.sources.store import STORE_SCHEMA, read_store, write_store
