@@ -81,6 +81,11 @@ _BANDS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bands", pa.li
 _SETS = pa.schema([("key", pa.int64()), ("elements", pa.binary())])
 #: Keys a task remembers, to send a repeated paragraph's bands or shingles once.
 REMEMBERED = 200_000
+#: Longs of a parity sketch. More refuse more unrelated pairs of long lines; results are the same.
+SKETCH_WORDS = 4
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: Keys of a band's part: fuller bands are compared in several parts.
+PART = 4096
 
 
 def _parts(text: str | None, s: ParagraphSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,24 +158,31 @@ def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
     return made.select("doc_id", "key", F.explode("bands").alias("band"))
 
 
-def _candidates(banded: DataFrame) -> DataFrame:
-    """(u, v): keys that share a band, each with the band's first and with the one before it.
+def _buckets(banded: DataFrame) -> DataFrame:
+    """(band, key, rank, least, most): keys of bands that hold several, numbered within the band.
 
-    The first key stands for the band, so a band of near copies gives as many pairs as it has
-    keys; the neighbours' chain adds second chances for those that differ from the first.
-    Stretches of one document overlap and meet by design; those meetings are left out.
+    least and most are the smallest and the largest document that a key was sent with. A band
+    whose keys all stand in one and the same document links nothing and is left out.
     """
+    once = banded.repartition("band").groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     order = Window.partitionBy("band").orderBy("key")
-    one = F.struct("key", "doc_id")
-    near = banded.select("key", "doc_id", F.first(one).over(order).alias("first"), F.lag(one).over(order).alias("before"))
-    other = near.where("before.key <> key").select(
-        "key", "doc_id", F.explode(F.array_distinct(F.array("first", "before"))).alias("o")
+    whole = Window.partitionBy("band")
+    numbered = once.select(
+        "band", "key", "least", "most", F.row_number().over(order).alias("rank"), F.lead("key").over(order).alias("next"),
+        F.min("least").over(whole).alias("a"), F.max("most").over(whole).alias("b"),
     )
-    return other.where("o.key <> key and o.doc_id <> doc_id").select(F.col("key").alias("u"), F.col("o.key").alias("v")).distinct()
+    return numbered.where("(rank > 1 or next is not null) and a < b").select("band", "key", "rank", "least", "most")
+
+
+def _sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements that hash to each bit, as SKETCH_WORDS longs."""
+    bits = SKETCH_WORDS * 64
+    counts = np.bincount((mix(elements, 4) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _shingles_of(docs: DataFrame, keys: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """(key, elements): the shingle set of each of `keys`."""
+    """(key, n, s0.., elements): size, parity sketch and shingle set of each of `keys`."""
     bits = docs.sparkSession.sparkContext.broadcast(build_filter(keys, "key", keys.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +201,83 @@ def _shingles_of(docs: DataFrame, keys: DataFrame, s: ParagraphSettings) -> Data
                     out.append((name, np.unique(shingles[at[i, 0] : at[i, 1]]).tobytes()))
             yield batch_of(_SETS, *(zip(*out) if out else [[]] * 2))
 
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column("elements")]
+            made = np.stack([_sketch(x) for x in sets]) if sets else np.zeros((0, SKETCH_WORDS), np.int64)
+            columns = [b.column("key"), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, made.T.copy()), b.column("elements")]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", *SKETCH, "elements"])
+
     found = map_batches(docs.select("text"), run, "key long, elements binary")
-    return stored(found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements")))
+    once = found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
+    kind = f"key long, n long, {', '.join(f'{c} long' for c in SKETCH)}, elements binary"
+    return stored(map_batches(once, sketched, kind))
+
+
+def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the bands whose keys are not in one component yet, with label and the band's size."""
+    if labels is None:
+        named = buckets.withColumn("label", F.col("key"))
+    else:
+        named = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    open_ = named.groupBy("band").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.max("rank").alias("size")
+    ).where("a < b")
+    return stored(named.join(open_.select("band", "size"), "band"))
+
+
+def _met(active: DataFrame, sketches: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+    """(u, v): keys of ranks low..high-1 with later keys of their band that may be similar.
+
+    Sizes, labels, documents and sketches are compared within the join, so no other pair leaves
+    it. A full band is dealt to several tasks: its later keys by rank, its first keys to each.
+    """
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    with_bits = active.where(F.col("size") > low).withColumn("parts", parts).join(sketches, "key")
+    first = with_bits.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
+        "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("u"),
+        F.col("n").alias("nu"), F.col("rank").alias("ru"), F.col("label").alias("lu"),
+        F.col("least").alias("au"), F.col("most").alias("bu"), *[F.col(c).alias("u" + c) for c in SKETCH],
+    )
+    later = with_bits.where(F.col("rank") > low).withColumn("part", (F.col("rank") % F.col("parts")).cast("int"))
+    unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("u" + c))) for c in SKETCH), F.lit(0))
+    return first.join(later, ["band", "part"]).where(
+        (F.col("rank") > F.col("ru")) & (F.col("label") != F.col("lu"))
+        & (F.least("least", "au") < F.greatest("most", "bu"))
+        & (F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent)
+        & (unlike * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent))
+    ).select("u", F.col("key").alias("v")).distinct()
+
+
+def _labels(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, label) of all paragraphs that are linked to another, label the component's least key.
+
+    In each band the keys of the first ranks are compared with all later keys of other
+    components, then the next ranks, eight times as many, and so on, until the band is one
+    component or all pairs across are tested. Keys found linked need no comparison with each
+    other, so a band of near copies costs its size, not its square.
+    """
+    sketches = sets.drop("elements")
+    links = tested = labels = None
+    low, high = 1, 2
+    active = _open(buckets, None)
+    while True:
+        pairs = _met(active, sketches, low, high, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = stored(pairs)
+        if not pairs.isEmpty():
+            found = stored(_similar(pairs, sets, percent))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = components(links).withColumnRenamed("node", "key")
+                active = _open(active.drop("label", "size"), labels)
+        low, high = high, high * 8
+        last = active.agg(F.max("rank")).first()[0]
+        if last is None or last <= low:
+            break
+    return buckets.sparkSession.createDataFrame([], "key long, label long") if labels is None else labels
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,14 +305,15 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
     Null and empty texts have no paragraphs. Rows that repeat a doc_id count as one document,
     rows without doc_id as none: they neither make a paragraph repeated nor are in the result.
     Further columns are ignored; an empty table gives an empty result. Equal paragraphs need no
-    band to meet; of unequal ones at the threshold, `recall` share a band.
+    band to meet; of unequal ones at the threshold, `recall` share a band, and all that share one
+    are compared. Overlapping stretches that stand in one document only are not linked to each
+    other.
     """
     s = settings
     spans = stored(_occurrences(docs.where("doc_id is not null"), s))
-    pairs = stored(_candidates(_banded(docs, s)))
-    keys = stored(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct())
-    links = _similar(pairs, _shingles_of(docs, keys, s), s.percent)
-    labels = stored(components(links).select(F.col("node").alias("key"), F.col("label")))
+    buckets = stored(_buckets(_banded(docs, s)))
+    keys = stored(buckets.select("key").distinct())
+    labels = stored(_labels(buckets, _shingles_of(docs, keys, s), s.percent))
     classes = spans.groupBy("key", "check").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     )

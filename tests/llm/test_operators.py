@@ -22,7 +22,7 @@ from labelspark.llm.keep import keep_rows
 from labelspark.llm.langid import fit_languages, identify
 from labelspark.llm.maglev import assign_shards, lookup_table
 from labelspark.llm.pack import pack, shortest_pack_first
-from labelspark.llm.paragraphs import cut_paragraphs, repeated_paragraphs, tuned_bands
+from labelspark.llm.paragraphs import ParagraphSettings, cut_paragraphs, repeated_paragraphs, tuned_bands
 from labelspark.llm.tokens import WORD_BPE, encoded, load_tokenizer
 from labelspark.llm.toxicity import ToxicitySettings, fit_toxicity, swapped, toxicity_scores
 from labelspark.llm.winnow import contamination
@@ -278,6 +278,36 @@ def test_paragraphs_find_passages_inside_lines(spark):
     assert repeated_paragraphs(docs.limit(0)).count() == 0
 
 
+def brute_clusters(rows, k=5, percent=80):
+    """Components of texts of one line each that reach the similarity and span several documents."""
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            root = [root[i] if x == root[j] else x for x in root]
+    groups = [frozenset(rows[j][0] for j in range(len(rows)) if root[j] == i) for i in set(root)]
+    return sorted(sorted(g) for g in groups if len(g) > 1)
+
+
+def clusters_of(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.cluster_id, set()).add(r.doc_id)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_crowded_bands_lose_no_near_copy(spark):
+    """60 unlike families share most of their words, so nearly all bands hold one crowd."""
+    common, rows = sentence(80, 60), []
+    for family in range(60):
+        own = sentence(200 + family, 12).split()
+        rows += [(2 * family, f"{common} {' '.join(own)}"), (2 * family + 1, f"{common} {' '.join(own[:-1])} x{family}")]
+    whole_lines = ParagraphSettings(passage=101)
+    want = brute_clusters(rows)
+    assert len(want) == 60
+    assert clusters_of(repeated_paragraphs(table(spark, rows), whole_lines).collect()) == want
+
+
 def test_bands_reach_recall():
     for recall in (0.9, 0.99):
         bands, rows = tuned_bands(80, recall, 24)
