@@ -125,20 +125,30 @@ def _occurrences(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
 
 
 def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """(doc_id, key, band): the MinHash bands of each paragraph."""
+    """(doc_id, key, band): the MinHash bands of each paragraph.
+
+    A task sends a key with the first document that holds it and once more with another one, so
+    the least and the largest document of a key differ if and only if several hold it.
+    """
     bands, rows = tuned_bands(s.percent, s.recall, s.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: dict[int, int | None] = {}  # the only document so far, None after a second one
         for b in batches:
             docs_, names, values = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 shingles, at, key = _parts(text, s)
-                new = [i for i, x in enumerate(key[:, 0].tolist()) if x not in done]
+                new = []
+                for i, x in enumerate(key[:, 0].tolist()):
+                    if x not in done:
+                        new.append(i)
+                        if len(done) < REMEMBERED:
+                            done[x] = doc
+                    elif done[x] is not None and done[x] != doc:
+                        new.append(i)
+                        done[x] = None
                 if not new:
                     continue
-                if len(done) < REMEMBERED:
-                    done.update(key[new, 0].tolist())
                 padded, cut, own = np.append(shingles, np.uint64(0)), at[new].ravel(), []
                 for band in range(bands):
                     total = np.full(len(new), band, dtype=np.uint64)
@@ -306,11 +316,12 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
     rows without doc_id as none: they neither make a paragraph repeated nor are in the result.
     Further columns are ignored; an empty table gives an empty result. Equal paragraphs need no
     band to meet; of unequal ones at the threshold, `recall` share a band, and all that share one
-    are compared. Overlapping stretches that stand in one document only are not linked to each
-    other.
+    are compared. Two paragraphs that both stand only in one and the same document are not
+    linked to each other.
     """
     s = settings
-    spans = stored(_occurrences(docs.where("doc_id is not null"), s))
+    docs = docs.where("doc_id is not null")
+    spans = stored(_occurrences(docs, s))
     buckets = stored(_buckets(_banded(docs, s)))
     keys = stored(buckets.select("key").distinct())
     labels = stored(_labels(buckets, _shingles_of(docs, keys, s), s.percent))

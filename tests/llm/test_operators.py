@@ -308,6 +308,18 @@ def test_crowded_bands_lose_no_near_copy(spark):
     assert clusters_of(repeated_paragraphs(table(spark, rows), whole_lines).collect()) == want
 
 
+@pytest.mark.parametrize("first", [1, None])
+def test_a_repeated_paragraph_counts_in_all_its_documents(spark, first):
+    """A near copy meets a paragraph that its task met before in the near copy's document or in none."""
+    line = sentence(90, 40)
+    near = line.rsplit(" ", 1)[0] + " other"
+    rows = [(first, line), (1, near), (2, line)]
+    got = repeated_paragraphs(table(spark, rows).coalesce(1), ParagraphSettings(passage=101)).collect()
+    want = {(1, 1, 3), (2, 1, 3)} if first else {(1, 1, 2), (2, 1, 2)}
+    assert {(r.doc_id, r.keep_doc_id, r.n_copies) for r in got} == want
+    assert len(got) == (3 if first else 2) and len({r.cluster_id for r in got}) == 1
+
+
 def test_bands_reach_recall():
     for recall in (0.9, 0.99):
         bands, rows = tuned_bands(80, recall, 24)
