@@ -366,6 +366,18 @@ def parsed_contents(spark, d):
     )
 
 
+@query
+def block_contents(spark, d):
+    """Net contents, alcohol and digits of every block of both passes as numbers, beside the application's."""
+    blocks = T.label_blocks(spark, d).select("label_id", "pass_id", "line_no", F.col("text").alias("line"))
+    return blocks.join(T.submitted(spark, d), "label_id").select(
+        "label_id", "pass_id", "line_no", N.net_ml(F.col("line")).alias("label_ml"),
+        N.net_ml(F.col("net_contents_ml")).alias("app_ml"),
+        N.abv_float(F.concat("alcohol_pct", F.lit(" %"))).alias("abv"),
+        X.ocr_numeric(F.col("line")).alias("digits"),
+    )
+
+
 @query
 def normalised_names(spark, d):
     """Normal forms of every block's text."""
@@ -394,6 +406,20 @@ def name_similarity(spark, d):
     ).select("label_id", "ratio", F.round("m.score", 6).alias("score"), "m.reason")
 
 
+@query
+def block_similarity(spark, d):
+    """Match score of each application brand with every block of the next label, both passes."""
+    lines = T.label_blocks(spark, d).select(
+        (F.expr("cast(substring(label_id, 2) as bigint)") - 1).alias("k"), "pass_id", "line_no", F.col("text").alias("line"),
+    )
+    both = T.submitted(spark, d).select("k", "label_id", "brand_name").join(lines, "k")
+    m = S.smart_match(F.col("brand_name"), F.col("line"))
+    return both.select(
+        "label_id", "pass_id", "line_no",
+        F.round(S.similarity(F.col("brand_name"), F.col("line")), 6).alias("ratio"), m.alias("m"),
+    ).select("label_id", "pass_id", "line_no", "ratio", F.round("m.score", 6).alias("score"), "m.reason")
+
+
 @query
 def misread_numbers(spark, d):
     """Whether the alcohol figure of each label could be a misread of the next one's."""

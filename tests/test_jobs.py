@@ -210,3 +210,38 @@ def test_key_filters_pass_below_the_rules(spark):
     plan = QUERIES["verify_labels"](spark, "/root/testdata/sf0.001").where("label_id = 'L7'")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in text.split("Generate", 1)[1] and "L7" in text.split("Generate", 1)[1]
+
+
+def lcs_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return 2 * row[-1] / (len(a) + len(b)) if a and b else 0.0
+
+
+def test_block_queries_read_every_block(spark):
+    from labelspark.plans import fixtures as T
+    from labelspark.plans.queries import QUERIES
+
+    blocks = {(r["label_id"], r["pass_id"], r["line_no"]): r["text"] for r in T.label_blocks(spark, DATA).collect()}
+    apps = {r["k"]: r for r in T.submitted(spark, DATA).collect()}
+    assert {p for _, p, _ in blocks} == {0, 1} and len({n for *_, n in blocks}) == 9
+
+    parsed = {(r["label_id"], r["pass_id"], r["line_no"]): r for r in QUERIES["block_contents"](spark, DATA).collect()}
+    assert parsed.keys() == blocks.keys()
+    assert all(parsed[i]["digits"] == t.translate(str.maketrans("OoIlSB", "001158")) for i, t in blocks.items())
+    assert all((r["label_ml"] is not None) == (n == 4) for (*_, n), r in parsed.items())
+    narrow = {r["label_id"]: r for r in QUERIES["parsed_contents"](spark, DATA).collect()}
+    names = ("label_ml", "app_ml", "abv", "digits")
+    assert all([r[c] for c in names] == [narrow[i][c] for c in names] for (i, _, n), r in parsed.items() if n == 4)
+
+    met = {(r["label_id"], r["pass_id"], r["line_no"]): r for r in QUERIES["block_similarity"](spark, DATA).collect()}
+    want = {
+        (apps[k]["label_id"], p, n): round(lcs_ratio(apps[k]["brand_name"].lower(), t.lower()), 6)
+        for (i, p, n), t in blocks.items() if (k := int(i[1:]) - 1) in apps
+    }
+    assert {i: r["ratio"] for i, r in met.items()} == pytest.approx(want, abs=2e-6)
+    slim = {r["label_id"]: r for r in QUERIES["name_similarity"](spark, DATA).collect()}
+    assert all(tuple(met[i, 0, 1][c] for c in ("ratio", "score", "reason")) == tuple(r[c] for c in ("ratio", "score", "reason")) for i, r in slim.items())
