@@ -106,4 +106,71 @@ select conv_id, count(*) as n_turns,
 from checked group by conv_id
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op8_exact_dedup": OP8, "op10_decontamination": OP10}
+OP12 = r"""
+with whole as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), sized as (
+  select * from whole
+  where len(v) = (select len(v) from whole group by 1 order by count(*) desc, 1 limit 1)
+), scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from sized a join sized r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id, n.vec_id as negative_id, positive_score, n.score as negative_score,
+       row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id)::int as rank
+from positives p join scored n
+  on n.anchor_id = p.anchor_id and not n.same and 80 * positive_score <= 100 * n.score and n.score <= positive_score
+qualify rank <= 5
+"""
+
+OP13 = r"""
+with docs as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), words as (select id, lang, source, unnest(terms) as term from docs
+), kept as (select lang, term from words group by 1, 2 having count(distinct id) >= 30
+), sizes as (select lang, count(k.term) as v from (select distinct lang from docs) left join kept k using (lang) group by 1
+), found as (
+  select lang, source, term, count(*) as c from words semi join kept using (lang, term) group by 1, 2, 3
+), totals as (
+  select d.lang, d.source, coalesce(sum(c), 0) as n
+  from (select distinct lang, source from docs) d left join found using (lang, source) group by 1, 2
+), shares as (
+  select t.lang, t.source, k.term, coalesce(f.c, 0) as c,
+    1 + (1000000000::hugeint * (coalesce(f.c, 0) + 5)) // (t.n + 5 * s.v) as p
+  from totals t join sizes s using (lang) join kept k using (lang)
+    left join found f on f.lang = t.lang and f.source = t.source and f.term = k.term
+), lang_shares as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(c) + 5)) // (any_value(n) + 5 * any_value(v)) as q
+  from shares join sizes using (lang) join (select lang, sum(n) as n from totals group by 1) using (lang) group by 1, 2
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value
+  from totals a join totals b on a.lang = b.lang and a.source <> b.source
+    left join shares x on x.lang = a.lang and x.source = a.source
+    left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  where x.term is null or y.term is not null group by 1, 2, 3
+), terms as (
+  select lang, source, term as item, (p - q)::bigint as value
+  from shares join lang_shares using (lang, term) where c > 0 and p > q
+), ranked as (
+  select *, 'pair' as part, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  (select *, 'term' as part, row_number() over (partition by lang, source order by value desc, item) as rank from terms
+   qualify rank <= 50)
+)
+select lang, source, part, item, value, rank::int as rank from ranked
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op8_exact_dedup": OP8, "op10_decontamination": OP10,
+    "op12_hard_negatives": OP12, "op13_source_divergence": OP13,
+}
