@@ -15,7 +15,6 @@ from labelspark.llm.tasks import batch as batch_of
 from labelspark.llm.tasks import map_batches
 
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -23,14 +22,13 @@ UNKNOWN = "und"
 class LanguageSettings:
     """sample: labelled rows of each language that centroids are fitted on, at most.
 
-    The sample is taken by the order of a hash of doc_id; its bound does not depend on the
-    table. places: hashed n-gram features. centroids: clusters of each language. Texts whose
+    The sample is taken by the order of a hash of doc_id, one row an id; its bound does not
+    depend on the table. places: hashed n-gram features. centroids: clusters of each language. Texts whose
     best cosine is under the `reject` quantile of their language's training cosines, less a
     tenth, are marked as rejected.
     """
 
     sample: int = 400
-    languages: int = 200
     places: int = 1 << 13
     grams: int = 3
     centroids: int = 4
@@ -72,7 +70,7 @@ class LanguageModel:
         """Language, cosine (0 to 1) and rejection of each text; `und` if it has no letter."""
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         rejected = np.ones(len(texts), dtype=bool)
-        real = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        real = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.languages else []
         for at in range(0, len(real), 256):
             some = real[at : at + 256]
             x = normalised(np.stack([gram_counts(texts[i], self.settings) for i in some]), self.idf)
@@ -117,9 +115,12 @@ def fit_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettings
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()
     ).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
     order = [F.xxhash64(F.col("doc_id"), F.lit(5)), F.col("doc_id")]
-    few = known.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= s.sample)
-    chosen = few.select("doc_id", "lang").orderBy(*order).limit(s.sample * s.languages).distinct().collect()
-    names = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, lang string")
+    few = known.distinct()
+    # first in parts of a language, then over what those leave: no task gets a whole language
+    for by in (["lang", F.pmod(F.hash("doc_id"), F.lit(64))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        few = few.withColumn("place", place).where(F.col("place") <= s.sample).select("doc_id", "lang")
+    names = spark.createDataFrame([tuple(r) for r in few.collect()], "doc_id long, lang string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,9 +133,9 @@ def fit_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettings
             yield batch_of(_COUNTS, b.column("lang"), places, counts)
 
     read = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    table = map_batches(
-        read.join(F.broadcast(names), ["doc_id", "lang"]).select("lang", "text"), run, "lang string, place array<int>, n array<int>"
-    ).toArrow()
+    first = F.min_by("text", F.xxhash64("text"))  # of rows with one id and language
+    once = read.join(F.broadcast(names), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(first.alias("text"))
+    table = map_batches(once.select("lang", "text"), run, "lang string, place array<int>, n array<int>").toArrow()
     labels = np.array(table.column("lang").to_pylist(), dtype=object)
     languages = sorted(set(labels.tolist()))
     df = np.zeros(s.places)

@@ -12,10 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-#: Pieces whose ids a task process keeps; it encodes others each time it meets them.
-MEMO = 1_000_000
+#: Bytes of remembered pieces and ids that a task process keeps, objects and table included;
+#: beyond them it forgets all and starts anew, so frequent pieces are soon back.
+MEMO_BYTES = 24 << 20
+_ENTRY_BYTES = 200
 #: Bytes of text that are handled at once.
-SLICE = 8 << 20
+SLICE = 1 << 20
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)")
 
@@ -47,6 +49,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _each(self, pieces: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -83,8 +86,12 @@ class Encoder:
         for p, w, m in marked:
             out[p] = (out[w] if w in fresh else memo[w]) + ends[m]
         out.update(self._each(odd))
-        if len(memo) < MEMO:
-            memo.update(out)
+        size = sum(_ENTRY_BYTES + 2 * len(p) + len(ids) for p, ids in out.items())
+        if self.held + size > MEMO_BYTES:
+            self.memo, self.held = {"": b""}, 0
+        if size <= MEMO_BYTES:
+            self.memo.update(out)
+            self.held += size
         return out
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:

@@ -124,7 +124,9 @@ def _examples(docs: DataFrame, labels: DataFrame, s: ToxicitySettings) -> list:
                 swap.append(sorted(features_of(other)) if other != words else [])
             yield batch_of(_EXAMPLES, b.column("toxic"), real, swap)
 
-    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(names), "doc_id")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(names), "doc_id")
+    first = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text")))  # of rows with one id
+    once = read.groupBy("doc_id", "toxic").agg(first.alias("text"))
     return map_batches(once.select("toxic", "text"), run, "toxic long, real array<int>, swap array<int>").toArrow()
 
 
