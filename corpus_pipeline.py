@@ -28,11 +28,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the row with the smallest doc_id stays.
+    """Of each component of documents with 0.8 of their five-word shingles in common, the row with the smallest doc_id stays.
 
     A component without any doc_id keeps all its rows.
     """
-    rows = similar_rows(docs, k=3, percent=90)
+    rows = similar_rows(docs, k=5, percent=80)
     kept = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
     return keep_rows(docs, rows.select("doc_id", "raw_sha256", kept.alias("kept")))
 
