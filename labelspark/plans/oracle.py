@@ -361,4 +361,14 @@ ORACLE: dict[str, str] = {
     "bucket_counts": f"""WITH {APPS}, {LOG}, u AS (SELECT coalesce(a.label_id, c.label_id) AS id, CASE c.decision WHEN 'approve' THEN 'approved' WHEN 'decline' THEN 'rejected' ELSE 'under_review' END AS bucket
   FROM apps a FULL JOIN current_state c ON a.label_id = c.label_id) SELECT bucket, count(*) AS applications FROM u GROUP BY 1""",
     "store_entries": f"WITH {TYPED} SELECT label_id AS id, base64(encode(a_brand)) AS encoded, a_brand AS decoded, a_abv AS alcohol_pct, imp AS imported, 0 AS age_years FROM t",
+    "store_after_decisions": f"""WITH {TYPED}, {LOG}, l AS (SELECT label_id, arg_max(event_type, (ts, event_id)) AS kind FROM (SELECT *, concat('L', user_id) AS label_id FROM events) GROUP BY 1)
+ SELECT coalesce(t.label_id, l.label_id) AS id, a_brand AS brand_name, a_class AS class_type,
+  CASE WHEN t.label_id IS NULL THEN NULL WHEN k % 3 = 0 THEN 'Ready to approve' ELSE 'Needs review' END AS overall_status,
+  CASE WHEN t.label_id IS NOT NULL THEN concat('{{"alcohol_pct":"', a_abv, '","imported":', imp, '}}') END AS app_data, a_net AS image_bytes,
+  CASE WHEN t.label_id IS NOT NULL THEN concat('{{"pass_count":', k, '}}') END AS result,
+  CASE WHEN kind IN ('purchase', 'signup') THEN 'approved' WHEN kind = 'error' THEN 'rejected' ELSE 'under_review' END AS bucket
+ FROM t FULL JOIN l ON t.label_id = l.label_id""",
+    "application_file_entries": f"""WITH {APPS} SELECT label_id AS id, CASE k % 3 WHEN 0 THEN 'under_review' WHEN 1 THEN 'approved' ELSE 'rejected' END AS bucket, brand_name,
+ concat('{{"alcohol_pct":"', alcohol_pct, '","more":{{"proof":"', proof, '"}}}}') AS app_data, class_type AS image, concat('{{"note":', k % 5, '}}') AS extra
+ FROM apps WHERE (k // 10) % 13 <> 5""",
 }

@@ -27,7 +27,7 @@ from labelspark.plans.verify import (
     batch_report, join_labels, verify, verify_blocks,
 )
 from labelspark.sources import applications as A
-from labelspark.sources import store
+from labelspark.sources import application_file, store
 from labelspark.sources.files import index_files
 from labelspark.sources.words import usable_words
 
@@ -597,3 +597,48 @@ def store_entries(spark, d):
         "id", F.col("text_form").alias("encoded"),
         F.decode("image_bytes", "UTF-8").alias("decoded"), parsed.alias("p"),
     ).select("id", "encoded", "decoded", "p.alcohol_pct", "p.imported", "p.age_years")
+
+
+@query
+def store_after_decisions(spark, d):
+    """Whole entries of a log of first contents, second contents of some, and all decisions."""
+    apps = applications(spark, d).withColumn("k", F.substring("label_id", 2, 18).cast("long"))
+
+    def entry(rows, status):
+        return rows.select(
+            F.col("label_id").alias("id"), "brand_name", "class_type", F.lit(status).alias("overall_status"),
+            F.to_json(F.struct("alcohol_pct", "imported")).alias("app_data"),
+            F.encode("net_contents_ml", "UTF-8").alias("image_bytes"),
+            F.to_json(F.struct(F.col("k").alias("pass_count"))).alias("result"), F.lit("under_review").alias("bucket"),
+        )
+
+    first = store.log_rows(entry(apps, "Needs review")).withColumn("number", F.lit(0).cast("long"))
+    again = store.log_rows(entry(apps.where("k % 3 = 0"), "Ready to approve")).withColumn("number", F.lit(1).cast("long"))
+    # a decision's commit is numbered by its time, its place there by its entry
+    decided = decision_log(spark, d).select(
+        F.col("label_id").alias("id"), D.bucket_of(F.col("decision")).alias("bucket"),
+        F.col("entry_no").cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("number"),
+    )
+    log = first.unionByName(again).unionByName(decided, allowMissingColumns=True)
+    state = store.merged(log)
+    return state.withColumn("image_bytes", F.decode("image_bytes", "UTF-8"))
+
+
+@query
+def application_file_entries(spark, d):
+    """Entries of single-file stores, parsed as VARIANT, with keys that have no column."""
+    apps = T.submitted(spark, d)
+    one = F.to_json(F.struct(
+        F.col("label_id").alias("id"), "brand_name", F.struct("alcohol_pct", F.struct("proof").alias("more")).alias("app_data"),
+        F.base64(F.encode("class_type", "UTF-8")).alias("image_bytes"), (F.col("k") % 5).alias("note"),
+    ))
+    # files of at most ten entries; every thirteenth file is cut off
+    entries = apps.select(F.expr("k div 10").alias("file"), (F.col("k") % 3).alias("b"), one.alias("e"))
+    lists = [F.concat_ws(",\n ", F.array_sort(F.collect_list(F.when(F.col("b") == i, F.col("e"))))).alias(f"l{i}") for i in range(3)]
+    text = F.concat(*[
+        F.concat(F.lit(("{" if i == 0 else ", ") + f'"{name}": ['), F.col(f"l{i}"), F.lit("]")) for i, name in enumerate(store.BUCKETS)
+    ], F.when(F.col("file") % 13 == 5, "").otherwise("}"))
+    files = entries.groupBy("file").agg(*lists).select(text.alias("value"))
+    return application_file.parse_documents(files).select(
+        "id", "bucket", "brand_name", "app_data", F.decode("image_bytes", "UTF-8").alias("image"), "extra"
+    )

@@ -1,19 +1,25 @@
-"""Application store and batch report sinks."""
+"""Application store, as a log of commits that is merged on read, and batch report sinks."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelspark.sources.commits import commit, commits, missing, version
+
 BUCKETS = ["under_review", "approved", "rejected"]
 STORE_SCHEMA = (
     "id string, brand_name string, class_type string, overall_status string, "
     "app_data string, image_bytes binary, result string, bucket string"
 )
 
+PAYLOAD = ["brand_name", "class_type", "overall_status", "app_data", "image_bytes", "result"]
+_PAYLOAD_TYPE = (
+    "struct<brand_name:string,class_type:string,overall_status:string,app_data:string,image_bytes:binary,result:string>"
+)
+_LOG_SCHEMA = f"id string, payload {_PAYLOAD_TYPE}, bucket string, seq long"
+
 
 def entries(checked: DataFrame, bucket: str = "under_review") -> DataFrame:
     """Store entries of checked labels; application and result travel as JSON."""
@@ -38,39 +44,84 @@ def entries(checked: DataFrame, bucket: str = "under_review") -> DataFrame:
     )
 
 
-def _missing(error: AnalysisException) -> bool:
-    return error.getCondition() == "PATH_NOT_FOUND"
+def log_rows(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """Entries, or decisions (id, bucket), as rows of the log.
+
+    Columns of an entry that `rows` lacks altogether mean that the entry stays as it is. Rows of
+    one commit follow each other by the column `order`, else as they come.
+    """
+    given = [c for c in PAYLOAD if c in rows.columns]
+    payload = F.struct(*[F.col(c) if c in given else F.lit(None).alias(c) for c in PAYLOAD]).cast(_PAYLOAD_TYPE)
+    return rows.select(
+        F.col("id").cast("string").alias("id"),
+        (payload if given else F.lit(None).cast(_PAYLOAD_TYPE)).alias("payload"),
+        F.col("bucket").cast("string").alias("bucket"),
+        (F.col(order).cast("long") if order else F.monotonically_increasing_id()).alias("seq"),
+    )
+
 
+def merged(log: DataFrame) -> DataFrame:
+    """State of a log (id, payload, bucket, number, seq): each id's last bucket and last payload.
 
-def _versions(spark: SparkSession, path: str) -> list:
-    """Number and folder of the current version, if any."""
-    try:
-        named = spark.read.schema("number long, folder string").parquet(f"{path}/versions")
-    except AnalysisException as e:
-        if _missing(e):
-            return []
-        raise
-    return named.orderBy(F.col("number").desc(), "folder").limit(1).collect()
+    An aggregate without a sort, reduced on the map side, so an id with a very long history is
+    no single task's work. Of equal places in the log, the bucket that sorts last counts.
+    """
+    place = "struct(number, seq, bucket)"
+    state = log.groupBy("id").agg(
+        F.expr(f"max_by(bucket, {place}) FILTER (WHERE bucket IS NOT NULL)").alias("bucket"),
+        F.expr(f"max_by(payload, {place}) FILTER (WHERE payload IS NOT NULL)").alias("payload"),
+    )
+    return state.select("id", *[F.col(f"payload.{c}").alias(c) for c in PAYLOAD], "bucket")
+
+
+def append_entries(store: DataFrame, path: str) -> int:
+    """Add entries, or new contents of known ones, as one commit; its number."""
+    return commit(log_rows(store), path, "log")
+
+
+def decide(decided: DataFrame, path: str, order: str | None = None) -> int:
+    """Add decisions (id, bucket and, if the entries changed, their columns) as one commit.
+
+    Only the decisions are written. Writers need not know of each other: the log holds the
+    decisions of both, and the later commit counts for an id that both decided.
+    """
+    return commit(log_rows(decided, order), path, "log")
 
 
-def write_store(store: DataFrame, path: str) -> None:
-    """Write a new version, partitioned by bucket, and then name it the current one.
+def write_store(store: DataFrame, path: str, read_at: int | None = None) -> int:
+    """Write whole entries, newer than all before; ids that ``store`` lacks stay.
 
-    Older versions stay, so ``store`` may be read from the same path.
+    ``store`` may be read from the same path. It carries the buckets that its reader saw: with
+    ``read_at``, the version it was read at, a store that has changed since is left alone and
+    `CommitConflict` raised. Writers of decisions use `decide`, which never conflicts.
     """
-    current = _versions(store.sparkSession, path)
-    number, folder = (current[0]["number"] if current else 0) + 1, f"data-{uuid.uuid4().hex}"
-    store.write.partitionBy("bucket").parquet(f"{path}/{folder}")
-    named = store.sparkSession.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(folder).alias("folder"))
-    named.write.mode("append").parquet(f"{path}/versions")
+    return commit(log_rows(store), path, "log", read_at=read_at)
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Write the present state as a snapshot, from which later reads start; the log stays."""
+    at = version(spark, path)
+    state = read_store(spark, path, at)
+    return commit(log_rows(state), path, "snapshot", upto=at)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The current version, or three empty buckets where nothing was written yet."""
-    current = _versions(spark, path)
-    if not current:
+def read_store(spark: SparkSession, path: str, at: int | None = None) -> DataFrame:
+    """The state after the last commit, or after commit number ``at``; empty where none is.
+
+    Reads the newest snapshot and the commits after the one it was made of, and merges them.
+    """
+    known = commits(spark, path, at)
+    start = max(((upto, number) for number, kind, _, upto in known if kind == "snapshot"), default=(0, 0))
+    read = [
+        (folder, start[0] if kind == "snapshot" else number) for number, kind, folder, _ in known
+        if (number == start[1] if kind == "snapshot" else number > start[0])
+    ]
+    if not read:
         return spark.createDataFrame([], STORE_SCHEMA)
-    return spark.read.schema(STORE_SCHEMA).parquet(f"{path}/{current[0]['folder']}")
+    files = spark.read.schema(_LOG_SCHEMA).parquet(*[f"{path}/{folder}" for folder, _ in read])
+    named = files.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), "/(data-[0-9a-f]{32})/", 1))
+    numbers = spark.createDataFrame(read, "folder string, number long")
+    return merged(named.join(F.broadcast(numbers), "folder").drop("folder"))
 
 
 def to_json_form(store: DataFrame) -> DataFrame:
@@ -93,7 +144,7 @@ def _exported(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         lines = spark.read.text(path)
     except AnalysisException as e:
-        if _missing(e):
+        if missing(e):
             return None
         raise
     entry = F.from_json("value", f"{text_form}, unreadable string", {"columnNameOfCorruptRecord": "unreadable"})
