@@ -371,4 +371,6 @@ ORACLE: dict[str, str] = {
     "application_file_entries": f"""WITH {APPS} SELECT label_id AS id, CASE k % 3 WHEN 0 THEN 'under_review' WHEN 1 THEN 'approved' ELSE 'rejected' END AS bucket, brand_name,
  concat('{{"alcohol_pct":"', alcohol_pct, '","more":{{"proof":"', proof, '"}}}}') AS app_data, class_type AS image, concat('{{"note":', k % 5, '}}') AS extra
  FROM apps WHERE (k // 10) % 13 <> 5""",
+    "submitted_csv": f"""WITH {TYPED} SELECT label_id, CASE WHEN k % 4 = 0 THEN concat(a_brand, chr(10), 'of "Old", Town', chr(10), a_class) ELSE a_brand END AS brand_name,
+ a_class AS class_type, a_abv AS alcohol_pct, imp AS imported FROM t""",
 }

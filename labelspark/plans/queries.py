@@ -28,6 +28,7 @@ from labelspark.plans.verify import (
 )
 from labelspark.sources import applications as A
 from labelspark.sources import application_file, store
+from labelspark.sources.csv_records import parsed, records
 from labelspark.sources.files import index_files
 from labelspark.sources.words import usable_words
 
@@ -92,6 +93,31 @@ def applications_typed(spark, d):
     return A.type_applications(A.normalize_columns(raw.withColumnsRenamed(messy)))
 
 
+@query
+def submitted_csv(spark, d):
+    """Lines of CSV files, dealt over splits, back to typed applications.
+
+    Fields hold commas, quotes and line breaks; records reach over one split and the next.
+    """
+    def quoted(c):
+        return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    apps = T.submitted(spark, d)
+    brand = F.when(F.col("k") % 4 == 0, F.concat("brand_name", F.lit('\nof "Old", Town\n'), "class_type")).otherwise(F.col("brand_name"))
+    record = F.concat_ws(",", "label_id", quoted(brand), F.concat(F.lit(" "), F.col("class_type"), F.lit(" ")), "alcohol_pct", "imported")
+    text = F.concat(record, F.when(F.col("k") % 9 == 0, "\n").otherwise(""))
+    lines = apps.select("k", F.posexplode(F.split(text, "\n")).alias("i", "value")).select(
+        (F.col("k") % 3).cast("string").alias("file"), F.expr("(k * 4 + i) div 50").alias("block"),
+        (F.col("k") * 4 + F.col("i")).alias("at"), "value",
+    )
+    names = ["Label ID", "Brand Name", "class_type", "ALCOHOL PCT", "imported"]
+    header = lines.select("file").distinct().select(
+        "file", F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("at"), F.lit(",".join(names)).alias("value")
+    )
+    rows = parsed(records(lines.unionByName(header)), names)
+    return A.type_applications(A.normalize_columns(rows)).select("label_id", "brand_name", "class_type", "alcohol_pct", "imported")
+
+
 def files(spark, d):
     apps = T.submitted(spark, d).select("label_id", "k")
     name = F.when(F.col("k") % 9 == 0, F.lower("label_id")).otherwise(F.col("label_id"))

@@ -9,6 +9,7 @@ from labelspark import schemas
 from labelspark.config import COLUMN_ALIASES
 from labelspark.functions.numbers import to_double
 from labelspark.functions.text import strip
+from labelspark.sources.csv_records import read_csv
 
 KNOWN = (
     {"label_id", "age_years", "youngest_age_years"}
@@ -43,17 +44,10 @@ def _first_filled(names: list[str]) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns], columns[0])
 
 
-def read_applications(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_applications(spark: SparkSession, path: str) -> DataFrame:
     """CSV submission to typed applications. Everything is read as text: numbers keep
-    the form they were written in.
-
-    Quoted fields may hold line breaks, for which a file is read by one task; set
-    ``multi_line`` to False for huge files known to have none, which are then split."""
-    raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multi_line, escape='"',
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-    )
-    return type_applications(normalize_columns(raw))
+    the form they were written in. Quoted fields may hold line breaks, large files are split."""
+    return type_applications(normalize_columns(read_csv(spark, path)))
 
 
 def truthy(c: Column) -> Column:
