@@ -69,27 +69,37 @@ def without_copies(blocks: DataFrame) -> DataFrame:
     )
 
 
-def banded(items: DataFrame) -> DataFrame:
-    """Add ``band``: blocks of different bands of a label do not overlap.
+#: Sides that parts are cut along, one after the other.
+CUTS = [("y1", "y2"), ("x1", "x2"), ("y1", "y2")]
 
-    From top to bottom, a block that starts at or below the end of all before it opens a band.
+
+def cut_apart(items: DataFrame) -> DataFrame:
+    """Add `cut0`, `cut1`, ...: blocks of a label that differ in one of them do not overlap.
+
+    A recursive cut of fixed depth: along one side, a block of a part that starts at or beyond
+    the end of all before it opens a new part; the parts are then cut along the other side, and
+    again. Each cut is a running maximum inside the parts so far, so all of them work on the
+    label's exchange; what they leave together may still be apart, which costs time only.
     """
-    down = Window.partitionBy("label_id").orderBy("y1", "key")
-    reach = F.max("y2").over(down.rowsBetween(Window.unboundedPreceding, -1))
-    return items.withColumn("reach", reach).withColumn(
-        "band", F.sum(F.coalesce(F.col("y1") >= F.col("reach"), F.lit(False)).cast("int")).over(
-            down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-    ).drop("reach")
+    done = ["label_id"]
+    for i, (low, high) in enumerate(CUTS):
+        along = Window.partitionBy(*done).orderBy(low, "key")
+        reach = F.max(high).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        opens = F.coalesce(F.col(low) >= F.col("reach"), F.lit(False)).cast("int")
+        part = F.sum(opens).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        items = items.withColumn("reach", reach).withColumn(f"cut{i}", part).drop("reach")
+        done.append(f"cut{i}")
+    return items
 
 
 def deduplicate(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """The surviving blocks, numbered in order of priority as ``block_id``.
 
-    One plan for labels of every size: only blocks of one band meet in a row, and the
+    One plan for labels of every size: only blocks of one part meet in a row, and the
     survivors stay rows. All steps after the collapse of copies share one exchange.
     """
-    found = banded(without_copies(blocks)).groupBy("label_id", "band").agg(
+    parts = ["label_id", *(f"cut{i}" for i in range(len(CUTS)))]
+    found = cut_apart(without_copies(blocks)).groupBy(*parts).agg(
         F.array_sort(F.collect_list(F.struct(*ITEM))).alias("found")
     )
     kept = found.select("label_id", F.inline_outer(keep_greedily(F.col("found"), cfg)))

@@ -242,6 +242,32 @@ LOG = """log AS (SELECT concat('L', user_id) AS label_id, ts, event_id AS entry_
 current_state AS (SELECT label_id, decision, ts FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY ts DESC, entry_no DESC) AS rn FROM log) WHERE rn = 1 AND decision <> 'undo')"""
 
 
+def repeats_sql() -> str:
+    """Texts without adjacent repeats, by tables of words: one step for each phrase length and round.
+
+    A step finds the places where `n` words, and the white space inside them, come twice in a row,
+    goes through them from the left (recursively, each next one behind the second copy of the one
+    before) and takes the second copies out.
+    """
+    word, space = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+", r"\s+"
+    steps = [rf"""cleaned AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\|\s*', ' ', 'g'), '\}}\s*', ' ', 'g'), '[—\-]{{3,}}', ' ', 'g') AS text FROM documents),
+ cut AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS ws, regexp_split_to_array(text, '{word}') AS seps FROM cleaned),
+ tok0 AS (SELECT doc_id, i AS pos, lower(ws[i]) AS w, ws[i] AS word, seps[i] AS sep FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM cut))"""]
+    for k, n in enumerate([5, 4, 3, 2, 1] * 3, 1):
+        inner = f"sum(cast(same_sep AS int)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {n - 1} FOLLOWING) = {n - 1}" if n > 1 else "true"
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT *, w = lead(w, {n}) OVER o AS same, sep = lead(sep, {n}) OVER o AND regexp_full_match(sep, '{space}') AS same_sep,
+  regexp_full_match(lead(sep, {n}) OVER o, '{space}') AS joined FROM tok{k - 1} WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+ m{k} AS MATERIALIZED (SELECT doc_id, pos FROM (SELECT doc_id, pos, joined, {inner} AS inside,
+  sum(cast(same AS int)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS alike FROM a{k}) WHERE alike = {n} AND joined AND inside),
+ s{k} AS (SELECT doc_id, min(pos) AS pos FROM m{k} GROUP BY 1
+  UNION ALL SELECT s.doc_id, min(m.pos) FROM s{k} s JOIN m{k} m ON m.doc_id = s.doc_id AND m.pos >= s.pos + {2 * n} GROUP BY s.doc_id, s.pos),
+ gone{k} AS (SELECT doc_id, unnest(range(pos + {n}, pos + {2 * n})) AS pos FROM s{k}),
+ tok{k} AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, w, word, sep FROM tok{k - 1} ANTI JOIN gone{k} USING (doc_id, pos))""")
+    return f"""WITH RECURSIVE {", ".join(steps)},
+ whole AS (SELECT doc_id, string_agg(concat(sep, word), '' ORDER BY pos) AS body FROM tok15 GROUP BY 1)
+SELECT doc_id, trim(regexp_replace(concat(body, seps[-1]), '{space}', ' ', 'g')) AS text FROM cut LEFT JOIN whole USING (doc_id)"""
+
+
 def rules_of(category: str) -> str:
     return f"""WITH {RULES} SELECT label_id, rule_id, status, message, extracted_value, app_value,
  message LIKE '%(tokens in full text).' AS prefer_app_display FROM rules WHERE category = '{category}'"""
@@ -373,4 +399,5 @@ ORACLE: dict[str, str] = {
  FROM apps WHERE (k // 10) % 13 <> 5""",
     "submitted_csv": f"""WITH {TYPED} SELECT label_id, CASE WHEN k % 4 = 0 THEN concat(a_brand, chr(10), 'of "Old", Town', chr(10), a_class) ELSE a_brand END AS brand_name,
  a_class AS class_type, a_abv AS alcohol_pct, imp AS imported FROM t""",
+    "document_repeats": repeats_sql(),
 }

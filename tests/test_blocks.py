@@ -153,6 +153,56 @@ def test_deduplicate_equals_a_greedy_walk(spark, high, side):
     assert [tuple(b)[2:] for b in found] == [r[2:] for r in kept]
 
 
+def greedy(rows):
+    kept = []
+    for row in sorted(rows, key=lambda r: (-r[7], r[1])):
+        if not any(overlaps(k[3:7], row[3:7]) > 0.4 and (len(row[2]) <= len(k[2])) for k in kept):
+            kept.append(row)
+    return kept
+
+
+@pytest.mark.parametrize("conf, boxes", [(99, 5000), (10, 1000)])
+def test_a_frame_round_thousands_of_boxes(spark, conf, boxes):
+    """No line cuts through a frame; its text is shorter than theirs, so it suppresses none."""
+    rows = [("L", 0, "f", 0, 0, 10_000, 10_000, float(conf))]
+    rng = random.Random(4)
+    for i in range(1, boxes + 1):
+        x, y = (i % 70) * 100, (i // 70) * 100
+        shift = rng.choice([0, 40])
+        rows.append(("L", i, "ab" if conf == 99 else "cd", 10 + x + shift, 10 + y, 70 + x + shift, 50 + y, float(rng.randint(50, 60))))
+    found = survivors(spark.createDataFrame(rows, schemas.LABEL_BLOCKS))["L"]
+    want = greedy(rows)
+    assert [tuple(b)[2:] for b in found] == [r[2:] for r in want] and len(want) == boxes + (conf == 99)
+
+
+def test_cuts_part_columns_inside_rows_inside_columns(spark):
+    """A table beside a tall block: no cut down the page parts it, cuts across and down again do."""
+    from labelspark.operators.dedup import cut_apart, without_copies
+
+    rows = [("L", 0, "tall", 0, 0, 50, 1000, 90.0)]
+    for i in range(1, 201):
+        x, y = 60 + (i % 4) * 50, (i // 4) * 20
+        rows.append(("L", i, f"t{i}", x, y, x + 49, y + 19, 80.0))
+    parts = cut_apart(without_copies(spark.createDataFrame(rows, schemas.LABEL_BLOCKS)))
+    sizes = [r["count"] for r in parts.groupBy("cut0", "cut1", "cut2").count().collect()]
+    assert len(sizes) == 201 and set(sizes) == {1}
+
+
+def test_parts_never_overlap(spark):
+    from labelspark.operators.dedup import cut_apart, without_copies
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        x, y = rng.randint(0, 2000), rng.randint(0, 2000)
+        rows.append(("L", i, "t", x, y, x + rng.randint(0, 120), y + rng.randint(0, 90), 80.0))
+    parts = cut_apart(without_copies(spark.createDataFrame(rows, schemas.LABEL_BLOCKS))).collect()
+    for i, a in enumerate(parts):
+        for b in parts[:i]:
+            if (a.cut0, a.cut1, a.cut2) != (b.cut0, b.cut1, b.cut2):
+                assert min(a.x2, b.x2) <= max(a.x1, b.x1) or min(a.y2, b.y2) <= max(a.y1, b.y1) or a.x1 >= a.x2 or b.x1 >= b.x2 or a.y1 >= a.y2 or b.y1 >= b.y2
+
+
 def test_the_fold_is_not_repeated_in_a_filter(spark):
     plan = deduplicate(block_frame(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "inline" in plan and "Filter" not in plan
