@@ -122,38 +122,67 @@ def in_cells(items: DataFrame) -> DataFrame:
 
 
 CELL_X, CELL_Y = 256, 64
+#: Blocks of a cell that are compared with each other at once; a fuller cell is cut into slabs.
+SLAB = 512
+CELL = ["label_id", "cx", "cy"]
+
+
+def in_slabs(crowded: DataFrame) -> DataFrame:
+    """Blocks of crowded cells with their ``slab``: runs of ``SLAB`` blocks in the order of y1."""
+    down = Window.partitionBy(*CELL).orderBy("y1", "block_id")
+    return crowded.withColumn("slab", F.floor((F.row_number().over(down) - 1) / SLAB).cast("int"))
+
+
+def slab_meetings(slabs: DataFrame) -> DataFrame:
+    """(cell, i, j): pairs of slabs i <= j of a cell whose blocks may overlap.
+
+    Slabs are sorted by y1, so a slab meets the following ones only until one starts below its
+    lowest end.
+    """
+    reach = slabs.groupBy(*CELL, "slab").agg(F.min("y1").alias("top"), F.max("y2").alias("end"))
+    i = reach.select(*CELL, F.col("slab").alias("i"), "end")
+    j = reach.select(*CELL, F.col("slab").alias("j"), "top")
+    return i.join(j, CELL).where((F.col("i") <= F.col("j")) & (F.col("top") < F.col("end"))).select(*CELL, "i", "j")
 
 
 def overlap_pairs(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Pairs of blocks of a label that overlap by more than the threshold.
 
     Blocks meet only in the cells of a grid they share; a pair is reported from the
-    first cell the two have in common, so no distinct is needed.
+    first cell the two have in common, so no distinct is needed. Where a cell holds more
+    than ``SLAB`` blocks, its pairs of slabs that can overlap are joined instead, each a key
+    of its own: a crowded cell is many pieces of work of one size, not the square of itself.
     """
     spread = in_cells(
         blocks.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
         .select("label_id", "block_id", *BOX, F.floor(F.col("x1") / CELL_X).alias("sx"),
                 F.floor(F.col("y1") / CELL_Y).alias("sy"))
     )
-    a, b = spread.alias("a"), spread.alias("b")
+    crowded = spread.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") > SLAB).drop("n")
+    few = spread.join(crowded, CELL, "left_anti").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    slabs = in_slabs(spread.join(crowded, CELL, "left_semi"))
+    meet = slab_meetings(slabs)
+    upper = slabs.join(meet.withColumnRenamed("i", "slab"), [*CELL, "slab"]).withColumnRenamed("slab", "i")
+    lower = slabs.join(meet.withColumnRenamed("j", "slab"), [*CELL, "slab"]).withColumnRenamed("slab", "j")
+    a = few.unionByName(upper).alias("a")
+    b = few.unionByName(lower).alias("b")
     box_a = {c: F.col(f"a.{c}") for c in BOX}
     box_b = {c: F.col(f"b.{c}") for c in BOX}
-    same_cell = (
-        (F.col("a.label_id") == F.col("b.label_id"))
-        & (F.col("a.cx") == F.col("b.cx"))
-        & (F.col("a.cy") == F.col("b.cy"))
-        & (F.col("a.block_id") < F.col("b.block_id"))
-    )
+    same = F.lit(True)
+    for c in (*CELL, "i", "j"):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    # inside one slab or cell each pair once; of two slabs every upper block meets every lower one
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.block_id") < F.col("b.block_id"))
     first_common = (F.col("a.cx") == F.greatest("a.sx", "b.sx")) & (
         F.col("a.cy") == F.greatest("a.sy", "b.sy")
     )
     return (
-        a.join(b, same_cell)
+        a.join(b, same & once)
         .filter(first_common & (overlap(box_a, box_b) > cfg.overlap))
         .select(
             F.col("a.label_id").alias("label_id"),
-            F.col("a.block_id").alias("block_a"),
-            F.col("b.block_id").alias("block_b"),
+            F.least("a.block_id", "b.block_id").alias("block_a"),
+            F.greatest("a.block_id", "b.block_id").alias("block_b"),
             overlap(box_a, box_b).alias("overlap"),
         )
     )

@@ -227,3 +227,34 @@ def test_gaps_without_layout_columns(spark):
     )
     assert [r["gap"] for r in word_gaps(words).collect()] == [None, None]
     assert [r["sub_line"] for r in sub_lines(words).collect()] == [0, 0]
+
+
+def test_crowded_cells_give_the_same_pairs_in_even_pieces(spark):
+    """20,000 small boxes in one cell, and some that reach over several cells."""
+    import numpy as np
+
+    from labelspark.operators.dedup import CELL, in_cells, in_slabs, slab_meetings
+
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 250, 20_000), rng.integers(0, 60, 20_000)
+    boxes = np.stack([x, y, x + rng.integers(1, 5, 20_000), y + rng.integers(1, 3, 20_000)], axis=1)
+    boxes[:40] = np.stack([x[:40], y[:40], x[:40] + 600, y[:40] + 90], axis=1)
+    rows = [("L", i, "t", *map(int, b), 80.0) for i, b in enumerate(boxes)]
+    blocks = spark.createDataFrame(rows, schemas.LABEL_BLOCKS).repartition(4)
+    found = overlap_pairs(blocks).select("block_a", "block_b").toPandas().to_numpy()
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    want = []
+    for i, b in enumerate(boxes):
+        w = np.minimum(boxes[i + 1 :, 2], b[2]) - np.maximum(boxes[i + 1 :, 0], b[0])
+        h = np.minimum(boxes[i + 1 :, 3], b[3]) - np.maximum(boxes[i + 1 :, 1], b[1])
+        share = np.maximum(w, 0) * np.maximum(h, 0) / np.minimum(area[i + 1 :], area[i])
+        want.append(np.stack([np.full(n := int((share > 0.4).sum()), i), i + 1 + np.flatnonzero(share > 0.4)], axis=1))
+    want = np.concatenate(want)
+    order = np.lexsort((found[:, 1], found[:, 0]))
+    assert len(want) > 20_000 and np.array_equal(found[order], want)
+
+    slabs = in_slabs(in_cells(blocks.where("x2 < 300")).where("cx = 0 and cy = 0"))
+    sizes = {r["slab"]: r["count"] for r in slabs.groupBy("slab").count().collect()}
+    work = sorted(sizes[r["i"]] * sizes[r["j"]] for r in slab_meetings(slabs).collect())
+    assert work[-1] <= 3 * work[len(work) // 2] and len(work) < len(sizes) * 6
+    assert set(CELL) <= set(slabs.columns)
