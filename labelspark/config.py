@@ -57,7 +57,7 @@ GENERIC_BRAND_TOKENS = [
 ]
 PANEL_MARKERS = ["Brand Label", "Back Label"]
 
-SPIRIT_CLASSES = [
+CLASS_KEYWORDS = [
     "Vodka", "Gin", "Distilled Gin", "Compounded Gin", "Redistilled Gin", "Rum",
     "Tequila", "Mezcal", "Whiskey", "Whisky", "Bourbon", "Bourbon Whisky",
     "Bourbon Whiskey", "Rye Whisky", "Rye Whiskey", "Wheat Whisky", "Wheat Whiskey",
@@ -74,26 +74,19 @@ SPIRIT_CLASSES = [
     "Armagnac", "Calvados", "Pisco", "Grappa", "Fruit Brandy", "Applejack",
     "Liqueur", "Cordial", "Sloe Gin", "Amaretto", "Triple Sec", "Sambuca",
     "Absinthe", "Bitters", "Aquavit", "Neutral Spirits", "Grain Spirits",
-]
-WINE_CLASSES = [
     "Table Wine", "Light Wine", "Dessert Wine", "Red Wine", "Rose Wine", "White Wine",
     "American Red Wine", "American White Wine", "Sparkling Wine", "Champagne",
     "Carbonated Wine", "Fortified Wine", "Sherry", "Port", "Madeira", "Marsala",
     "Vermouth", "Sake", "Mead", "Honey Wine", "Fruit Wine", "Citrus Wine",
     "Berry Wine", "Agricultural Wine", "Retsina", "Natural Wine",
     "Special Natural Wine",
-]
-MALT_CLASSES = [
     "Beer", "Ale", "Lager", "Stout", "Porter", "Pale Ale", "India Pale Ale", "IPA",
     "Barleywine Ale", "Barleywine", "Barley Wine", "Pilsner", "Wheat Beer",
     "Hefeweizen", "Kolsch", "Saison", "Sour", "Gose", "Malt Liquor", "Malt Beverage",
     "Flavored Malt Beverage", "Hard Seltzer", "Hard Cider",
-]
-CLASS_QUALIFIERS = [
     "Straight", "Blended", "Reserve", "Aged", "Scotch", "Irish", "Canadian",
     "Kentucky", "Tennessee", "Shochu", "Baijiu", "Cachaca",
 ]
-CLASS_KEYWORDS = SPIRIT_CLASSES + WINE_CLASSES + MALT_CLASSES + CLASS_QUALIFIERS
 
 STRONG_CLASS_WORDS = [
     "BOURBON", "WHISKEY", "WHISKY", "VODKA", "GIN", "RUM", "TEQUILA", "BRANDY",

@@ -108,3 +108,17 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("par_num"), F.col("line_no").alias("line_num"), "text", "conf",
         "left", "top", "width", F.lit(28).alias("height"),
     )
+
+
+def planted_statements(statements: DataFrame) -> DataFrame:
+    """(label_id, text) with misread words: letters mistaken, doubled, lost and swapped, by label number."""
+    k = F.expr("cast(substring(label_id, 2) as bigint)")
+    text = F.when(k % 2 == 0, F.upper("text")).otherwise(F.col("text"))
+    for every, old, new in [
+        (3, "Surgeon", "Surge0n"), (4, "PREGNANCY", "PREGNANGY"), (5, "beverages", "bevverages"), (6, "MACHINERY", "MACHNERY"),
+        (7, "problems", "porblems"), (8, "GOVERNMENT", "G0VERNMENTT"), (9, "health", "hea1th"), (10, "SULFITES", "SULPHITES"),
+        (11, "operate", "xxerxte"), (12, "SHOULD", "SH0ULD"),
+    ]:
+        text = F.replace(text, F.lit(old), F.when(k % every == 0, new).otherwise(old))
+    # a word of its own on every label, near no reference word or near one by chance
+    return statements.withColumn("text", F.concat(text, F.lit(" birt"), (k % 50).cast("string")))

@@ -268,6 +268,24 @@ def repeats_sql() -> str:
 SELECT doc_id, trim(regexp_replace(concat(body, seps[-1]), '{space}', ' ', 'g')) AS text FROM cut LEFT JOIN whole USING (doc_id)"""
 
 
+STATEMENTS = f"""{TYPED}, wordings(wording, text) AS (VALUES ('wine', '{REQUIRED} Contains sulfites.'), ('beer', '{REQUIRED} Contains fermented barley.'),
+ ('spirits', '{REQUIRED} Distilled from selected grains.')),
+s0 AS (SELECT label_id, k, wording, CASE WHEN k % 2 = 0 THEN upper(text) ELSE text END AS text FROM t JOIN wordings ON wording = bev)""" + "".join(
+    f""",
+s{i} AS (SELECT label_id, k, wording, CASE WHEN k % {every} = 0 THEN replace(text, '{old}', '{new}') ELSE text END AS text FROM s{i - 1})"""
+    for i, (every, old, new) in enumerate([
+        (3, "Surgeon", "Surge0n"), (4, "PREGNANCY", "PREGNANGY"), (5, "beverages", "bevverages"), (6, "MACHINERY", "MACHNERY"),
+        (7, "problems", "porblems"), (8, "GOVERNMENT", "G0VERNMENTT"), (9, "health", "hea1th"), (10, "SULFITES", "SULPHITES"),
+        (11, "operate", "xxerxte"), (12, "SHOULD", "SH0ULD"),
+    ], 1)
+) + r""",
+planted AS (SELECT label_id, k, wording, concat(text, ' birt', k % 50) AS text FROM s10),
+refs AS (SELECT DISTINCT wording, unnest(regexp_extract_all(upper(text), '\w+')) AS ref FROM wordings),
+seen AS (SELECT DISTINCT wording, unnest(regexp_extract_all(upper(text), '\w+')) AS word FROM planted),
+fixes AS (SELECT wording, word, arg_min(ref, (levenshtein(word, ref), ref)) AS replacement FROM (SELECT * FROM seen ANTI JOIN refs ON seen.wording = refs.wording AND seen.word = refs.ref) JOIN refs USING (wording)
+ WHERE length(word) >= 4 AND length(ref) >= 5 AND levenshtein(word, ref) <= 2 GROUP BY 1, 2)"""
+
+
 def rules_of(category: str) -> str:
     return f"""WITH {RULES} SELECT label_id, rule_id, status, message, extracted_value, app_value,
  message LIKE '%(tokens in full text).' AS prefer_app_display FROM rules WHERE category = '{category}'"""
@@ -400,4 +418,15 @@ ORACLE: dict[str, str] = {
     "submitted_csv": f"""WITH {TYPED} SELECT label_id, CASE WHEN k % 4 = 0 THEN concat(a_brand, chr(10), 'of "Old", Town', chr(10), a_class) ELSE a_brand END AS brand_name,
  a_class AS class_type, a_abv AS alcohol_pct, imp AS imported FROM t""",
     "document_repeats": repeats_sql(),
+    "corrected_statement_words": f"WITH {STATEMENTS} SELECT wording, word, replacement FROM fixes",
+    "corrected_statements": rf"""WITH {STATEMENTS}, pieces AS (SELECT label_id, wording, k, unnest(regexp_extract_all(text, '\w+|\W+')) AS piece, unnest(range(len(regexp_extract_all(text, '\w+|\W+')))) AS i FROM planted)
+ SELECT label_id, string_agg(CASE WHEN replacement IS NULL THEN piece WHEN k % 2 = 0 THEN replacement ELSE lower(replacement) END, '' ORDER BY i) AS corrected
+ FROM pieces p LEFT JOIN fixes f ON p.wording = f.wording AND upper(piece) = word GROUP BY 1""",
+    "batch_rows": f"""WITH {STATUS} SELECT label_id, CASE WHEN k % 29 = 0 THEN 'Critical issues' ELSE overall_status END AS overall_status, CASE WHEN k % 29 = 0 THEN 1 ELSE fail_count END AS fail_count,
+ a_brand AS brand_name, a_class AS class_type, CASE WHEN k % 29 = 0 THEN 'unreadable' END AS error, CASE WHEN k % 29 <> 0 THEN pass_count + review_count + fail_count END AS result_rules,
+ CASE WHEN k % 29 <> 0 THEN overall_status END AS result_status, CASE WHEN k % 29 <> 0 THEN review_count END AS result_reviews,
+ a_brand AS app_brand_name, a_abv AS app_alcohol_pct, CASE WHEN imp THEN 'true' ELSE 'false' END AS app_imported, a_city AS app_bottler_city FROM status JOIN t USING (label_id)""",
+    "report_of_broken_words": f"""WITH {STATUS}, e AS (SELECT *, CASE WHEN k % 31 = 0 AND k % 19 <> 0 THEN 'word 1: left is not a number' WHEN k % 37 = 0 THEN 'word 1: width is missing' END AS bad FROM t)
+ SELECT label_id, CASE WHEN bad IS NOT NULL THEN 'Critical issues' ELSE overall_status END AS overall_status, CASE WHEN bad IS NOT NULL THEN 1 ELSE fail_count END AS fail_count,
+ a_brand AS brand_name, a_class AS class_type, bad AS error FROM status JOIN e USING (label_id)""",
 }

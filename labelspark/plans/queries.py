@@ -22,9 +22,10 @@ from labelspark.operators import report as P
 from labelspark.operators import rules as R
 from labelspark.operators import score as SC
 from labelspark.operators import statements as ST
+from labelspark.operators import wordings as W
 from labelspark.plans import fixtures as T
 from labelspark.plans.verify import (
-    batch_report, join_labels, verify, verify_blocks,
+    batch_report, batch_rows as rows_of_batch, join_labels, verify, verify_blocks, verify_rows,
 )
 from labelspark.sources import applications as A
 from labelspark.sources import application_file, store
@@ -32,6 +33,11 @@ from labelspark.sources.csv_records import parsed, records
 from labelspark.sources.files import index_files
 from labelspark.sources.words import usable_words
 
+#: What the wordings of the queries add for each kind of beverage.
+STATEMENT_ADDITIONS = {
+    "wine": " Contains sulfites.", "beer": " Contains fermented barley.", "spirits": " Distilled from selected grains.",
+}
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -371,6 +377,38 @@ def batch_with_errors(spark, d):
     return batch_report(rows)
 
 
+@query
+def batch_rows(spark, d):
+    """Batch rows with application and result, both read back from their JSON."""
+    rows = rows_of_batch(checked(spark, d).withColumn(
+        "error", F.when(F.expr("cast(substring(label_id, 2) as bigint) % 29 = 0"), "unreadable")
+    ))
+    told = F.from_json("result", "results array<struct<rule_id:string>>, overall_status string, "
+                       "counts struct<pass_count:bigint,review_count:bigint,fail_count:bigint>")
+    return rows.withColumn("r", told).select(
+        *[c for c in rows.columns if c not in ("result", "app_data")],
+        F.size("r.results").alias("result_rules"), F.col("r.overall_status").alias("result_status"),
+        F.col("r.counts.review_count").alias("result_reviews"),
+        *[F.get_json_object("app_data", f"$.{c}").alias(f"app_{c}") for c in ("brand_name", "alcohol_pct", "imported", "bottler_city")],
+    )
+
+
+@query
+def report_of_broken_words(spark, d):
+    """Batch rows of unparsed words, some of which cannot be read."""
+    k = F.expr("cast(substring(label_id, 2) as bigint)")
+    words = T.ocr_words(spark, d)
+    raw = words.select(
+        "label_id", "text",
+        F.when((k % 31 == 0) & (F.col("line_num") == 3) & (F.col("word_no") == 1), "x12").otherwise(F.col("left").cast("string")).alias("left"),
+        F.when((k % 37 == 0) & (F.col("line_num") == 2) & (F.col("word_no") == 1), "").otherwise(F.col("width").cast("string")).alias("width"),
+        *[F.concat(F.lit(" "), F.col(c).cast("string")).alias(c) for c in ("pass_id", "word_no", "block_num", "par_num", "line_num", "conf", "top", "height")],
+        F.lit(None).cast("string").alias("unreadable"),
+    )
+    lost = words.select(F.lit(None).cast("string").alias("label_id"), F.lit("{cut").alias("unreadable")).limit(3)
+    return batch_report(verify_rows(applications(spark, d), raw.unionByName(lost, allowMissingColumns=True)))
+
+
 @query
 def batch_totals(spark, d):
     return P.batch_totals(batch_report(checked(spark, d)))
@@ -490,6 +528,28 @@ def statement_words(spark, d):
     )
 
 
+@query
+def corrected_statement_words(spark, d):
+    """Misread words of planted statements with the words that their beverage's wording has for them."""
+    wording = {kind: REQUIRED_STATEMENT + more for kind, more in STATEMENT_ADDITIONS.items()}
+    apps = applications(spark, d).select("label_id", F.col("beverage_type").alias("wording"))
+    statements = W.wordings(spark, wording)
+    words = T.planted_statements(apps.join(statements, "wording")).select(
+        "wording", F.explode(F.array_distinct(X.upper_words(F.col("text")))).alias("word")
+    )
+    return W.corrections(words, statements)
+
+
+@query
+def corrected_statements(spark, d):
+    """Those statements with the misread words replaced, by label."""
+    wording = {kind: REQUIRED_STATEMENT + more for kind, more in STATEMENT_ADDITIONS.items()}
+    apps = applications(spark, d).select("label_id", F.col("beverage_type").alias("wording"))
+    statements = W.wordings(spark, wording)
+    planted = T.planted_statements(apps.join(statements, "wording")).select("label_id", "wording", "text")
+    return W.corrected(planted, statements).select("label_id", "corrected")
+
+
 @query
 def unknown_label_words(spark, d):
     """Label words neither the required statement nor the product table knows."""

@@ -13,7 +13,7 @@ from labelspark.operators.extract import FIELD, extract_fields, with_brand
 from labelspark.operators.rules import as_application_side, required_norm, run_rules
 from labelspark.operators.score import CRITICAL, score_array
 from labelspark.operators.statements import suspicious_words
-from labelspark.sources.words import usable_words
+from labelspark.sources.words import typed_words, usable_words, word_errors
 
 
 def blocks_from_words(words: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
@@ -69,10 +69,46 @@ def verify(
     return verify_blocks(applications, blocks_from_words(words, cfg), cfg, lexicon)
 
 
-def batch_report(checked: DataFrame) -> DataFrame:
+def verify_rows(
+    applications: DataFrame,
+    raw_words: DataFrame,
+    cfg: RuleConfig = DEFAULT,
+    lexicon: DataFrame | None = None,
+) -> DataFrame:
+    """Typed applications and unparsed word rows to checked labels with ``error``.
+
+    A label with a row that cannot be read fails with its first error and without a result, the
+    others are verified as ever. An application of such a label keeps its row.
+    """
+    typed = typed_words(raw_words)
+    words = typed.where("error is null").drop("error")
+    failed = word_errors(typed).where("label_id is not null").select("label_id", "error")
+    return verify(applications, words, cfg, lexicon).join(failed, "label_id", "left")
+
+
+def batch_rows(checked: DataFrame) -> DataFrame:
+    """Rows of `batch_report` with the whole result and application of each label, as JSON.
+
+    A failed row has no result.
+    """
+    app = [c for c in checked.columns if c.endswith("_app")] + [
+        c for c in schemas.APPLICATION_TEXT + schemas.APPLICATION_FLAGS + schemas.FORM_FLAGS + ["age_years"]
+        if c in checked.columns and f"{c}_app" not in checked.columns and c not in schemas.FIELDS
+    ]
+    whole = F.to_json(F.struct("results", "overall_status", F.struct("pass_count", "review_count", "fail_count").alias("counts")))
+    if "error" in checked.columns:
+        whole = F.when(F.col("error").isNull(), whole)
+    data = F.to_json(F.struct(*[F.col(c).alias(c.removesuffix("_app")) for c in app]))
+    both = checked.withColumns({"_result": whole, "_app_data": data})
+    report = batch_report(both, ["_result", "_app_data"])
+    return report.withColumnsRenamed({"_result": "result", "_app_data": "app_data"})
+
+
+def batch_report(checked: DataFrame, also: list[str] | None = None) -> DataFrame:
     """One row per processed application. A row whose processing failed carries its
     ``error`` and counts as critical with one failure. A row whose words could not be
-    read at all, marked by ``ocr_error``, is critical with no failure counted."""
+    read at all, marked by ``ocr_error``, is critical with no failure counted. Columns named in
+    ``also`` are passed on."""
     none = F.lit(None).cast("string")
     error = F.col("error") if "error" in checked.columns else none
     unread = F.col("ocr_error").isNotNull() if "ocr_error" in checked.columns else F.lit(False)
@@ -88,4 +124,5 @@ def batch_report(checked: DataFrame) -> DataFrame:
         F.col(brand).alias("brand_name"),
         F.col(kind).alias("class_type"),
         error.alias("error"),
+        *(also or []),
     )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from labelspark.operators.score import CRITICAL, READY, REVIEW
 from labelspark.sources.commits import commit, commits, missing, version
 
+STATUSES = [READY, REVIEW, CRITICAL]
 BUCKETS = ["under_review", "approved", "rejected"]
 STORE_SCHEMA = (
     "id string, brand_name string, class_type string, overall_status string, "
@@ -170,9 +172,31 @@ def import_rejects(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("unreadable is not null").select("bucket", "unreadable")
 
 
-def write_report(report: DataFrame, path: str, form: str = "parquet") -> None:
-    writer = report.write.mode("overwrite")
+def observed_totals(report: DataFrame, totals: Observation) -> DataFrame:
+    """The report, which tells `totals` its rows and failed rules by status as it is written."""
+    told = [F.count(F.lit(1)).alias("labels"), F.coalesce(F.sum("fail_count"), F.lit(0)).alias("failed_rules")]
+    for status in STATUSES:
+        of = F.col("overall_status") == status
+        told.append(F.count_if(of).alias(f"{status}: labels"))
+        told.append(F.coalesce(F.sum(F.when(of, F.col("fail_count"))), F.lit(0)).alias(f"{status}: failed_rules"))
+    return report.observe(totals, *told)
+
+
+def write_report(report: DataFrame, path: str, form: str = "parquet") -> dict[str, int]:
+    """Write the report; its totals, counted in the pass that writes it."""
+    totals = Observation()
+    writer = observed_totals(report, totals).write.mode("overwrite")
     if form == "csv":
         writer.option("header", True).csv(path)
     else:
         writer.format(form).save(path)
+    return totals.get
+
+
+def write_by_label(df: DataFrame, table: str, buckets: int) -> None:
+    """Save a table bucketed and sorted by label_id.
+
+    Blocks and applications saved with one number of buckets are verified without an exchange.
+    Rows are dealt by label first, so each bucket is one file.
+    """
+    df.repartition(buckets, "label_id").write.mode("overwrite").bucketBy(buckets, "label_id").sortBy("label_id").saveAsTable(table)

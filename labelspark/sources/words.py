@@ -30,3 +30,45 @@ def union_passes(*passes: DataFrame) -> DataFrame:
     """Word tables of several OCR passes as one table with ``pass_id`` 0, 1, ..."""
     tagged = [p.withColumn("pass_id", F.lit(i)) for i, p in enumerate(passes)]
     return reduce(DataFrame.unionByName, tagged)
+
+
+#: Columns of a word that have to be numbers where they are given.
+NUMBERS = {"pass_id": "int", "word_no": "int", "block_num": "int", "par_num": "int", "line_num": "int", "conf": "double",
+           "left": "int", "top": "int", "width": "int", "height": "int"}
+NEEDED = ["left", "top", "width", "height"]
+
+
+def read_raw_words(spark: SparkSession, path: str) -> DataFrame:
+    """Word rows of JSON lines as text, unparsed; a line that is no object keeps it in `unreadable`."""
+    schema = ", ".join(f"`{c}` string" for c in schemas.OCR_WORDS.names) + ", unreadable string"
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "unreadable").json(path)
+
+
+def typed_words(raw: DataFrame) -> DataFrame:
+    """Rows of text as words, with `error`: why a row is none, null where it is one.
+
+    A number that cannot be read, a missing box or one of negative size, and an unreadable line
+    are errors. Nothing raises, nothing is dropped.
+    """
+    have = set(raw.columns)
+    text = {c: strip(F.col(c)) if c in have else F.lit("") for c in NUMBERS}
+    value = {c: F.expr(f"try_cast(`_{c}` as {kind})") for c, kind in NUMBERS.items()}
+    told = F.concat(F.lit("word "), F.when(F.col("_word_no") == "", "?").otherwise(F.col("_word_no")), F.lit(": "))
+    checks = [F.when((F.col(f"_{c}") != "") & value[c].isNull(), F.concat(told, F.lit(f"{c} is not a number"))) for c in NUMBERS]
+    checks += [F.when(F.col(f"_{c}") == "", F.concat(told, F.lit(f"{c} is missing"))) for c in NEEDED]
+    checks += [F.when(value[c] < 0, F.concat(told, F.lit(f"{c} is negative"))) for c in ("width", "height")]
+    if "unreadable" in have:
+        checks.insert(0, F.when(F.col("unreadable").isNotNull(), F.lit("unreadable line")))
+    kept = raw.withColumns({f"_{c}": t for c, t in text.items()}).withColumn("error", F.coalesce(*checks))
+    columns = [value[f.name].alias(f.name) if f.name in NUMBERS else F.col(f.name) for f in schemas.OCR_WORDS]
+    return kept.select(*columns, "error")
+
+
+def word_errors(typed: DataFrame) -> DataFrame:
+    """(label_id, error, bad_words): the first error of each label by the alphabet, and how many rows have one.
+
+    Rows that name no label are counted under null.
+    """
+    return typed.where("error is not null").groupBy("label_id").agg(
+        F.min("error").alias("error"), F.count("*").alias("bad_words")
+    )
