@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from labelspark import config as C
 from labelspark.plans.fixtures import APPLICATIONS_SQL
+from labelspark.plans.planted import CASES
+from labelspark.plans.planted_results import PLANTED_RESULTS
 
 REQUIRED = C.REQUIRED_STATEMENT
 NEED = REQUIRED.upper().replace(",", "")
@@ -286,6 +288,14 @@ fixes AS (SELECT wording, word, arg_min(ref, (levenshtein(word, ref), ref)) AS r
  WHERE length(word) >= 4 AND length(ref) >= 5 AND levenshtein(word, ref) <= 2 GROUP BY 1, 2)"""
 
 
+def planted_sql() -> str:
+    rows = ", ".join(f"({case}, {quoted(texts)})" for case, *texts in PLANTED_RESULTS)
+    about = ", ".join(f"({i}, '{category}')" for i, (category, *_) in enumerate(CASES))
+    return f"""WITH expected(case_no, rule_id, status, message, extracted_value, app_value) AS (VALUES {rows}), about(case_no, category) AS (VALUES {about})
+SELECT concat('L', p_partkey) AS label_id, p_partkey % {len(CASES)} AS case_no, rule_id, category, status, message, extracted_value, app_value,
+ message LIKE '%(tokens in full text).' AS prefer_app_display FROM part JOIN expected e ON e.case_no = p_partkey % {len(CASES)} JOIN about a ON a.case_no = e.case_no"""
+
+
 def rules_of(category: str) -> str:
     return f"""WITH {RULES} SELECT label_id, rule_id, status, message, extracted_value, app_value,
  message LIKE '%(tokens in full text).' AS prefer_app_display FROM rules WHERE category = '{category}'"""
@@ -429,4 +439,5 @@ ORACLE: dict[str, str] = {
     "report_of_broken_words": f"""WITH {STATUS}, e AS (SELECT *, CASE WHEN k % 31 = 0 AND k % 19 <> 0 THEN 'word 1: left is not a number' WHEN k % 37 = 0 THEN 'word 1: width is missing' END AS bad FROM t)
  SELECT label_id, CASE WHEN bad IS NOT NULL THEN 'Critical issues' ELSE overall_status END AS overall_status, CASE WHEN bad IS NOT NULL THEN 1 ELSE fail_count END AS fail_count,
  a_brand AS brand_name, a_class AS class_type, bad AS error FROM status JOIN e USING (label_id)""",
+    "rule_arms": planted_sql(),
 }

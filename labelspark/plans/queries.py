@@ -24,6 +24,7 @@ from labelspark.operators import score as SC
 from labelspark.operators import statements as ST
 from labelspark.operators import wordings as W
 from labelspark.plans import fixtures as T
+from labelspark.plans import planted as PL
 from labelspark.plans.verify import (
     batch_report, batch_rows as rows_of_batch, join_labels, verify, verify_blocks, verify_rows,
 )
@@ -322,6 +323,18 @@ def rules_other(spark, d):
     return results(spark, d, R.OTHER)
 
 
+@query
+def rule_arms(spark, d):
+    """Results of the rules that each planted label is about; between them, all arms of all rules."""
+    done = R.run_rules(PL.planted_fields(spark, d))
+    about = F.col("category").alias("about")
+    rows = R.explode_results(done.select("*", about), "label_id", "case_no", "about")
+    return rows.where("category = about").select(
+        "label_id", "case_no", "rule_id", "category", "status", "message", "extracted_value", "app_value",
+        F.coalesce("prefer_app_display", F.lit(False)).alias("prefer_app_display"),
+    )
+
+
 @query
 def class_requirements(spark, d):
     return applications(spark, d).select(
