@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from labelspark.llm.bitset import build_filter, may_hold
 from labelspark.llm.components import components
 from labelspark.llm.hashing import mix, multiplier, overlap, shingle_set, word_hashes
-from labelspark.llm.stored import stored
+from labelspark.llm.stored import release, stored
 from labelspark.llm.tasks import batch as batch_of
 from labelspark.llm.tasks import map_batches
 
@@ -179,17 +179,33 @@ def _signed_rows(docs: DataFrame, k: int, percent: int, bands: list[Band]) -> Da
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, kind)
 
 
-def _buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _representatives(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of `signed` that stand for a class, without moving their signatures.
+
+    A filter of bounded size refuses the others where they are read; a few may pass and are only
+    compared in vain, as they are in no class.
+    """
+    keys = classes.select(F.xxhash64("set").alias("h"))
+    bits = signed.sparkSession.sparkContext.broadcast(build_filter(keys, "h", classes.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mine = may_hold(bits.value, b.column("h").to_numpy().view(np.uint64))
+            yield b.select(["set", "full", "fewer"]).filter(pa.array(mine))
+
+    read = signed.select(F.col("row").alias("set"), "full", "fewer", F.xxhash64("row").alias("h"))
+    return map_batches(read, run, "set long, full array<long>, fewer array<long>")
+
+
+def _buckets(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """(signature, set, n, rank): sets that share a signature, numbered within it."""
-    own = rows.join(classes.select(F.col("set").alias("row")), "row", "left_semi")
-    sent = own.select(
-        F.col("row").alias("set"), F.col("n_shingles").alias("n"), F.explode(F.concat("full", "fewer")).alias("signature")
-    )
+    sent = _representatives(signed, classes).select("set", F.explode(F.concat("full", "fewer")).alias("signature"))
     order = Window.partitionBy("signature").orderBy("set")
     numbered = sent.select(
-        "signature", "set", "n", F.row_number().over(order).alias("rank"), F.lead("set").over(order).alias("next")
+        "signature", "set", F.row_number().over(order).alias("rank"), F.lead("set").over(order).alias("next")
     )
-    return numbered.where("rank > 1 or next is not null").drop("next")
+    shared = numbered.where("rank > 1 or next is not null").drop("next")
+    return shared.join(classes.select("set", "n"), "set").select("signature", "set", "n", "rank")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -307,6 +323,7 @@ def _labels(docs: DataFrame, classes: DataFrame, buckets: DataFrame, sketches: D
                 sets = more if sets is None else sets.unionByName(more)
             found = stored(_similar(pairs, sets, percent))
             tested = pairs if tested is None else tested.unionByName(pairs)
+            release()
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links)
@@ -331,18 +348,22 @@ def similar_rows(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     one comparison. Elements are 64-bit hashes of shingles, classes 128-bit hashes of sets.
     """
     bands = _bands(docs, percent)
-    rows = stored(_signed_rows(docs, k, percent, bands).withColumn("row", F.monotonically_increasing_id()))
+    signed = stored(_signed_rows(docs, k, percent, bands).withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(signed.drop("full", "fewer"))
     classes = stored(
         rows.where("n_shingles > 0").withColumn("place", _place()).groupBy("hi", "lo").agg(
-            F.min("row").alias("set"), F.min("doc_id").alias("first"), F.min_by("place", "row").alias("place")
+            F.min("row").alias("set"), F.min("doc_id").alias("first"), F.min_by("place", "row").alias("place"),
+            F.min("n_shingles").alias("n"),
         )
     )
-    buckets = stored(_buckets(rows, classes))
+    buckets = stored(_buckets(signed, classes))
+    release(signed)
     met = classes.join(buckets.select("set").distinct(), "set", "left_semi").select("set")
     sketches = stored(
         rows.withColumnRenamed("row", "set").join(met, "set", "left_semi")
         .select("set", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
     )
+    release()
     labels = _labels(docs, classes, buckets, sketches, k, percent)
     labelled = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "label", F.coalesce("label", "set")
