@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import reduce, wraps
+from weakref import WeakKeyDictionary
 
-from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
@@ -18,16 +18,19 @@ def built_once(fn):
     """Reuse the columns a builder returns for the same arguments.
 
     Building a large expression takes thousands of calls into the JVM; the columns
-    do not change, so one copy per gateway serves all plans.
+    do not change, so one copy per application serves all plans and goes with it.
     """
-    built = {}
+    built: WeakKeyDictionary = WeakKeyDictionary()
 
     @wraps(fn)
     def reuse(*args):
-        key = (id(SparkContext._gateway), *args)
-        if key not in built:
-            built[key] = fn(*args)
-        return built[key]
+        session = SparkSession.getActiveSession()
+        if session is None:
+            return fn(*args)
+        mine = built.setdefault(session.sparkContext, {})
+        if args not in mine:
+            mine[args] = fn(*args)
+        return mine[args]
 
     return reuse
 

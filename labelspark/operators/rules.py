@@ -869,22 +869,24 @@ def other_rules(cfg: RuleConfig) -> list[Column]:
 # --- the whole rule set ---------------------------------------------------------------
 
 
+#: Categories of rules, in the order of their results.
+CATEGORIES = ("Identity", "Alcohol & contents", "Warning", "Origin", "Other")
+
+
 @built_once
-def rule_array(cfg: RuleConfig = DEFAULT) -> Column:
-    """Results of one row in the fixed category order."""
-    rules = [
-        identity_rule("brand_name", "brand", "Brand name", cfg),
-        identity_rule("class_type", "class", "Class/type", cfg),
-        abv_rule(cfg),
-        proof_rule(cfg),
-        consistency_rule(cfg),
-        *net_rules(cfg),
-        *warning_rules(cfg),
-        bottler_rule(cfg),
-        address_rule(),
-        country_rule(cfg),
-        *other_rules(cfg),
-    ]
+def rule_array(cfg: RuleConfig = DEFAULT, categories: tuple[str, ...] = CATEGORIES) -> Column:
+    """Results of one row in the fixed category order, only of the categories asked for."""
+    groups = {
+        "Identity": lambda: [
+            identity_rule("brand_name", "brand", "Brand name", cfg),
+            identity_rule("class_type", "class", "Class/type", cfg),
+        ],
+        "Alcohol & contents": lambda: [abv_rule(cfg), proof_rule(cfg), consistency_rule(cfg), *net_rules(cfg)],
+        "Warning": lambda: warning_rules(cfg),
+        "Origin": lambda: [bottler_rule(cfg), address_rule(), country_rule(cfg)],
+        "Other": lambda: other_rules(cfg),
+    }
+    rules = [r for c in CATEGORIES if c in categories for r in groups[c]()]
     return F.array_compact(F.array(*[F.coalesce(r, no_result()) for r in rules]))
 
 
@@ -900,12 +902,14 @@ def as_application_side(applications: DataFrame) -> DataFrame:
     return applications.withColumnsRenamed(APP_RENAMES)
 
 
-def run_rules(matched: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """Add ``results`` to rows that hold an application and the extracted fields."""
+def run_rules(
+    matched: DataFrame, cfg: RuleConfig = DEFAULT, categories: tuple[str, ...] = CATEGORIES
+) -> DataFrame:
+    """Add ``results``, of some categories or all, to rows that hold an application and the extracted fields."""
     keep = [F.col(c) for c in matched.columns]
     # A generator of one row: filters on keys go below it, filters on the results stay
     # above, so the rule expressions are not copied into them.
-    results = F.explode(F.array(rule_array(cfg)))
+    results = F.explode(F.array(rule_array(cfg, categories)))
     return rule_inputs(matched, cfg).select(*keep, results.alias("results"))
 
 

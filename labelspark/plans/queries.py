@@ -76,8 +76,8 @@ def checked(spark, d):
 
 def results(spark, d, category):
     matched = join_labels(applications(spark, d), extracted(spark, d))
-    done = R.run_rules(E.with_brand(matched, F.col("brand_name_app")))
-    return R.explode_results(done).filter(F.col("category") == category).select(
+    done = R.run_rules(E.with_brand(matched, F.col("brand_name_app")), categories=(category,))
+    return R.explode_results(done).select(
         "label_id", "rule_id", "status", "message", "extracted_value", "app_value",
         "prefer_app_display",
     )
