@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-#: Bytes of remembered pieces and ids that a task process keeps, objects and table included;
-#: beyond them it forgets all and starts anew, so frequent pieces are soon back.
-MEMO_BYTES = 24 << 20
+#: Bytes of remembered pieces and ids that a task process keeps, objects and table included.
+#: Frequent pieces are met early, so it is the rare ones that are encoded each time beyond them.
+MEMO_BYTES = 96 << 20
 _ENTRY_BYTES = 200
 #: Bytes of text that are handled at once.
 SLICE = 1 << 20
@@ -86,12 +86,17 @@ class Encoder:
         for p, w, m in marked:
             out[p] = (out[w] if w in fresh else memo[w]) + ends[m]
         out.update(self._each(odd))
-        size = sum(_ENTRY_BYTES + 2 * len(p) + len(ids) for p, ids in out.items())
-        if self.held + size > MEMO_BYTES:
-            self.memo, self.held = {"": b""}, 0
-        if size <= MEMO_BYTES:
-            self.memo.update(out)
-            self.held += size
+        if self.held < MEMO_BYTES:
+            size = sum(_ENTRY_BYTES + 2 * len(p) + len(ids) for p, ids in out.items())
+            if self.held + size <= MEMO_BYTES:
+                self.memo.update(out)
+                self.held += size
+            else:  # too many at once: the first ones still find a place
+                for p, ids in out.items():
+                    self.held += _ENTRY_BYTES + 2 * len(p) + len(ids)
+                    if self.held > MEMO_BYTES:
+                        break
+                    self.memo[p] = ids
         return out
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
