@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 WORD_BPE = "word_bpe_49k.json"
 #: Bytes of remembered pieces and ids that a task process keeps, objects and table included.
 #: Frequent pieces are met early, so it is the rare ones that are encoded each time beyond them.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 200 << 20
 _ENTRY_BYTES = 200
 #: Bytes of text that are handled at once.
-SLICE = 1 << 20
+SLICE = 4 << 20
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)")
 
