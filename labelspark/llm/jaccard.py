@@ -7,6 +7,12 @@ allowance in at least one segment. Allowance 1 asks for an equal subset, allowan
 subsets that differ in one element at most, which one-deletion neighbourhoods find. How many
 segments have which allowance is decided by cost for each band of sizes.
 
+Segments that are empty in both sets agree, too, and tell nothing. `spare` segments are therefore
+added: the allowances of the segments that two similar sets agree in then add up to spare + 1 at
+least. A set keeps its first `spare` empty segments to itself, in an order all sets share. If two
+similar sets agree in empty segments only, the last of these comes after `spare` others in both
+sets, so both send it, and no pair is lost.
+
 Sets that meet are compared by parity sketches before any element travels: bit b tells whether
 an odd number of a set's elements hash to b. Two sketches differ in at most as many bits as
 their sets have unshared elements, so a pair over the allowance is refused without error.
@@ -15,6 +21,7 @@ their sets have unshared elements, so a pair over the allowance is refused witho
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,13 +52,17 @@ PART = 4096
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes lo..hi, divided into `segments`, of which the last `deletions` have allowance 2."""
+    """Sizes lo..hi, divided into `segments` and `spare` more; the last `deletions` have allowance 2.
+
+    The first `spare` empty segments of allowance 1 are not sent.
+    """
 
     index: int
     lo: int
     hi: int
     segments: int
     deletions: int
+    spare: int = 0
 
 
 def band_limits(percent: int) -> list[tuple[int, int]]:
@@ -64,38 +75,57 @@ def band_limits(percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def spare_segments(lo: int, allowance: int) -> int:
+    """Segments to add to `allowance` so that sets of `lo` elements hardly ever have more empty ones."""
+    spare = 0
+    while spare < 2 * lo:
+        m = allowance + spare
+        load = lo / m
+        empty = m * math.exp(-load)
+        spread = math.sqrt(empty * (1 - (1 + load) * math.exp(-load)))
+        need = min(math.ceil(empty + 3 * spread), 2 * lo)
+        if need <= spare:
+            break
+        spare = need
+    return spare
+
+
 def allocate(index: int, lo: int, hi: int, sets: int, percent: int) -> Band:
     """The cheapest division of a band that holds about `sets` sets."""
     allowance = hi * (100 - percent) // percent + 1
-    middle = (lo + hi) / 2
+    middle, spare = (lo + hi) / 2, spare_segments(lo, allowance)
     best, d = None, 0
     while d <= allowance // 2:
         segments = allowance - d
-        size = middle / segments
-        signatures = segments + d * size
-        alike = (segments - d) * AGREEMENT**size + d * (1 + size) * AGREEMENT ** max(size - 1, 0)
+        size = middle / (segments + spare)
+        signatures = segments + spare + d * size
+        alike = (segments + spare - d) * AGREEMENT**size + d * (1 + size) * AGREEMENT ** max(size - 1, 0)
         cost = SIGNATURE_COST * sets * signatures + PAIR_COST * sets * sets / 2 * alike
         if best is None or cost < best[0]:
-            best = cost, Band(index, lo, hi, segments, d)
+            best = cost, Band(index, lo, hi, segments, d, spare)
         d = d + max(1, d // 4)
     return best[1]
 
 
 def signatures(elements: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a set's segment subsets, and of those subsets less one element."""
-    m = np.uint64(band.segments)
+    """Hashes of a set's segment subsets that are sent, and of those subsets less one element."""
+    total_segments = band.segments + band.spare
+    m = np.uint64(total_segments)
     segment = mix(elements, 1) % m
     weight = mix(elements, 2)
     order = np.argsort(segment, kind="stable")
     segment, weight = segment[order], weight[order]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weight, dtype=np.uint64)))
-    cut = np.searchsorted(segment, np.arange(band.segments + 1, dtype=np.uint64))
+    cut = np.searchsorted(segment, np.arange(total_segments + 1, dtype=np.uint64))
     sums = total[cut[1:]] - total[cut[:-1]]
-    sums += np.arange(band.segments, dtype=np.uint64) * multiplier(101)
+    sums += np.arange(total_segments, dtype=np.uint64) * multiplier(101)
     sums += np.full(1, band.index, dtype=np.uint64) * multiplier(102)
     near = segment >= m - np.uint64(band.deletions) if band.deletions else np.zeros(0, bool)
     fewer = sums[segment[near].astype(np.int64)] - weight[near] if band.deletions else sums[:0]
-    return mix(sums, 3), mix(fewer, 3)
+    empty = cut[1:] == cut[:-1]
+    empty[total_segments - band.deletions :] = False
+    sent = ~empty | (np.cumsum(empty) > band.spare)
+    return mix(sums[sent], 3), mix(fewer, 3)
 
 
 def _set_key(elements: np.ndarray) -> tuple[int, int]:

@@ -100,6 +100,36 @@ def test_allowances_cover_every_difference():
             assert b.segments + b.deletions == hi * 10 // 90 + 1
 
 
+@pytest.mark.parametrize("price", [None, 1e6])
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_signature(monkeypatch, price, percent):
+    """Whatever the sets, however many of their segments are empty, with and without deletions."""
+    if price:
+        monkeypatch.setattr(jaccard, "AGREEMENT", 0.3)
+        monkeypatch.setattr(jaccard, "PAIR_COST", price)
+    rng = np.random.default_rng(11)
+    for i, (lo, hi) in enumerate(jaccard.band_limits(percent)[:12]):
+        band = jaccard.allocate(i, lo, hi, 1000, percent)
+        for _ in range(150):
+            a = int(rng.integers(lo, hi + 1))
+            x = rng.integers(0, 1 << 63, a, dtype=np.uint64)
+            cut = int(rng.integers(0, a - -(-a * percent // 100) + 1))
+            room = (a - cut) * 100 // percent - a
+            y = np.concatenate((x[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, room + 1)), dtype=np.uint64)))
+            both = len(np.intersect1d(x, y))
+            assert 100 * both >= percent * len(np.union1d(x, y))
+            sent = [np.concatenate(jaccard.signatures(np.unique(z), band)) for z in (x, y)]
+            assert len(y) < lo or len(np.intersect1d(*sent))
+
+
+def test_empty_segments_of_long_unlike_sets_do_not_meet():
+    rng = np.random.default_rng(12)
+    band = jaccard.Band(0, 1600, 2397, 600, 0, jaccard.spare_segments(1600, 600))
+    sets = [np.unique(rng.integers(0, 1 << 63, 1700, dtype=np.uint64)) for _ in range(30)]
+    sent = np.concatenate([jaccard.signatures(x, band)[0] for x in sets])
+    assert len(np.unique(sent)) == len(sent)
+
+
 def test_deletion_signatures_meet():
     full = shingle_set(word_hashes([f"x{i}".encode() for i in range(40)]), 3)
     band = jaccard.Band(0, 30, 45, 1, 1)
