@@ -38,12 +38,12 @@ from labelspark.llm.stored import release, stored
 from labelspark.llm.tasks import batch as batch_of
 from labelspark.llm.tasks import map_batches
 
-#: Prices of the allocation: one signature sent, one pair of sets compared, and how likely two
-#: unrelated sets of a band are taken to agree on a shingle. They move cost, never results.
-SIGNATURE_COST, PAIR_COST, AGREEMENT = 1.0, 20.0, 0.05
+#: Prices of the allocation: one signature sent, one pair of sets compared. They move cost, never results.
+SIGNATURE_COST, PAIR_COST = 1.0, 20.0
+#: How likely two unlike sets of a band agree on a shingle. None: counted for each band.
+AGREEMENT: float | None = None
 #: Sizes of a band differ by less than this factor.
 BAND_NUMERATOR, BAND_DENOMINATOR = 3, 2
-BYTES_PER_WORD = 6
 #: Longs of a parity sketch. More refuse more unrelated pairs of long texts; results are the same.
 SKETCH_WORDS = 16
 #: Sets of a bucket's part: fuller buckets are compared in several parts.
@@ -90,19 +90,32 @@ def spare_segments(lo: int, allowance: int) -> int:
     return spare
 
 
-def allocate(index: int, lo: int, hi: int, sets: int, percent: int) -> Band:
+def chance_meetings(size: float, agreement: float) -> tuple[float, float]:
+    """How likely two unlike sets meet in a segment of about `size` elements, by allowance (1, 2).
+
+    With allowance 1 both must hold the same elements, and some. With allowance 2 all elements but
+    one must be shared, or each of the sets has at most one there.
+    """
+    bare = math.exp(-size)
+    few = bare * (1 + size)
+    return math.exp(size * (agreement - 1)) - bare, few * few + (1 + size) * agreement ** max(size - 1, 0)
+
+
+def allocate(index: int, lo: int, hi: int, sets: int, percent: int, agreement: float = 0.05) -> Band:
     """The cheapest division of a band that holds about `sets` sets."""
     allowance = hi * (100 - percent) // percent + 1
     middle, spare = (lo + hi) / 2, spare_segments(lo, allowance)
+    agreement = agreement if AGREEMENT is None else AGREEMENT
     best, d = None, 0
     while d <= allowance // 2:
-        segments = allowance - d
-        size = middle / (segments + spare)
-        signatures = segments + spare + d * size
-        alike = (segments + spare - d) * AGREEMENT**size + d * (1 + size) * AGREEMENT ** max(size - 1, 0)
-        cost = SIGNATURE_COST * sets * signatures + PAIR_COST * sets * sets / 2 * alike
+        segments = allowance - d + spare
+        size = middle / segments
+        equal, near = chance_meetings(size, agreement)
+        sent = segments + d * size
+        alike = (segments - d) * equal + d * near
+        cost = SIGNATURE_COST * sets * sent + PAIR_COST * sets * sets / 2 * alike
         if best is None or cost < best[0]:
-            best = cost, Band(index, lo, hi, segments, d, spare)
+            best = cost, Band(index, lo, hi, segments - spare, d, spare)
         d = d + max(1, d // 4)
     return best[1]
 
@@ -149,6 +162,7 @@ _ROWS = pa.schema(
      ("full", pa.list_(pa.int64())), ("fewer", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
      ("raw_sha256", pa.string())]
 )
+_LEAST = pa.schema([(c, pa.int64()) for c in ("band", "a", "b", "c")])
 _SETS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("elements", pa.binary())])
 
 
@@ -162,15 +176,46 @@ def _place() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"))
 
 
-def _bands(docs: DataFrame, percent: int) -> list[Band]:
-    """Bands priced by how many texts have about as many words; all texts are counted."""
+def _least_shingles(docs: DataFrame, k: int, lows: np.ndarray) -> DataFrame:
+    """(band, a, b, c): each set's band and its least shingles by three hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                elements = _elements(t, k)
+                at = int(np.searchsorted(lows, len(elements), side="right")) - 1
+                if at >= 0:
+                    out.append((at, *(_signed(int(mix(elements, salt).min())) for salt in (11, 12, 13))))
+            yield batch_of(_LEAST, *(zip(*out) if out else [[]] * 4))
+
+    return map_batches(docs.select("text"), run, "band long, a long, b long, c long")
+
+
+def _bands(docs: DataFrame, k: int, percent: int) -> list[Band]:
+    """Bands priced by how many sets they have and how often unlike sets agree; all texts are counted.
+
+    Two sets agree on a least shingle by chance J, their similarity. Pairs that agree by the first
+    hash and by neither of the others are counted by inclusion and exclusion, J(1 - J)^2 on
+    average: copies, which have to meet anyway, count as nothing, and unlike sets count as J.
+    """
     limits = band_limits(percent)
-    words = F.floor(F.octet_length("text") / BYTES_PER_WORD)
-    edges = F.array(*[F.lit(lo).cast("long") for lo, _ in limits])
-    index = F.size(F.filter(edges, lambda x: x <= words)) - 1
-    counted = docs.select(index.alias("band")).groupBy("band").agg(F.count("*").alias("n")).collect()
-    sets = {r["band"]: r["n"] for r in counted}
-    return [allocate(i, lo, hi, sets.get(i, 1), percent) for i, (lo, hi) in enumerate(limits)]
+    least = _least_shingles(docs, k, np.array([lo for lo, _ in limits]))
+    groups = stored(least.groupBy("band", "a", "b", "c").agg(F.count("*").alias("n")))
+    pairs = F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
+
+    def agreeing(*by: str) -> dict[int, float]:
+        counted = groups.groupBy("band", *by).agg(F.sum("n").alias("n")).groupBy("band").agg(pairs.alias("pairs"))
+        return {r["band"]: r["pairs"] for r in counted.collect()}
+
+    sets = {r["band"]: r["n"] for r in groups.groupBy("band").agg(F.sum("n").alias("n")).collect()}
+    one, two, other, three = (agreeing(*by) for by in ("a", "ab", "ac", "abc"))
+    out = []
+    for i, (lo, hi) in enumerate(limits):
+        n = sets.get(i, 1)
+        alike = one[i] - two[i] - other[i] + three[i] if i in one else 0.0
+        out.append(allocate(i, lo, hi, n, percent, min(1.0, (alike + 1) / (n * (n - 1) / 2 + 1))))
+    return out
 
 
 def _signed_rows(docs: DataFrame, k: int, percent: int, bands: list[Band]) -> DataFrame:
@@ -377,7 +422,7 @@ def similar_rows(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Equal sets are one class from the start, found with a map-side aggregate, so copies cost
     one comparison. Elements are 64-bit hashes of shingles, classes 128-bit hashes of sets.
     """
-    bands = _bands(docs, percent)
+    bands = _bands(docs, k, percent)
     signed = stored(_signed_rows(docs, k, percent, bands).withColumn("row", F.monotonically_increasing_id()))
     rows = stored(signed.drop("full", "fewer"))
     classes = stored(

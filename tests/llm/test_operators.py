@@ -122,6 +122,28 @@ def test_similar_sets_share_a_signature(monkeypatch, price, percent):
             assert len(y) < lo or len(np.intersect1d(*sent))
 
 
+def test_agreement_is_counted_without_copies(spark):
+    """Sets that share two thirds agree; copies and near copies alone do not raise the price."""
+    unlike = [(i, sentence(400 + i, 60)) for i in range(40)]
+    common = sentence(399, 40)
+    alike = [(i, f"{common} {sentence(500 + i, 20)}") for i in range(40)]
+    seen = []
+    real = jaccard.allocate
+
+    def note(i, lo, hi, sets, percent, agreement):
+        if sets > 1:
+            seen.append(agreement)
+        return real(i, lo, hi, sets, percent, agreement)
+
+    jaccard.allocate = note
+    try:
+        for rows in (unlike, unlike + [(100 + i, unlike[0][1]) for i in range(40)], alike):
+            jaccard._bands(table(spark, rows), 3, 80)
+    finally:
+        jaccard.allocate = real
+    assert len(seen) == 3 and max(seen[:2]) < 0.01 and seen[2] > 0.05
+
+
 def test_empty_segments_of_long_unlike_sets_do_not_meet():
     rng = np.random.default_rng(12)
     band = jaccard.Band(0, 1600, 2397, 600, 0, jaccard.spare_segments(1600, 600))
