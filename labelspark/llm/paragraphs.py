@@ -1,24 +1,26 @@
 """Repeated paragraphs: MinHash bands, exact Jaccard, and clusters of what to remove.
 
-A paragraph is a line, or a stretch of a fixed number of words inside the text. Stretches
-start at words that winnowing selects, so two texts that share `passage` words in a row share
-a stretch, wherever the passage stands and whatever the lines are.
+A paragraph is a line, a run of shorter lines, or a stretch of a fixed number of words inside the
+text. Stretches start at words that winnowing selects, so two texts that share `passage` words in a
+row share a stretch, wherever the passage stands and whatever the lines are.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspark.llm.bitset import build_filter, may_hold
 from labelspark.llm.components import components
 from labelspark.llm.hashing import mix, multiplier, overlap, run_hashes, word_hashes
-from labelspark.llm.stored import stored
+from labelspark.llm.stored import release, stored
 from labelspark.llm.tasks import batch as batch_of
 from labelspark.llm.tasks import map_batches
 
@@ -51,8 +53,11 @@ def tuned_bands(percent: int, recall: float, hashes: int) -> tuple[int, int]:
     return best
 
 
-def _starts(hashes: np.ndarray, s: ParagraphSettings) -> np.ndarray:
-    """Words at which stretches start: the least hash of each run of passage - stretch + 1."""
+def _starts(hashes: np.ndarray, bounds: np.ndarray, s: ParagraphSettings) -> np.ndarray:
+    """Words at which stretches start: the least hash of each run of passage - stretch + 1.
+
+    The words of several texts stand one after the other; text i has those from bounds[i] on.
+    """
     window, n = s.passage - s.stretch + 1, len(hashes) - s.stretch + 1
     if n < window:
         return np.empty(0, dtype=np.int64)
@@ -62,23 +67,39 @@ def _starts(hashes: np.ndarray, s: ParagraphSettings) -> np.ndarray:
         step = min(width, window - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    return np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    long = np.diff(bounds) >= s.passage
+    inside = np.zeros(len(least) + 1, dtype=np.int8)  # runs of one text, not of two neighbours
+    inside[bounds[:-1][long]] += 1
+    inside[bounds[1:][long] - s.passage + 1] -= 1
+    starts = (least[np.cumsum(inside[:-1], dtype=np.int8) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return starts[np.diff(starts, prepend=-1) != 0]
 
 
 def spans_of(text: str | None, s: ParagraphSettings) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """A text's words (A-Z lowered) and its paragraphs, as word ranges."""
-    words, spans = [], []
-    for line in (text or "").encode().lower().split(b"\n"):
-        own = line.split()
-        if len(own) >= s.stretch:
-            spans.append((len(words), len(words) + len(own)))
+    """A text's words (A-Z lowered) and its paragraphs, as word ranges.
+
+    A line of `stretch` words is a paragraph, and so are shorter lines up to a blank or a long one
+    if they have as many together. A text with neither a paragraph nor a stretch is one itself.
+    """
+    words, spans, start = [], [], 0
+    for line in [*(text or "").encode().lower().split(b"\n"), b""]:
+        own, at = line.split(), len(words)
+        if not own or len(own) >= s.stretch:
+            if at - start >= s.stretch:
+                spans.append((start, at))
+            if own:
+                spans.append((at, at + len(own)))
+            start = at + len(own)
         words += own
+    if not spans and 0 < len(words) < s.passage:
+        spans.append((0, len(words)))
     return words, spans
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("key", pa.int64()), ("check", pa.int32())])
-_BANDS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("key", pa.int64()), ("elements", pa.binary())])
+_SPANS = pa.schema([
+    ("doc_id", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("key", pa.int64()), ("check", pa.int32()),
+    ("bands", pa.list_(pa.int64())),
+])
 #: Keys a task remembers, to send a repeated paragraph's bands or shingles once.
 REMEMBERED = 200_000
 #: Longs of a parity sketch. More refuse more unrelated pairs of long lines; results are the same.
@@ -86,142 +107,172 @@ SKETCH_WORDS = 4
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 #: Keys of a band's part: fuller bands are compared in several parts.
 PART = 4096
+#: Bytes of text that a task cuts at once.
+SLICE = 1 << 20
+#: Paragraphs whose sketches are counted at once.
+COUNTED = 1024
+
 
+@dataclass
+class Cut:
+    """Paragraphs of some texts: number of the text, word range in it, range in `shingles`, and
+    two columns of keys, hashes of the paragraph's words."""
 
-def _parts(text: str | None, s: ParagraphSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of a text, its paragraphs' shingle ranges, and the paragraphs' keys (two columns)."""
-    words, spans = spans_of(text, s)
-    hashes = word_hashes(words)
-    spans = sorted({*spans, *((int(a), int(a) + s.stretch) for a in _starts(hashes, s))})
-    shingles = run_hashes(hashes, s.k)
-    at = np.array([(a, e - s.k + 1) for a, e in spans], dtype=np.int64).reshape(-1, 2)
+    shingles: np.ndarray
+    text: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+    keys: np.ndarray
+
+
+def cut(texts: list[str | None], s: ParagraphSettings) -> Cut:
+    words, bounds, spans = [], [0], []
+    for text in texts:
+        own, lines = spans_of(text, s)
+        spans += [(bounds[-1] + a, bounds[-1] + e) for a, e in lines]
+        words += own
+        bounds.append(len(words))
+    bounds, hashes = np.array(bounds), word_hashes(words)
+    starts = _starts(hashes, bounds, s)
+    ends = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    ends = np.concatenate((ends, np.stack((starts, starts + s.stretch), axis=1)))
+    ends = np.unique((ends[:, 0] << 32) | ends[:, 1])
+    ends = np.stack((ends >> 32, ends & 0xFFFFFFFF), axis=1)
+    text = np.searchsorted(bounds, ends[:, 0], side="right") - 1
+    shingles = run_hashes(np.append(hashes, np.zeros(s.k, np.uint64)), s.k)
+    at = ends - np.array([0, s.k - 1])
+    short = np.flatnonzero(ends[:, 1] - ends[:, 0] < s.k)  # their words are one shingle, behind the others
+    if len(short):
+        at[short] = len(shingles) + np.arange(len(short))[:, None] + np.array([0, 1])
+        shingles = np.concatenate([shingles, *(run_hashes(hashes[a:e], e - a) for a, e in ends[short].tolist())])
     keys = []
     for salt in (8, 9):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles, salt), dtype=np.uint64)))
         keys.append(mix(total[at[:, 1]] - total[at[:, 0]], 6))
-    return shingles, at, np.stack(keys, axis=1)
+    return Cut(shingles, text, ends - bounds[text][:, None], at, np.stack(keys, axis=1))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // SLICE)) + 1
+        for a, e in itertools.pairwise([0, *ends.tolist(), b.num_rows]):
+            yield b.slice(a, e - a)
+
+
+def _unseen(keys: np.ndarray, done: set[int]) -> np.ndarray:
+    """Places of the keys, each once, that are not in `done`, which takes them while it has room."""
+    names, first = np.unique(keys, return_index=True)
+    new = [i for i, name in zip(first.tolist(), names.tolist()) if name not in done]
+    if len(done) < REMEMBERED:
+        done.update(keys[new].tolist())
+    return np.sort(np.array(new, dtype=np.int64))
+
+
+def _bands(c: Cut, chosen: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """MinHash bands of the chosen paragraphs, a row each."""
+    padded, at, out = np.append(c.shingles, np.uint64(0)), c.at[chosen].ravel(), []
+    for band in range(bands):
+        total = np.full(len(chosen), band, dtype=np.uint64)
+        for r in range(rows if len(chosen) else 0):
+            least = np.minimum.reduceat(padded * multiplier(1000 + band * rows + r), at)[::2]
+            total = mix(total * np.uint64(31) + least, 5)
+        out.append(total)
+    return np.stack(out, axis=1).view(np.int64)
 
 
 def _occurrences(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """doc_id, from, to (words), and key and check (hashes of the words) of each paragraph."""
+    """doc_id, from, to (words), key and check (hashes of the words) and bands of each paragraph.
+
+    A task gives the bands with one occurrence of a key at least, with the others an empty list.
+    """
+    bands, rows = tuned_bands(s.percent, s.recall, s.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, spans, keys = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                _, at, key = _parts(text, s)
-                ids += [doc] * len(at)
-                spans.append(at)
-                keys.append(key)
-            at = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
-            key = np.concatenate(keys) if keys else np.zeros((0, 2), np.uint64)
+        done: set[int] = set()
+        for b in _slices(batches):
+            c = cut(b.column("text").to_pylist(), s)
+            new = _unseen(c.keys[:, 0], done)
+            sizes = np.zeros(len(c.text) + 1, dtype=np.int32)
+            sizes[new + 1] = bands
+            lists = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), _bands(c, new, bands, rows).ravel())
             yield batch_of(
-                _SPANS, ids, at[:, 0].astype(np.int32), (at[:, 1] + s.k - 1).astype(np.int32),
-                key[:, 0].copy().view(np.int64), key[:, 1].astype(np.uint32).view(np.int32),
+                _SPANS, b.column("doc_id").to_numpy()[c.text], c.words[:, 0].astype(np.int32), c.words[:, 1].astype(np.int32),
+                c.keys[:, 0].copy().view(np.int64), c.keys[:, 1].astype(np.uint32).view(np.int32), lists,
             )
 
-    kind = "doc_id long, from int, to int, key long, check int"
+    kind = "doc_id long, from int, to int, key long, check int, bands array<long>"
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kind)
 
 
-def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """(doc_id, key, band): the MinHash bands of each paragraph.
+def _buckets(spans: DataFrame) -> DataFrame:
+    """(band, key, rank): keys of bands that hold several, numbered within the band."""
+    order = Window.partitionBy("band").orderBy("key")
+    rows = spans.select("key", F.explode("bands").alias("band")).select(
+        "band", "key", F.dense_rank().over(order).alias("rank"), F.lag("key").over(order).alias("before"),
+        F.max("key").over(Window.partitionBy("band")).alias("last"),
+    )
+    return rows.where("(before is null or before < key) and (rank > 1 or key < last)").select("band", "key", "rank")
 
-    A task sends a key with the first document that holds it and once more with another one, so
-    the least and the largest document of a key differ if and only if several hold it.
-    """
-    bands, rows = tuned_bands(s.percent, s.recall, s.hashes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, int | None] = {}  # the only document so far, None after a second one
-        for b in batches:
-            docs_, names, values = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                shingles, at, key = _parts(text, s)
-                new = []
-                for i, x in enumerate(key[:, 0].tolist()):
-                    if x not in done:
-                        new.append(i)
-                        if len(done) < REMEMBERED:
-                            done[x] = doc
-                    elif done[x] is not None and done[x] != doc:
-                        new.append(i)
-                        done[x] = None
-                if not new:
-                    continue
-                padded, cut, own = np.append(shingles, np.uint64(0)), at[new].ravel(), []
-                for band in range(bands):
-                    total = np.full(len(new), band, dtype=np.uint64)
-                    for r in range(rows):
-                        least = np.minimum.reduceat(padded * multiplier(1000 + band * rows + r), cut)[::2]
-                        total = mix(total * np.uint64(31) + least, 5)
-                    own.append(total)
-                docs_ += [doc] * len(new)
-                names.append(key[new, 0].copy().view(np.int64))
-                values.append(np.stack(own, axis=1).view(np.int64))
-            flat = np.concatenate(values).ravel() if values else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)
-            yield batch_of(_BANDS, docs_, np.concatenate(names) if names else np.zeros(0, np.int64), lists)
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = map_batches(read, run, "doc_id long, key long, bands array<long>")
-    return made.select("doc_id", "key", F.explode("bands").alias("band"))
-
-
-def _buckets(banded: DataFrame) -> DataFrame:
-    """(band, key, rank, least, most): keys of bands that hold several, numbered within the band.
-
-    least and most are the smallest and the largest document that a key was sent with. A band
-    whose keys all stand in one and the same document links nothing and is left out.
+def _places(classes: DataFrame) -> DataFrame:
+    """(key, least, most, last, end): smallest and largest document, last start and first end of each key.
+
+    Of two keys of one and the same document, some occurrences lie apart if and only if the last
+    start of one is not before the first end of the other.
     """
-    once = banded.repartition("band").groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    order = Window.partitionBy("band").orderBy("key")
-    whole = Window.partitionBy("band")
-    numbered = once.select(
-        "band", "key", "least", "most", F.row_number().over(order).alias("rank"), F.lead("key").over(order).alias("next"),
-        F.min("least").over(whole).alias("a"), F.max("most").over(whole).alias("b"),
+    return classes.groupBy("key").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.max("last").alias("last"), F.min("end").alias("end")
     )
-    return numbered.where("(rank > 1 or next is not null) and a < b").select("band", "key", "rank", "least", "most")
 
 
-def _sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements that hash to each bit, as SKETCH_WORDS longs."""
-    bits = SKETCH_WORDS * 64
-    counts = np.bincount((mix(elements, 4) % np.uint64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+def _sets(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, sketches and, one after the other, sorted distinct elements of ranges of `shingles`.
+
+    A sketch is the parity of the number of elements that hash to each of its bits.
+    """
+    sizes = at[:, 1] - at[:, 0]
+    owner = np.repeat(np.arange(len(at)), sizes)
+    elements = shingles[np.arange(len(owner)) + np.repeat(at[:, 0] - np.cumsum(sizes) + sizes, sizes)]
+    elements = elements[np.lexsort((elements, owner))]
+    first = np.ones(len(owner), dtype=bool)
+    first[1:] = (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])
+    elements, owner = elements[first], owner[first]
+    sizes, bits, sketches = np.bincount(owner, minlength=len(at)), SKETCH_WORDS * 64, []
+    place = owner * bits + (mix(elements, 4) % np.uint64(bits)).astype(np.int64)
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    for a in range(0, len(at), COUNTED):
+        e = min(a + COUNTED, len(at))
+        counts = np.bincount(place[ends[a] : ends[e]] - a * bits, minlength=(e - a) * bits)
+        sketches.append(np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(-1, SKETCH_WORDS))
+    return sizes, np.concatenate(sketches) if sketches else np.zeros((0, SKETCH_WORDS), np.int64), elements
 
 
 def _shingles_of(docs: DataFrame, keys: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """(key, n, s0.., elements): size, parity sketch and shingle set of each of `keys`."""
+    """(key, n, s0.., elements): size, parity sketch and shingle set of each of `keys`, and perhaps of others.
+
+    Every task writes its own, so a key may come several times. The wide column stays where it is
+    written until a pair of keys has passed the sketches.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(build_filter(keys, "key", keys.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                shingles, at, key = _parts(text, s)
-                own = key[:, 0].copy()
-                for i in np.flatnonzero(may_hold(bits.value, own)).tolist():
-                    name = int(own.view(np.int64)[i])
-                    if name in done:
-                        continue
-                    if len(done) < REMEMBERED:
-                        done.add(name)
-                    out.append((name, np.unique(shingles[at[i, 0] : at[i, 1]]).tobytes()))
-            yield batch_of(_SETS, *(zip(*out) if out else [[]] * 2))
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column("elements")]
-            made = np.stack([_sketch(x) for x in sets]) if sets else np.zeros((0, SKETCH_WORDS), np.int64)
-            columns = [b.column("key"), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, made.T.copy()), b.column("elements")]
+        for b in _slices(batches):
+            c = cut(b.column("text").to_pylist(), s)
+            met = np.flatnonzero(may_hold(bits.value, c.keys[:, 0].copy()))
+            met = met[_unseen(c.keys[met, 0], done)]
+            sizes, sketches, elements = _sets(c.shingles, c.at[met])
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))) * 8
+            binary = pa.BinaryArray.from_buffers(
+                pa.binary(), len(met), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(elements)]
+            )
+            names = pa.array(c.keys[met, 0].copy().view(np.int64))
+            columns = [names, pa.array(sizes), *map(pa.array, sketches.T.copy()), binary]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n", *SKETCH, "elements"])
 
-    found = map_batches(docs.select("text"), run, "key long, elements binary")
-    once = found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
     kind = f"key long, n long, {', '.join(f'{c} long' for c in SKETCH)}, elements binary"
-    return stored(map_batches(once, sketched, kind))
+    return stored(map_batches(docs.select("text"), run, kind))
 
 
 def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -236,30 +287,38 @@ def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return stored(named.join(open_.select("band", "size"), "band"))
 
 
+def _apart(buckets: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of the bands that hold keys of two documents, or keys that lie apart in one."""
+    kept = buckets.join(places, "key").groupBy("band").agg(
+        F.min("least").alias("a"), F.max("most").alias("b"), F.max("last").alias("last"), F.min("end").alias("end")
+    ).where("a < b or last >= end")
+    return buckets.join(kept.select("band"), "band", "left_semi")
+
+
 def _met(active: DataFrame, sketches: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """(u, v): keys of ranks low..high-1 with later keys of their band that may be similar.
 
-    Sizes, labels, documents and sketches are compared within the join, so no other pair leaves
+    Sizes, labels, places and sketches are compared within the join, so no other pair leaves
     it. A full band is dealt to several tasks: its later keys by rank, its first keys to each.
     """
     parts = F.ceil(F.col("size") / PART).cast("int")
     with_bits = active.where(F.col("size") > low).withColumn("parts", parts).join(sketches, "key")
     first = with_bits.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
         "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("u"),
-        F.col("n").alias("nu"), F.col("rank").alias("ru"), F.col("label").alias("lu"),
-        F.col("least").alias("au"), F.col("most").alias("bu"), *[F.col(c).alias("u" + c) for c in SKETCH],
+        F.col("n").alias("nu"), F.col("rank").alias("ru"), F.col("label").alias("lu"), F.col("least").alias("au"),
+        F.col("most").alias("bu"), F.col("last").alias("last_u"), F.col("end").alias("end_u"), *[F.col(c).alias("u" + c) for c in SKETCH],
     )
     later = with_bits.where(F.col("rank") > low).withColumn("part", (F.col("rank") % F.col("parts")).cast("int"))
     unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("u" + c))) for c in SKETCH), F.lit(0))
     return first.join(later, ["band", "part"]).where(
         (F.col("rank") > F.col("ru")) & (F.col("label") != F.col("lu"))
-        & (F.least("least", "au") < F.greatest("most", "bu"))
+        & ((F.least("least", "au") < F.greatest("most", "bu")) | (F.col("last") >= F.col("end_u")) | (F.col("last_u") >= F.col("end")))
         & (F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent)
         & (unlike * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent))
     ).select("u", F.col("key").alias("v")).distinct()
 
 
-def _labels(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _labels(active: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, label) of all paragraphs that are linked to another, label the component's least key.
 
     In each band the keys of the first ranks are compared with all later keys of other
@@ -267,10 +326,8 @@ def _labels(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     component or all pairs across are tested. Keys found linked need no comparison with each
     other, so a band of near copies costs its size, not its square.
     """
-    sketches = sets.drop("elements")
     links = tested = labels = None
     low, high = 1, 2
-    active = _open(buckets, None)
     while True:
         pairs = _met(active, sketches, low, high, percent)
         if tested is not None:
@@ -282,12 +339,13 @@ def _labels(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links).withColumnRenamed("node", "key")
-                active = _open(active.drop("label", "size"), labels)
+                old, active = active, _open(active.drop("label", "size"), labels)
+                release(old)
         low, high = high, high * 8
         last = active.agg(F.max("rank")).first()[0]
         if last is None or last <= low:
             break
-    return buckets.sparkSession.createDataFrame([], "key long, label long") if labels is None else labels
+    return sets.sparkSession.createDataFrame([], "key long, label long") if labels is None else labels
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -300,7 +358,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("key").alias(n), F.col("elements").alias("e" + n)) for n in "uv")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    own = sets.select("key", "elements").join(asked, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
+    left, right = (own.select(F.col("key").alias(n), F.col("elements").alias("e" + n)) for n in "uv")
     return map_batches(pairs.join(right, "v").join(left, "u").select("u", "v", "eu", "ev"), run, "u long, v long")
 
 
@@ -312,22 +372,34 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
     similarity; the occurrences in the document with the smallest id stay, the others are
     removed. Documents without repeated paragraphs have no row.
 
-    Null and empty texts have no paragraphs. Rows that repeat a doc_id count as one document,
-    rows without doc_id as none: they neither make a paragraph repeated nor are in the result.
-    Further columns are ignored; an empty table gives an empty result. Equal paragraphs need no
-    band to meet; of unequal ones at the threshold, `recall` share a band, and all that share one
-    are compared. Two paragraphs that both stand only in one and the same document are not
-    linked to each other.
+    Null and empty texts have no paragraphs; a text of few words, or of short lines between blank
+    ones, is one paragraph. Rows that repeat a doc_id count as one document, rows without doc_id as
+    none: they neither make a paragraph repeated nor are in the result. Further columns are ignored;
+    an empty table gives an empty result. Equal paragraphs need no band to meet; of unequal ones at
+    the threshold, `recall` share a band, and all that share one are compared. Paragraphs that
+    only stand in one and the same document and overlap in all their occurrences are not linked to
+    each other; word numbers tell that, also if several rows have the doc_id.
     """
     s = settings
     docs = docs.where("doc_id is not null")
     spans = stored(_occurrences(docs, s))
-    buckets = stored(_buckets(_banded(docs, s)))
+    buckets = stored(_buckets(spans))
+    release()
     keys = stored(buckets.select("key").distinct())
-    labels = stored(_labels(buckets, _shingles_of(docs, keys, s), s.percent))
-    classes = spans.groupBy("key", "check").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    classes = stored(
+        spans.groupBy("key", "check").agg(
+            F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+            F.max("from").alias("last"), F.min("to").alias("end"),
+        ).join(keys.withColumn("met", F.lit(True)), "key", "left").where("least < most or met")
     )
+    places = stored(_places(classes.where("met")))
+    active = _open(_apart(buckets, places), None)
+    release(buckets, keys)
+    sets = _shingles_of(docs, active.select("key").distinct(), s)
+    once = sets.groupBy("key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH])
+    sketches = stored(once.join(places, "key"))
+    release(places)
+    labels = stored(_labels(active, sketches, sets, s.percent))
     named = stored(
         classes.join(labels, "key", "left")
         .where("least < most or label is not null").withColumn("label", F.coalesce("label", "key"))
@@ -336,6 +408,7 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
         F.sum("n").alias("n_copies"), F.min("least").alias("keep_doc_id"), F.max("most").alias("most")
     ).where("keep_doc_id < most").drop("most")
     known = stored(named.select("key", "check", "label").join(clusters, "label"))
+    release(classes, sets, sketches)
     return spans.join(known, ["key", "check"]).select(
         "doc_id", F.col("from").alias("from_word"), F.col("to").alias("to_word"), F.col("label").alias("cluster_id"),
         "keep_doc_id", "n_copies", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"),
