@@ -98,7 +98,7 @@ def spans_of(text: str | None, s: ParagraphSettings) -> tuple[list[bytes], list[
 
 _SPANS = pa.schema([
     ("doc_id", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("key", pa.int64()), ("check", pa.int32()),
-    ("bands", pa.list_(pa.int64())),
+    ("row", pa.int64()), ("apart", pa.int32()), ("bands", pa.list_(pa.int64())),
 ])
 #: Keys a task remembers, to send a repeated paragraph's bands or shingles once.
 REMEMBERED = 200_000
@@ -181,38 +181,91 @@ def _bands(c: Cut, chosen: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
+def _news(c: Cut, rows: np.ndarray, done: dict[int, int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, last, end): keys that were not met yet, or in one other row only, each once a row.
+
+    With the place of one of its paragraphs come the last start and the first end of all that the
+    row has of the key. `done` holds the only row of a key so far, None after a second one.
+    """
+    order = np.lexsort((c.text, c.keys[:, 0]))
+    key, text = c.keys[order, 0], c.text[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))[: len(order)])
+    if not len(first):
+        return (np.empty(0, np.int64),) * 3
+    last = np.maximum.reduceat(c.words[order, 0], first)
+    end = np.minimum.reduceat(c.words[order, 1], first)
+    new = []
+    for i, (name, row) in enumerate(zip(key[first].tolist(), rows[text[first]].tolist())):
+        if name not in done:
+            new.append(i)
+            if len(done) < REMEMBERED:
+                done[name] = row
+        elif done[name] is not None and done[name] != row:
+            new.append(i)
+            done[name] = None
+    place = order[first[new]] if new else np.empty(0, np.int64)
+    by = np.argsort(place)
+    return place[by], last[new][by], end[new][by]
+
+
+def _lie_apart(text: np.ndarray, band: np.ndarray, last: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each paragraph: do some of its text's paragraphs with the same band lie apart?"""
+    if not len(text):
+        return np.zeros(0, dtype=bool)
+    order = np.lexsort((band, text))
+    new = np.append(True, (text[order][1:] != text[order][:-1]) | (band[order][1:] != band[order][:-1]))
+    first = np.flatnonzero(new)
+    apart = np.maximum.reduceat(last[order], first) >= np.minimum.reduceat(end[order], first)
+    out = np.empty(len(text), dtype=bool)
+    out[order] = apart[np.cumsum(new) - 1]
+    return out
+
+
 def _occurrences(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """doc_id, from, to (words), key and check (hashes of the words) and bands of each paragraph.
+    """doc_id, from, to (words), key and check (hashes of the words), row, apart and bands of each paragraph.
 
-    A task gives the bands with one occurrence of a key at least, with the others an empty list.
+    A task gives the bands with one occurrence of a key and, if there is one, with another in a
+    second row; with all others an empty list. Bit i of apart tells whether the row has paragraphs
+    of the same band i that lie apart.
     """
     bands, rows = tuned_bands(s.percent, s.recall, s.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: dict[int, int | None] = {}
         for b in _slices(batches):
-            c = cut(b.column("text").to_pylist(), s)
-            new = _unseen(c.keys[:, 0], done)
-            sizes = np.zeros(len(c.text) + 1, dtype=np.int32)
+            c, row = cut(b.column("text").to_pylist(), s), b.column("row").to_numpy()
+            new, last, end = _news(c, row, done)
+            made = _bands(c, new, bands, rows)
+            sizes, apart = np.zeros(len(c.text) + 1, dtype=np.int32), np.zeros(len(c.text), dtype=np.int32)
             sizes[new + 1] = bands
-            lists = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), _bands(c, new, bands, rows).ravel())
+            for i in range(bands):
+                apart[new] |= _lie_apart(c.text[new], made[:, i], last, end).astype(np.int32) << i
+            lists = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), made.ravel())
             yield batch_of(
                 _SPANS, b.column("doc_id").to_numpy()[c.text], c.words[:, 0].astype(np.int32), c.words[:, 1].astype(np.int32),
-                c.keys[:, 0].copy().view(np.int64), c.keys[:, 1].astype(np.uint32).view(np.int32), lists,
+                c.keys[:, 0].copy().view(np.int64), c.keys[:, 1].astype(np.uint32).view(np.int32), row[c.text], apart, lists,
             )
 
-    kind = "doc_id long, from int, to int, key long, check int, bands array<long>"
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kind)
+    kind = "doc_id long, from int, to int, key long, check int, row long, apart int, bands array<long>"
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    return map_batches(read, run, kind)
 
 
 def _buckets(spans: DataFrame) -> DataFrame:
-    """(band, key, rank): keys of bands that hold several, numbered within the band."""
-    order = Window.partitionBy("band").orderBy("key")
-    rows = spans.select("key", F.explode("bands").alias("band")).select(
+    """(band, key, rank): keys of bands that hold several, numbered within the band.
+
+    A band whose keys all stand in one and the same row, and do not lie apart there, links nothing
+    and is left out. The paragraphs of a row and band have the same mark.
+    """
+    order, whole = Window.partitionBy("band").orderBy("key"), Window.partitionBy("band")
+    sent = spans.select("key", "row", "apart", F.posexplode("bands").alias("i", "band"))
+    marked = sent.select("band", "key", F.expr("row * 2 + (shiftright(apart, i) & 1)").alias("mark"))
+    rows = marked.select(
         "band", "key", F.dense_rank().over(order).alias("rank"), F.lag("key").over(order).alias("before"),
-        F.max("key").over(Window.partitionBy("band")).alias("last"),
+        F.max("key").over(whole).alias("last"), F.min("mark").over(whole).alias("a"), F.max("mark").over(whole).alias("b"),
     )
-    return rows.where("(before is null or before < key) and (rank > 1 or key < last)").select("band", "key", "rank")
+    several = "(rank > 1 or key < last) and (a < b or b % 2 = 1)"
+    return rows.where(f"(before is null or before < key) and {several}").select("band", "key", "rank")
 
 
 def _places(classes: DataFrame) -> DataFrame:
@@ -287,14 +340,6 @@ def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return stored(named.join(open_.select("band", "size"), "band"))
 
 
-def _apart(buckets: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows of the bands that hold keys of two documents, or keys that lie apart in one."""
-    kept = buckets.join(places, "key").groupBy("band").agg(
-        F.min("least").alias("a"), F.max("most").alias("b"), F.max("last").alias("last"), F.min("end").alias("end")
-    ).where("a < b or last >= end")
-    return buckets.join(kept.select("band"), "band", "left_semi")
-
-
 def _met(active: DataFrame, sketches: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """(u, v): keys of ranks low..high-1 with later keys of their band that may be similar.
 
@@ -393,12 +438,11 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
         ).join(keys.withColumn("met", F.lit(True)), "key", "left").where("least < most or met")
     )
     places = stored(_places(classes.where("met")))
-    active = _open(_apart(buckets, places), None)
-    release(buckets, keys)
-    sets = _shingles_of(docs, active.select("key").distinct(), s)
+    sets = _shingles_of(docs, keys, s)
     once = sets.groupBy("key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH])
     sketches = stored(once.join(places, "key"))
-    release(places)
+    active = _open(buckets, None)
+    release(buckets, keys, places)
     labels = stored(_labels(active, sketches, sets, s.percent))
     named = stored(
         classes.join(labels, "key", "left")

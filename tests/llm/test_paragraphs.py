@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from labelspark.llm.paragraphs import ParagraphSettings, _sets, cut, repeated_paragraphs
+from labelspark.llm.paragraphs import ParagraphSettings, _lie_apart, _news, _sets, cut, repeated_paragraphs
 
 S = ParagraphSettings()
 
@@ -63,3 +63,16 @@ def test_paragraphs_of_one_document_link_where_they_lie_apart(spark):
     assert sorted((r.doc_id, r.from_word, r.n_copies) for r in got) == [(1, 0, 3), (1, 40, 3), (2, 0, 3)]
     assert len({r.cluster_id for r in got}) == 1
     assert repeated_paragraphs(docs(spark, rows[:1]), ParagraphSettings(passage=101)).count() == 0
+
+
+def test_bands_of_overlapping_paragraphs_of_one_row_are_left_out():
+    text, band = np.array([0, 0, 0, 1, 1]), np.array([7, 7, 8, 7, 7])
+    last, end = np.array([0, 3, 90, 0, 40]), np.array([25, 28, 115, 25, 65])
+    assert _lie_apart(text, band, last, end).tolist() == [False, False, False, True, True]
+
+
+def test_a_key_is_sent_with_two_rows_at_most():
+    c, done = cut([" ".join(words(8, 30))] * 3, S), {}
+    place, last, end = _news(c, np.array([5, 6, 7]), done)
+    assert (c.text[place].tolist(), last.tolist(), end.tolist()) == ([0, 1], [0, 0], [30, 30])
+    assert not len(_news(c, np.array([8, 9, 10]), done)[0]) and list(done.values()) == [None]
