@@ -96,10 +96,8 @@ def spans_of(text: str | None, s: ParagraphSettings) -> tuple[list[bytes], list[
     return words, spans
 
 
-_SPANS = pa.schema([
-    ("doc_id", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("key", pa.int64()), ("check", pa.int32()),
-    ("row", pa.int64()), ("apart", pa.int32()), ("bands", pa.list_(pa.int64())),
-])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("key", pa.int64()), ("check", pa.int32())])
+_BANDS = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("apart", pa.int32()), ("bands", pa.list_(pa.int64()))])
 #: Keys a task remembers, to send a repeated paragraph's bands or shingles once.
 REMEMBERED = 200_000
 #: Longs of a parity sketch. More refuse more unrelated pairs of long lines; results are the same.
@@ -160,15 +158,6 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(a, e - a)
 
 
-def _unseen(keys: np.ndarray, done: set[int]) -> np.ndarray:
-    """Places of the keys, each once, that are not in `done`, which takes them while it has room."""
-    names, first = np.unique(keys, return_index=True)
-    new = [i for i, name in zip(first.tolist(), names.tolist()) if name not in done]
-    if len(done) < REMEMBERED:
-        done.update(keys[new].tolist())
-    return np.sort(np.array(new, dtype=np.int64))
-
-
 def _bands(c: Cut, chosen: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """MinHash bands of the chosen paragraphs, a row each."""
     padded, at, out = np.append(c.shingles, np.uint64(0)), c.at[chosen].ravel(), []
@@ -181,31 +170,38 @@ def _bands(c: Cut, chosen: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _news(c: Cut, rows: np.ndarray, done: dict[int, int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, last, end): keys that were not met yet, or in one other row only, each once a row.
+def _news(
+    c: Cut, rows: np.ndarray, done: dict[int, int | None], again: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, last, end, fresh): keys that were not met yet (fresh), or in one other row only, each once a text.
 
     With the place of one of its paragraphs come the last start and the first end of all that the
-    row has of the key. `done` holds the only row of a key so far, None after a second one.
+    text has of the key. `done` holds the only row of a key so far, None after a second one. With
+    `again`, texts that repeat the only row so far count, too.
     """
     order = np.lexsort((c.text, c.keys[:, 0]))
     key, text = c.keys[order, 0], c.text[order]
     first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))[: len(order)])
     if not len(first):
-        return (np.empty(0, np.int64),) * 3
+        return (*(np.empty(0, np.int64),) * 3, np.empty(0, bool))
     last = np.maximum.reduceat(c.words[order, 0], first)
     end = np.minimum.reduceat(c.words[order, 1], first)
-    new = []
+    new, fresh = [], []
     for i, (name, row) in enumerate(zip(key[first].tolist(), rows[text[first]].tolist())):
         if name not in done:
             new.append(i)
+            fresh.append(True)
             if len(done) < REMEMBERED:
                 done[name] = row
-        elif done[name] is not None and done[name] != row:
+        elif done[name] is not None and (again or done[name] != row):
             new.append(i)
-            done[name] = None
-    place = order[first[new]] if new else np.empty(0, np.int64)
+            fresh.append(False)
+            if done[name] != row:
+                done[name] = None
+    new = np.array(new, dtype=np.int64)
+    place = order[first[new]]
     by = np.argsort(place)
-    return place[by], last[new][by], end[new][by]
+    return place[by], last[new][by], end[new][by], np.array(fresh, dtype=bool)[by]
 
 
 def _lie_apart(text: np.ndarray, band: np.ndarray, last: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -222,11 +218,23 @@ def _lie_apart(text: np.ndarray, band: np.ndarray, last: np.ndarray, end: np.nda
 
 
 def _occurrences(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """doc_id, from, to (words), key and check (hashes of the words), row, apart and bands of each paragraph.
+    """doc_id, from, to (words), and key and check (hashes of the words) of each paragraph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            c = cut(b.column("text").to_pylist(), s)
+            yield batch_of(
+                _SPANS, b.column("doc_id").to_numpy()[c.text], c.words[:, 0].astype(np.int32), c.words[:, 1].astype(np.int32),
+                c.keys[:, 0].copy().view(np.int64), c.keys[:, 1].astype(np.uint32).view(np.int32),
+            )
+
+    return map_batches(docs, run, "doc_id long, from int, to int, key long, check int")
+
+
+def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
+    """key, row, apart and bands of each key, and again if a task meets it in a second row.
 
-    A task gives the bands with one occurrence of a key and, if there is one, with another in a
-    second row; with all others an empty list. Bit i of apart tells whether the row has paragraphs
-    of the same band i that lie apart.
+    Bit i of apart tells whether the row has paragraphs of the same band i that lie apart.
     """
     bands, rows = tuned_bands(s.percent, s.recall, s.hashes)
 
@@ -234,31 +242,25 @@ def _occurrences(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
         done: dict[int, int | None] = {}
         for b in _slices(batches):
             c, row = cut(b.column("text").to_pylist(), s), b.column("row").to_numpy()
-            new, last, end = _news(c, row, done)
-            made = _bands(c, new, bands, rows)
-            sizes, apart = np.zeros(len(c.text) + 1, dtype=np.int32), np.zeros(len(c.text), dtype=np.int32)
-            sizes[new + 1] = bands
+            new, last, end, _ = _news(c, row, done)
+            made, apart = _bands(c, new, bands, rows), np.zeros(len(new), dtype=np.int32)
             for i in range(bands):
-                apart[new] |= _lie_apart(c.text[new], made[:, i], last, end).astype(np.int32) << i
-            lists = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), made.ravel())
-            yield batch_of(
-                _SPANS, b.column("doc_id").to_numpy()[c.text], c.words[:, 0].astype(np.int32), c.words[:, 1].astype(np.int32),
-                c.keys[:, 0].copy().view(np.int64), c.keys[:, 1].astype(np.uint32).view(np.int32), row[c.text], apart, lists,
-            )
+                apart |= _lie_apart(c.text[new], made[:, i], last, end).astype(np.int32) << i
+            lists = pa.ListArray.from_arrays(np.arange(0, made.size + 1, bands, dtype=np.int32), made.ravel())
+            yield batch_of(_BANDS, c.keys[new, 0].copy().view(np.int64), row[c.text[new]], apart, lists)
 
-    kind = "doc_id long, from int, to int, key long, check int, row long, apart int, bands array<long>"
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    return map_batches(read, run, kind)
+    read = docs.select("text", F.monotonically_increasing_id().alias("row"))
+    return map_batches(read, run, "key long, row long, apart int, bands array<long>")
 
 
-def _buckets(spans: DataFrame) -> DataFrame:
+def _buckets(banded: DataFrame) -> DataFrame:
     """(band, key, rank): keys of bands that hold several, numbered within the band.
 
     A band whose keys all stand in one and the same row, and do not lie apart there, links nothing
     and is left out. The paragraphs of a row and band have the same mark.
     """
     order, whole = Window.partitionBy("band").orderBy("key"), Window.partitionBy("band")
-    sent = spans.select("key", "row", "apart", F.posexplode("bands").alias("i", "band"))
+    sent = banded.select("key", "row", "apart", F.posexplode("bands").alias("i", "band"))
     marked = sent.select("band", "key", F.expr("row * 2 + (shiftright(apart, i) & 1)").alias("mark"))
     rows = marked.select(
         "band", "key", F.dense_rank().over(order).alias("rank"), F.lag("key").over(order).alias("before"),
@@ -268,17 +270,6 @@ def _buckets(spans: DataFrame) -> DataFrame:
     return rows.where(f"(before is null or before < key) and {several}").select("band", "key", "rank")
 
 
-def _places(classes: DataFrame) -> DataFrame:
-    """(key, least, most, last, end): smallest and largest document, last start and first end of each key.
-
-    Of two keys of one and the same document, some occurrences lie apart if and only if the last
-    start of one is not before the first end of the other.
-    """
-    return classes.groupBy("key").agg(
-        F.min("least").alias("least"), F.max("most").alias("most"), F.max("last").alias("last"), F.min("end").alias("end")
-    )
-
-
 def _sets(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes, sketches and, one after the other, sorted distinct elements of ranges of `shingles`.
 
@@ -302,30 +293,49 @@ def _sets(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _shingles_of(docs: DataFrame, keys: DataFrame, s: ParagraphSettings) -> DataFrame:
-    """(key, n, s0.., elements): size, parity sketch and shingle set of each of `keys`, and perhaps of others.
+    """(key, doc_id, last, end, n, s0.., elements): places, size, parity sketch and shingle set of each of
+    `keys`, and perhaps of others.
 
-    Every task writes its own, so a key may come several times. The wide column stays where it is
-    written until a pair of keys has passed the sketches.
+    A task gives the set with one document of a key; if there is a second one, it comes without a
+    set. The wide column stays where it is written until a pair of keys has passed the sketches.
     """
     bits = docs.sparkSession.sparkContext.broadcast(build_filter(keys, "key", keys.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: dict[int, int | None] = {}
         for b in _slices(batches):
             c = cut(b.column("text").to_pylist(), s)
             met = np.flatnonzero(may_hold(bits.value, c.keys[:, 0].copy()))
-            met = met[_unseen(c.keys[met, 0], done)]
-            sizes, sketches, elements = _sets(c.shingles, c.at[met])
-            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))) * 8
-            binary = pa.BinaryArray.from_buffers(
-                pa.binary(), len(met), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(elements)]
-            )
-            names = pa.array(c.keys[met, 0].copy().view(np.int64))
-            columns = [names, pa.array(sizes), *map(pa.array, sketches.T.copy()), binary]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", *SKETCH, "elements"])
+            c = Cut(c.shingles, c.text[met], c.words[met], c.at[met], c.keys[met])
+            doc = b.column("doc_id").to_numpy()
+            place, last, end, fresh = _news(c, doc, done, again=True)
+            for own in (fresh, ~fresh):
+                m = place[own]
+                if own is fresh:
+                    sizes, sketches, elements = _sets(c.shingles, c.at[m])
+                    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))) * 8
+                    buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(elements)]
+                    made = [pa.array(sizes), *map(pa.array, sketches.T.copy()), pa.BinaryArray.from_buffers(pa.binary(), len(m), buffers)]
+                else:
+                    made = [*(pa.nulls(len(m), pa.int64()) for _ in ["n", *SKETCH]), pa.nulls(len(m), pa.binary())]
+                columns = [c.keys[m, 0].copy().view(np.int64), doc[c.text[m]], last[own], end[own]]
+                names = ["key", "doc_id", "last", "end", "n", *SKETCH, "elements"]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *made], names=names)
+
+    kind = f"key long, doc_id long, last long, end long, n long, {', '.join(f'{c} long' for c in SKETCH)}, elements binary"
+    return stored(map_batches(docs, run, kind))
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(key, n, s0.., least, most, last, end): with smallest and largest document, last start and first end.
 
-    kind = f"key long, n long, {', '.join(f'{c} long' for c in SKETCH)}, elements binary"
-    return stored(map_batches(docs.select("text"), run, kind))
+    Of two keys of one and the same document, some occurrences lie apart if and only if the last
+    start of one is not before the first end of the other.
+    """
+    return sets.groupBy("key").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ["n", *SKETCH]],
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("last").alias("last"), F.min("end").alias("end"),
+    )
 
 
 def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -404,7 +414,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    own = sets.select("key", "elements").join(asked, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
+    own = sets.where("elements is not null").select("key", "elements").join(asked, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
     left, right = (own.select(F.col("key").alias(n), F.col("elements").alias("e" + n)) for n in "uv")
     return map_batches(pairs.join(right, "v").join(left, "u").select("u", "v", "eu", "ev"), run, "u long, v long")
 
@@ -426,24 +436,19 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
     each other; word numbers tell that, also if several rows have the doc_id.
     """
     s = settings
-    docs = docs.where("doc_id is not null")
-    spans = stored(_occurrences(docs, s))
-    buckets = stored(_buckets(spans))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = stored(_buckets(_banded(docs, s)))
     release()
-    keys = stored(buckets.select("key").distinct())
-    classes = stored(
-        spans.groupBy("key", "check").agg(
-            F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
-            F.max("from").alias("last"), F.min("to").alias("end"),
-        ).join(keys.withColumn("met", F.lit(True)), "key", "left").where("least < most or met")
-    )
-    places = stored(_places(classes.where("met")))
-    sets = _shingles_of(docs, keys, s)
-    once = sets.groupBy("key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH])
-    sketches = stored(once.join(places, "key"))
+    sets = _shingles_of(docs, buckets.select("key").distinct(), s)
+    sketches = stored(_sketches(sets))
     active = _open(buckets, None)
-    release(buckets, keys, places)
+    release(buckets)
     labels = stored(_labels(active, sketches, sets, s.percent))
+    release(sets, sketches)
+    spans = stored(_occurrences(docs, s))
+    classes = spans.groupBy("key", "check").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    )
     named = stored(
         classes.join(labels, "key", "left")
         .where("least < most or label is not null").withColumn("label", F.coalesce("label", "key"))
@@ -452,7 +457,6 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
         F.sum("n").alias("n_copies"), F.min("least").alias("keep_doc_id"), F.max("most").alias("most")
     ).where("keep_doc_id < most").drop("most")
     known = stored(named.select("key", "check", "label").join(clusters, "label"))
-    release(classes, sets, sketches)
     return spans.join(known, ["key", "check"]).select(
         "doc_id", F.col("from").alias("from_word"), F.col("to").alias("to_word"), F.col("label").alias("cluster_id"),
         "keep_doc_id", "n_copies", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"),

@@ -73,6 +73,6 @@ def test_bands_of_overlapping_paragraphs_of_one_row_are_left_out():
 
 def test_a_key_is_sent_with_two_rows_at_most():
     c, done = cut([" ".join(words(8, 30))] * 3, S), {}
-    place, last, end = _news(c, np.array([5, 6, 7]), done)
-    assert (c.text[place].tolist(), last.tolist(), end.tolist()) == ([0, 1], [0, 0], [30, 30])
+    place, last, end, fresh = _news(c, np.array([5, 6, 7]), done)
+    assert (c.text[place].tolist(), last.tolist(), end.tolist(), fresh.tolist()) == ([0, 1], [0, 0], [30, 30], [True, False])
     assert not len(_news(c, np.array([8, 9, 10]), done)[0]) and list(done.values()) == [None]
