@@ -85,7 +85,7 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", F.posexplode(F.split("text", " ")).alias("i", "token")
     ).withColumn(
         "offset",
-        F.length(F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("i")), " "))
+        F.expr("length(substring_index(text, ' ', i))")
         + F.when(F.col("i") > 0, 1).otherwise(0),
     )
     word = tokens.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark import schemas
-from labelspark.functions.text import strip
+from labelspark.functions.text import let, strip
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -48,20 +48,30 @@ def typed_words(raw: DataFrame) -> DataFrame:
     """Rows of text as words, with `error`: why a row is none, null where it is one.
 
     A number that cannot be read, a missing box or one of negative size, and an unreadable line
-    are errors. Nothing raises, nothing is dropped.
+    are errors. Nothing raises, nothing is dropped. Each row is read once, in a generator of one
+    row: a filter on `error` stays above it instead of taking a copy of all the casts along.
     """
     have = set(raw.columns)
     text = {c: strip(F.col(c)) if c in have else F.lit("") for c in NUMBERS}
-    value = {c: F.expr(f"try_cast(`_{c}` as {kind})") for c, kind in NUMBERS.items()}
-    told = F.concat(F.lit("word "), F.when(F.col("_word_no") == "", "?").otherwise(F.col("_word_no")), F.lit(": "))
-    checks = [F.when((F.col(f"_{c}") != "") & value[c].isNull(), F.concat(told, F.lit(f"{c} is not a number"))) for c in NUMBERS]
-    checks += [F.when(F.col(f"_{c}") == "", F.concat(told, F.lit(f"{c} is missing"))) for c in NEEDED]
-    checks += [F.when(value[c] < 0, F.concat(told, F.lit(f"{c} is negative"))) for c in ("width", "height")]
-    if "unreadable" in have:
-        checks.insert(0, F.when(F.col("unreadable").isNotNull(), F.lit("unreadable line")))
-    kept = raw.withColumns({f"_{c}": t for c, t in text.items()}).withColumn("error", F.coalesce(*checks))
-    columns = [value[f.name].alias(f.name) if f.name in NUMBERS else F.col(f.name) for f in schemas.OCR_WORDS]
-    return kept.select(*columns, "error")
+
+    def number(c, kind):
+        """A cast skips the usual white space itself; the pattern is for what it cannot read."""
+        stripped = text[c].try_cast(kind)
+        return F.coalesce(F.col(c).cast("string").try_cast(kind), stripped) if c in have else stripped
+
+    def read(v):
+        told = F.concat(F.lit("word "), F.when(text["word_no"] == "", "?").otherwise(text["word_no"]), F.lit(": "))
+        checks = [F.when(v[c].isNull() & (text[c] != ""), F.concat(told, F.lit(f"{c} is not a number"))) for c in NUMBERS]
+        checks += [F.when(v[c].isNull() & (text[c] == ""), F.concat(told, F.lit(f"{c} is missing"))) for c in NEEDED]
+        checks += [F.when(v[c] < 0, F.concat(told, F.lit(f"{c} is negative"))) for c in ("width", "height")]
+        if "unreadable" in have:
+            checks.insert(0, F.when(F.col("unreadable").isNotNull(), F.lit("unreadable line")))
+        return F.struct(*[v[c].alias(c) for c in NUMBERS], F.coalesce(*checks).alias("error"))
+
+    values = F.struct(*[number(c, kind).alias(c) for c, kind in NUMBERS.items()])
+    kept = raw.select("*", F.explode(F.array(let(values, read))).alias("_read"))
+    columns = [F.col(f"_read.{f.name}") if f.name in NUMBERS else F.col(f.name) for f in schemas.OCR_WORDS]
+    return kept.select(*columns, "_read.error")
 
 
 def word_errors(typed: DataFrame) -> DataFrame:
