@@ -21,10 +21,14 @@ LIMB = 62
 FULL = (1 << LIMB) - 1
 
 
-def _limb_masks(limb: Column, alphabet: Column) -> Column:
-    """Map character -> bit mask of its places in ``limb`` (first place = top bit)."""
-    letters = F.array_join(alphabet, "")
-    zeros = F.repeat(F.lit("0"), F.size(alphabet))
+def _limb_masks(limb: Column, alphabet: Column, rest: Column | str = "") -> Column:
+    """Map character -> bit mask of its places in ``limb`` (first place = top bit).
+
+    ``rest`` holds characters of ``limb`` that need no mask.
+    """
+    rest = F.lit(rest) if isinstance(rest, str) else rest
+    letters = F.concat(F.array_join(alphabet, ""), rest)
+    zeros = F.repeat(F.lit("0"), F.length(letters))
     masks = F.transform(
         alphabet,
         lambda c, i: F.conv(
@@ -86,6 +90,35 @@ def _lcs(short: Column, long: Column) -> Column:
     return let(F.struct(short.alias("s"), long.alias("l")), body)
 
 
+def _lcs_of_limb(short: Column, long: Column) -> Column:
+    """The recurrence where ``short`` fits one limb: no carry, and only letters both have do anything."""
+    def body(p):
+        full = F.lit(FULL)
+        own = chars(p["s"])
+        letters = F.struct(
+            F.array_intersect(own, p["l"]).alias("both"),
+            F.array_join(F.array_except(own, p["l"]), "").alias("rest"),
+        )
+
+        def run(masks):
+            met = F.filter(F.transform(F.reverse(p["l"]), lambda c: masks[c]), lambda m: m.isNotNull())
+            left = F.aggregate(
+                met, full,
+                lambda v, m: (v + v.bitwiseAND(m)).bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))),
+            )
+            used = F.call_function("shiftrightunsigned", full, F.lit(LIMB) - F.length(p["s"]))
+            return F.length(p["s"]) - F.bit_count(left.bitwiseAND(used))
+
+        return let(
+            letters,
+            lambda q: F.when(F.size(q["both"]) == 0, F.lit(0)).otherwise(
+                let(_limb_masks(p["s"], q["both"], q["rest"]), run)
+            ),
+        )
+
+    return let(F.struct(short.alias("s"), chars(long).alias("l")), body)
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     def body(p):
         swap = F.length(p["a"]) > F.length(p["b"])
@@ -95,7 +128,9 @@ def lcs_length(a: Column, b: Column) -> Column:
         )
         return let(
             ordered,
-            lambda q: F.when(F.length(q["s"]) == 0, F.lit(0)).otherwise(_lcs(q["s"], q["l"])),
+            lambda q: F.when(F.length(q["s"]) == 0, F.lit(0))
+            .when(F.length(q["s"]) <= LIMB, _lcs_of_limb(q["s"], q["l"]))
+            .otherwise(_lcs(q["s"], q["l"])),
         )
 
     return let(F.struct(a.alias("a"), b.alias("b")), body)
@@ -188,12 +223,20 @@ def brand_similarity(a: Column, b: Column) -> Column:
 
 
 def best_token_scores(app_tokens: Column, label_tokens: Column, pct: int) -> Column:
-    """For each application token, its best ratio to a label token that reaches ``pct``."""
+    """For each application token, its best ratio to a label token that reaches ``pct``.
+
+    Tokens whose lengths alone keep them below ``pct`` are left out before anything is compared.
+    """
     distinct = F.array_distinct(label_tokens)
+
+    def long_enough(t, w):
+        gap = F.abs(F.length(t) - F.length(w))
+        return gap * 100 <= (F.length(t) + F.length(w)) * (100 - pct)
+
     return F.transform(
         app_tokens,
         lambda t: F.aggregate(
-            distinct,
+            F.filter(distinct, lambda w: long_enough(t, w)),
             F.lit(0.0),
             lambda best, w: F.when(best < 1.0, F.greatest(best, ratio_from(t, w, pct)))
             .otherwise(best),
