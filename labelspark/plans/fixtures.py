@@ -58,6 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over the session's partitions, for costly work on files of few row groups."""
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untyped applications, as a submission file would hold them, plus ``k``.
 
@@ -67,8 +72,7 @@ def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     apps = spark.sql(
         APPLICATIONS_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part")
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return apps.repartition(n, "label_id")
+    return spread(spark, apps, "label_id")
 
 
 def label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labelspark import schemas
 from labelspark.config import REQUIRED_STATEMENT
 from labelspark.operators.extract import FIELD
-from labelspark.plans.fixtures import table
+from labelspark.plans.fixtures import spread, table
 
 APPLICATION = {
     "beverage_type": "spirits", "brand_name": "Old Crow", "class_type": "Gin", "alcohol_pct": "40", "proof": "80",
@@ -148,6 +148,8 @@ def planted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "part").select(
         F.concat(F.lit("L"), F.col("p_partkey")).alias("label_id"), (F.col("p_partkey") % len(CASES)).cast("int").alias("case_no")
     )
+    # the rules are costly, and a part file may be a single row group, which one task would read
+    labels = spread(spark, labels, "label_id")
     box = F.array(*[F.lit(x) for x in (1, 2, 30, 40)])
     field = lambda c: F.struct(F.col(c).alias("value"), F.when(F.col(c) != "", box).alias("bbox")).cast(FIELD).alias(c)
     found = labels.join(F.broadcast(cases), "case_no").select(
