@@ -195,22 +195,23 @@ def collapse_repeats(text: Column) -> Column:
     out = F.regexp_replace(out, r"\}\s*", " ")
     out = F.regexp_replace(out, r"[—\-]{3,}", " ")
 
-    def one_round(c):
+    def one_round(c, flags):
         for n in (5, 4, 3, 2, 1):
             more = r"(?:\s++\w++){%d}" % (n - 1)
-            c = F.regexp_replace(c, r"(?iU)(\b\w++%s)\s++\1\b" % more, "$1")
+            c = F.regexp_replace(c, rf"(?{flags})(\b\w++%s)\s++\1\b" % more, "$1")
         return c
 
-    def again(before, rounds):
+    def again(before, rounds, flags):
         """Another round only for texts the last one changed, three in all."""
         return let(
-            one_round(before),
+            one_round(before, flags),
             lambda after: F.when(
                 (after == before) if rounds > 1 else F.lit(True), after
-            ).otherwise(again(after, rounds - 1) if rounds > 1 else after),
+            ).otherwise(again(after, rounds - 1, flags) if rounds > 1 else after),
         )
 
-    return norm(let(out, lambda t: again(t, 3)))
+    # in a text of ASCII alone the classes mean the same without Unicode, and are tested faster
+    return norm(let(out, lambda t: F.when(F.octet_length(t) == F.length(t), again(t, 3, "i")).otherwise(again(t, 3, "iU"))))
 
 
 # fixed values: repairs of the upper-cased statement, applied in this order

@@ -607,7 +607,7 @@ def document_cleaning(spark, d):
 @query
 def document_repeats(spark, d):
     """Documents without adjacent repeats of phrases of up to five words."""
-    docs = T.table(spark, d, "documents")
+    docs = T.spread(spark, T.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", X.collapse_repeats(F.col("text")).alias("text"))
 
 
