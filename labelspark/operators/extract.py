@@ -43,9 +43,11 @@ def occurs_pattern(values: list[str], whole_word: bool = False) -> str:
     for v in upper:
         if not any(o != v and within(o, v) for o in upper):
             by_letter.setdefault(v[0], []).append(v[1:])
-    # one branch per first letter keeps the scan short
+    # one branch per first letter keeps the scan short, and places where no value can start
+    # are left at a glance
+    glance = "".join("[%s]" % "".join(sorted({v[i] for v in upper})) for i in range(min(map(len, upper))))
     body = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
-    return rf"(?U)\b(?:{body})\b" if whole_word else f"(?:{body})"
+    return rf"(?U)(?={glance})\b(?:{body})\b" if whole_word else f"(?={glance})(?:{body})"
 
 
 CLASS_NAME = any_of(C.CLASS_KEYWORDS, whole_word=True)
@@ -53,7 +55,7 @@ CLASS_ANYWHERE = occurs_pattern(C.CLASS_KEYWORDS)
 CLASS_WORD = occurs_pattern(C.CLASS_KEYWORDS, whole_word=True)
 COUNTRY_ANYWHERE = occurs_pattern(C.KNOWN_COUNTRIES)
 SERVING_MARKER = occurs_pattern(C.SERVING_MARKERS)
-SERVING_TRACE = occurs_pattern(C.SERVING_MARKERS + C.ORPHAN_SERVING_WORDS) + r"|\|"
+SERVING_TRACE = r"\||" + occurs_pattern(C.SERVING_MARKERS + C.ORPHAN_SERVING_WORDS)
 WARNING_KEYWORD = occurs_pattern(C.WARNING_KEYWORDS)
 SUFFIX_WORD = r"(?U)(?:^|\s)(%s)(?=\s|$)" % "|".join(
     sorted(C.BRAND_SUFFIXES + C.CORPORATE_SUFFIXES + C.OTHER_SUFFIXES, key=len, reverse=True)
@@ -70,15 +72,42 @@ def no_field() -> Column:
 
 # --- tests on one block -------------------------------------------------------
 
+# What a text must hold for a pattern to match at all. Most blocks are settled by that; only
+# the others meet the pattern, whose answer counts.
+
+
+def holds(c: Column, *values: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(v)) for v in values])
+
+
+def has_digit(t: Column) -> Column:
+    return t.rlike("[0-9]")
+
+
+def has_abv(t: Column) -> Column:
+    return F.contains(t, F.lit("%")) & t.rlike(C.ABV_QUALIFIED)
+
+
+def has_net_contents(t: Column) -> Column:
+    return has_digit(t) & t.rlike(C.NET_CONTENTS)
+
+
+def has_bottler_header(t: Column, up: Column) -> Column:
+    return F.contains(up, F.lit("BY")) & t.rlike(C.BOTTLER_HEADER)
+
+
+def may_name_country(up: Column) -> Column:
+    return holds(up, "PRODUC", "WINE", "VINO", "MADE", "IMPORTED", "ORIGIN")
+
 
 def is_junk(t: Column) -> Column:
     """OCR noise or text that cannot be a brand (stripped text)."""
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     return (
         (F.length(t) <= 1)
         | (letters < F.length(t) * 0.4)
         | t.rlike(C.HEADER_ONLY)
-        | t.rlike(C.PANEL_MARKER)
+        | (F.contains(F.upper(t), F.lit("LABEL")) & t.rlike(C.PANEL_MARKER))
         | F.upper(t).isin(C.WARNING_WORDS + C.STOP_WORDS)
     )
 
@@ -94,23 +123,23 @@ def abv_qualified(t: Column) -> Column:
 def is_stop_content(t: Column, up: Column) -> Column:
     """Text that cannot continue a class designation (stripped, and upper-cased)."""
     return (
-        t.rlike(C.ABV_QUALIFIED)
-        | t.rlike(C.BOTTLER_HEADER)
+        has_abv(t)
+        | has_bottler_header(t, up)
         | F.contains(up, F.lit("IMPORTED BY"))
-        | t.rlike(C.NET_CONTENTS)
-        | t.rlike(C.COUNTRY_PHRASE)
+        | has_net_contents(t)
+        | (may_name_country(up) & t.rlike(C.COUNTRY_PHRASE))
         | F.startswith(up, F.lit("CONTAINS"))
-        | (t.rlike(C.CITY_STATE) & ~up.rlike(CLASS_ANYWHERE))
-        | t.rlike(C.PANEL_MARKER)
+        | (F.contains(t, F.lit(",")) & t.rlike(C.CITY_STATE) & ~up.rlike(CLASS_ANYWHERE))
+        | (F.contains(up, F.lit("LABEL")) & t.rlike(C.PANEL_MARKER))
     )
 
 
-def is_class_anchor(t: Column, up: Column, stop: Column) -> Column:
+def is_class_anchor(t: Column, class_word: Column, stop: Column) -> Column:
     """A class keyword, not stop content, and more than a weak word or two."""
     found = F.array_distinct(X.upper_words(t))
     strong = F.arrays_overlap(found, F.array(*[F.lit(w) for w in C.STRONG_CLASS_WORDS]))
     return F.when(
-        up.rlike(CLASS_WORD) & ~stop, strong | (F.size(found) > 3)
+        class_word & ~stop, strong | (F.size(found) > 3)
     ).otherwise(F.lit(False))
 
 
@@ -132,8 +161,8 @@ def leaves_warning(t: Column, up: Column) -> Column:
         t.isin(C.PANEL_MARKERS)
         | F.startswith(up, F.lit("CONTAINS"))
         | (
-            (t.rlike(C.NET_CONTENTS) | t.rlike(C.ABV_QUALIFIED))
-            & ~F.contains(up, F.lit("GOVERNMENT"))
+            ~F.contains(up, F.lit("GOVERNMENT"))
+            & (has_net_contents(t) | has_abv(t))
         )
     )
 
@@ -195,22 +224,26 @@ def block_stages(cfg: RuleConfig) -> list[dict[str, Column]]:
             "junk": is_junk(t),
             "stop": is_stop_content(t, up),
             "class_any": up.rlike(CLASS_ANYWHERE),
-            "class_word": up.rlike(CLASS_WORD),
+            "class_word": up.rlike(CLASS_ANYWHERE) & up.rlike(CLASS_WORD),
             "adjective": up.isin(C.CLASS_ADJECTIVES),
             "suffix": suffix_candidate(t),
-            "abv": abv_qualified(t),
-            "abv_any": F.get(loose, F.lit(0)),
-            "abv_loose": F.get(F.filter(loose, plausible_abv), F.lit(0)),
-            "proof_no": F.regexp_extract("t", C.PROOF, 1),
-            "net": net_value(t),
-            "country": country_value(t),
+            "abv": F.when(F.contains(t, F.lit("%")), abv_qualified(t)).otherwise(""),
+            "abv_any": F.when(F.contains(F.col("text"), F.lit("%")), F.get(loose, F.lit(0))),
+            "abv_loose": F.when(
+                F.contains(F.col("text"), F.lit("%")), F.get(F.filter(loose, plausible_abv), F.lit(0))
+            ),
+            "proof_no": F.when(
+                F.contains(up, F.lit("PROOF")), F.regexp_extract(t, C.PROOF, 1)
+            ).otherwise(""),
+            "net": F.when(has_digit(t), net_value(t)).otherwise(""),
+            "country": F.when(may_name_country(up), country_value(t)).otherwise(""),
             "country_name": (F.length("t") < 40) & up.rlike(COUNTRY_ANYWHERE),
-            "bottler_header": t.rlike(C.BOTTLER_HEADER),
+            "bottler_header": has_bottler_header(t, up),
             "opens": opens_warning(up),
             "leaves": leaves_warning(t, up),
         },
         {
-            "anchor": is_class_anchor(t, up, F.col("stop")),
+            "anchor": is_class_anchor(t, F.col("class_word"), F.col("stop")),
             "abv_score": F.when(plausible_abv(F.col("abv")), 2).otherwise(1)
             + F.when(up.rlike("ALC|VOL|PROOF"), 2).otherwise(0),
             "bottler_end": up.rlike("GOVERNMENT|WARNING")
