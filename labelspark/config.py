@@ -127,8 +127,10 @@ BOTTLER_HEADER = (
     r"|Cellared\s+and\s+Bottled\s+by|Vinted\s+and\s+Bottled\s+by"
     r"|Blended\s+and\s+Bottled\s+by)"
 )
+# a name starts where its run of characters starts: the first match does so anyway, and no
+# other place has to be tried
 BOTTLER_ADDRESS = (
-    r"(?iU)([\w\s&']+(?:Brewery|Distillery|Winery|Cellars|Imports|Vineyards"
+    r"(?iU)(?<![\w\s&'])([\w\s&']+(?:Brewery|Distillery|Winery|Cellars|Imports|Vineyards"
     r"|Brewing\s+Company|Company))"
     r"[\s,]+([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)\s*,\s*([A-Z]{2})\b"
 )

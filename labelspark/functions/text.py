@@ -11,6 +11,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters of ``SPACE`` in Unicode, for trimming without a pattern.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 EDGE_PUNCTUATION = r"""^[.,;:!?'"()]+|[.,;:!?'"()]+$"""
 
 
@@ -45,7 +47,7 @@ def text_or_empty(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text_or_empty(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text_or_empty(c), F.lit(SPACES))
 
 
 def norm(c: Column) -> Column:

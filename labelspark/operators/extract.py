@@ -54,12 +54,8 @@ CLASS_NAME = any_of(C.CLASS_KEYWORDS, whole_word=True)
 CLASS_ANYWHERE = occurs_pattern(C.CLASS_KEYWORDS)
 CLASS_WORD = occurs_pattern(C.CLASS_KEYWORDS, whole_word=True)
 COUNTRY_ANYWHERE = occurs_pattern(C.KNOWN_COUNTRIES)
-SERVING_MARKER = occurs_pattern(C.SERVING_MARKERS)
-SERVING_TRACE = r"\||" + occurs_pattern(C.SERVING_MARKERS + C.ORPHAN_SERVING_WORDS)
-WARNING_KEYWORD = occurs_pattern(C.WARNING_KEYWORDS)
-SUFFIX_WORD = r"(?U)(?:^|\s)(%s)(?=\s|$)" % "|".join(
-    sorted(C.BRAND_SUFFIXES + C.CORPORATE_SUFFIXES + C.OTHER_SUFFIXES, key=len, reverse=True)
-)
+SUFFIXES = C.BRAND_SUFFIXES + C.CORPORATE_SUFFIXES + C.OTHER_SUFFIXES
+SUFFIX_WORD = r"(?U)(?:^|\s)(%s)(?=\s|$)" % "|".join(sorted(SUFFIXES, key=len, reverse=True))
 
 
 def field(value: Column, box: Column) -> Column:
@@ -80,6 +76,12 @@ def holds(c: Column, *values: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(v)) for v in values])
 
 
+def holds_any(c: Column, values: list[str]) -> Column:
+    """Whether one of the values, upper case, stands anywhere in upper-cased text."""
+    upper = sorted({v.upper() for v in values}, key=len)
+    return holds(c, *[v for i, v in enumerate(upper) if not any(o in v for o in upper[:i])])
+
+
 def has_digit(t: Column) -> Column:
     return t.rlike("[0-9]")
 
@@ -100,15 +102,15 @@ def may_name_country(up: Column) -> Column:
     return holds(up, "PRODUC", "WINE", "VINO", "MADE", "IMPORTED", "ORIGIN")
 
 
-def is_junk(t: Column) -> Column:
+def is_junk(t: Column, up: Column) -> Column:
     """OCR noise or text that cannot be a brand (stripped text)."""
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     return (
         (F.length(t) <= 1)
         | (letters < F.length(t) * 0.4)
         | t.rlike(C.HEADER_ONLY)
-        | (F.contains(F.upper(t), F.lit("LABEL")) & t.rlike(C.PANEL_MARKER))
-        | F.upper(t).isin(C.WARNING_WORDS + C.STOP_WORDS)
+        | (F.contains(up, F.lit("LABEL")) & t.rlike(C.PANEL_MARKER))
+        | up.isin(C.WARNING_WORDS + C.STOP_WORDS)
     )
 
 
@@ -120,16 +122,16 @@ def abv_qualified(t: Column) -> Column:
     )
 
 
-def is_stop_content(t: Column, up: Column) -> Column:
+def is_stop_content(t: Column, up: Column, class_any: Column, net_any: Column) -> Column:
     """Text that cannot continue a class designation (stripped, and upper-cased)."""
     return (
         has_abv(t)
         | has_bottler_header(t, up)
         | F.contains(up, F.lit("IMPORTED BY"))
-        | has_net_contents(t)
+        | net_any
         | (may_name_country(up) & t.rlike(C.COUNTRY_PHRASE))
         | F.startswith(up, F.lit("CONTAINS"))
-        | (F.contains(t, F.lit(",")) & t.rlike(C.CITY_STATE) & ~up.rlike(CLASS_ANYWHERE))
+        | (F.contains(t, F.lit(",")) & t.rlike(C.CITY_STATE) & ~class_any)
         | (F.contains(up, F.lit("LABEL")) & t.rlike(C.PANEL_MARKER))
     )
 
@@ -144,30 +146,38 @@ def is_class_anchor(t: Column, class_word: Column, stop: Column) -> Column:
 
 
 def is_serving_only(up: Column) -> Column:
-    return up.rlike(SERVING_MARKER) & ~has_warning_keyword(up)
+    return has_serving_marker(up) & ~has_warning_keyword(up)
+
+
+def has_serving_marker(up: Column) -> Column:
+    return holds_any(up, C.SERVING_MARKERS)
+
+
+def has_serving_trace(up: Column) -> Column:
+    return F.contains(up, F.lit("|")) | holds_any(up, C.SERVING_MARKERS + C.ORPHAN_SERVING_WORDS)
 
 
 def has_warning_keyword(up: Column) -> Column:
-    return up.rlike(WARNING_KEYWORD)
+    return holds_any(up, C.WARNING_KEYWORDS)
 
 
 def opens_warning(up: Column) -> Column:
     return F.contains(up, F.lit("GOVERNMENT")) & F.contains(up, F.lit("WARNING"))
 
 
-def leaves_warning(t: Column, up: Column) -> Column:
+def leaves_warning(t: Column, up: Column, net_any: Column) -> Column:
     """Panel marker, CONTAINS line, or a quantity outside the statement heading."""
     return (
         t.isin(C.PANEL_MARKERS)
         | F.startswith(up, F.lit("CONTAINS"))
         | (
             ~F.contains(up, F.lit("GOVERNMENT"))
-            & (has_net_contents(t) | has_abv(t))
+            & (net_any | has_abv(t))
         )
     )
 
 
-def suffix_candidate(t: Column) -> Column:
+def suffix_candidate(t: Column, up: Column) -> Column:
     """Brand read off a company suffix: text, '' to take the block before, or null."""
     def body(p):
         at = F.instr(p["u"], p["w"])
@@ -180,11 +190,11 @@ def suffix_candidate(t: Column) -> Column:
             .otherwise(F.lit(""))
         )
 
-    up = F.upper(t)
-    return let(
+    read = let(
         F.struct(t.alias("t"), up.alias("u"), F.regexp_extract(up, SUFFIX_WORD, 1).alias("w")),
         body,
     )
+    return F.when(holds_any(up, SUFFIXES), read)
 
 
 def country_value(t: Column) -> Column:
@@ -221,12 +231,17 @@ def block_stages(cfg: RuleConfig) -> list[dict[str, Column]]:
         {"t": strip(F.col("text"))},
         {"up": F.upper("t")},
         {
-            "junk": is_junk(t),
-            "stop": is_stop_content(t, up),
             "class_any": up.rlike(CLASS_ANYWHERE),
-            "class_word": up.rlike(CLASS_ANYWHERE) & up.rlike(CLASS_WORD),
+            "digit": has_digit(t),
+            "keyword": has_warning_keyword(up),
+            "net_any": has_net_contents(t),
+        },
+        {
+            "junk": is_junk(t, up),
+            "stop": is_stop_content(t, up, F.col("class_any"), F.col("net_any")),
+            "class_word": F.col("class_any") & up.rlike(CLASS_WORD),
             "adjective": up.isin(C.CLASS_ADJECTIVES),
-            "suffix": suffix_candidate(t),
+            "suffix": suffix_candidate(t, up),
             "abv": F.when(F.contains(t, F.lit("%")), abv_qualified(t)).otherwise(""),
             "abv_any": F.when(F.contains(F.col("text"), F.lit("%")), F.get(loose, F.lit(0))),
             "abv_loose": F.when(
@@ -235,30 +250,30 @@ def block_stages(cfg: RuleConfig) -> list[dict[str, Column]]:
             "proof_no": F.when(
                 F.contains(up, F.lit("PROOF")), F.regexp_extract(t, C.PROOF, 1)
             ).otherwise(""),
-            "net": F.when(has_digit(t), net_value(t)).otherwise(""),
+            "net": F.when(F.col("digit"), net_value(t)).otherwise(""),
             "country": F.when(may_name_country(up), country_value(t)).otherwise(""),
             "country_name": (F.length("t") < 40) & up.rlike(COUNTRY_ANYWHERE),
             "bottler_header": has_bottler_header(t, up),
             "opens": opens_warning(up),
-            "leaves": leaves_warning(t, up),
+            "leaves": leaves_warning(t, up, F.col("net_any")),
         },
         {
             "anchor": is_class_anchor(t, F.col("class_word"), F.col("stop")),
             "abv_score": F.when(plausible_abv(F.col("abv")), 2).otherwise(1)
-            + F.when(up.rlike("ALC|VOL|PROOF"), 2).otherwise(0),
-            "bottler_end": up.rlike("GOVERNMENT|WARNING")
-            | t.rlike(r"^\d+\s*%")
-            | t.rlike("(?i)^" + C.NET_CONTENTS.removeprefix("(?i)"))
+            + F.when(holds(up, "ALC", "VOL", "PROOF"), 2).otherwise(0),
+            "bottler_end": holds(up, "GOVERNMENT", "WARNING")
+            | (F.contains(t, F.lit("%")) & t.rlike(r"^\d+\s*%"))
+            | (F.col("net_any") & t.rlike("(?i)^" + C.NET_CONTENTS.removeprefix("(?i)")))
             | (F.col("country") != "")
             | F.startswith("up", F.lit("CONTAINS")),
-            "in_warning": (F.length("t") >= 2) & ~F.col("leaves") & has_warning_keyword(up),
+            "in_warning": (F.length("t") >= 2) & ~F.col("leaves") & F.col("keyword"),
         },
         {
             "warning_pos": F.when(
                 F.col("in_warning"), X.statement_position(t, cfg.required_statement)
             ),
             "warning_text": F.when(
-                F.col("in_warning") & up.rlike(SERVING_TRACE),
+                F.col("in_warning") & has_serving_trace(up),
                 X.strip_nutrition(t, C.SERVING_MARKERS, C.ORPHAN_SERVING_WORDS),
             ).when(F.col("in_warning"), t),
         },
@@ -454,14 +469,14 @@ def net_contents(bs: Column, combined: Column) -> Column:
     total = pints.try_cast("bigint") * 16 + ounces.try_cast("bigint")
     compound = field(
         F.concat_ws(" ", total.cast("string"), F.lit("fl oz")),
-        box_where(bs, lambda b: F.upper(b["text"]).rlike("PINT|FL")),
+        box_where(bs, lambda b: holds(F.upper(b["text"]), "PINT", "FL")),
     )
 
     def split_over_blocks(value):
         number = F.split_part(value, F.lit(" "), F.lit(1))
         box = box_where(
             bs,
-            lambda b: F.contains(b["text"], number) | F.lower(b["text"]).rlike("ml|oz|qt"),
+            lambda b: F.contains(b["text"], number) | holds(F.lower(b["text"]), "ml", "oz", "qt"),
         )
         return F.when(value == "", no_field()).otherwise(field(value, box))
 
@@ -560,11 +575,11 @@ def warning_by_anchor(bs: Column) -> Column:
         def step(acc, i):
             b = F.get(bs, i - 1)
             off_column = (b["x1"] > anchor["x2"] + margin) | (b["x2"] < anchor["x1"] - margin)
-            other_class = b["class_any"] & ~b["up"].rlike("ALCOHOLIC|BEVERAGES|HEALTH|PROBLEMS")
+            other_class = b["class_any"] & ~holds(b["up"], "ALCOHOLIC", "BEVERAGES", "HEALTH", "PROBLEMS")
             ends = (
                 ((b["y1"] > acc["last_y"] + gap) & (F.size(acc["taken"]) > 0))
                 | b["leaves"]
-                | b["up"].rlike(SERVING_MARKER)
+                | has_serving_marker(b["up"])
                 | other_class
             )
             again = (
@@ -639,15 +654,15 @@ def bottler(bs: Column, combined: Column) -> Column:
     def from_seal():
         seal = first_where(
             bs,
-            lambda b: b["up"].rlike("DSP|DISTILLERY") & ~b["opens"] & (F.length(b["t"]) >= 4),
+            lambda b: holds(b["up"], "DSP", "DISTILLERY") & ~b["opens"] & (F.length(b["t"]) >= 4),
         )
         return let(
             seal, lambda b: F.when(b.isNotNull(), field(b["t"], G.bbox(b))).otherwise(no_field())
         )
 
     address = F.struct(parts[0].alias("name"), parts[1].alias("city"), parts[2].alias("state"))
-    without_header = let(
-        address, lambda p: F.when(p["state"] != "", from_address(p)).otherwise(from_seal())
+    without_header = F.when(combined.rlike(C.BOTTLER_ADDRESS), let(address, from_address)).otherwise(
+        from_seal()
     )
     return let(
         first_index(bs, lambda b: b["bottler_header"]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,47 @@ def test_repeats_read_alike_with_and_without_other_letters(spark):
     both = rows.select(X.collapse_repeats(F.col("t")).alias("a"), X.collapse_repeats(F.concat("t", F.lit(" ß"))).alias("u"))
     assert "octet_length" in optimized(both)
     assert [r.u for r in both.collect()] == [r.a + " ß" for r in both.collect()]
+
+
+def test_an_address_is_sought_from_the_start_of_a_name_only(spark):
+    texts = [
+        "Old Tom Distillery Frederick, MD", "by Old Tom & Sons' Winery, New York, NY 1", "x. Stone Brewing Company Escondido, CA", "Winery Napa, CA",
+        "Brewing Company Napa, CA", "Company Company Napa, CA", "\U00010400a b Cellars \u0130zmir, TR", "\u00e9 Brewery\u00a0B\u00e9ziers , FR", "Imports Napa",
+        "(a) b Vineyards, Napa, CA, c Cellars, Napa, CA", "", "Distillery Vodka 40% ALC/VOL General, women",
+    ]
+    plain = C.BOTTLER_ADDRESS.replace(r"(?<![\w\s&'])", "")
+    assert plain != C.BOTTLER_ADDRESS
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    groups = lambda p: F.array(*[F.regexp_extract("t", p, g) for g in (0, 1, 2, 3)])
+    got = rows.select("t", groups(C.BOTTLER_ADDRESS).alias("a"), groups(plain).alias("b")).collect()
+    assert [r.t for r in got if r.a != r.b] == [] and sum(r.a[0] != "" for r in got) >= 6
+    long = spark.createDataFrame([("word " * 12000,)], "t string")
+    long.select(F.col("t").rlike(C.BOTTLER_ADDRESS)).collect()
+    start = time.perf_counter()
+    assert not long.select(F.col("t").rlike(C.BOTTLER_ADDRESS)).first()[0]
+    assert time.perf_counter() - start < 3
+
+
+def test_fixed_words_take_no_pattern(spark):
+    rows = spark.createDataFrame([("L", i, t, 0, 0, 9, 9, 1.0) for i, t in enumerate([*TEXTS, "a | b", "SERVINGS", "Old Co", "according", "FAT"])],
+                                 "label_id string, block_id bigint, text string, x1 int, y1 int, x2 int, y2 int, confidence double")
+    up = F.col("up")
+    either = lambda words: up.rlike("|".join(words))
+    tested = E.block_tests(rows).select(
+        "text", "in_warning", E.has_warning_keyword(up).alias("keyword"), either(C.WARNING_KEYWORDS).alias("keyword_0"),
+        E.has_serving_marker(up).alias("marker"), either(C.SERVING_MARKERS).alias("marker_0"),
+        E.has_serving_trace(up).alias("trace"), either([r"\|", *C.SERVING_MARKERS, *C.ORPHAN_SERVING_WORDS]).alias("trace_0"),
+        "suffix", F.regexp_extract(up, E.SUFFIX_WORD, 1).alias("word"),
+    )
+    for r in tested.collect():
+        assert (r.keyword, r.marker, r.trace) == (r.keyword_0, r.marker_0, r.trace_0), r.text
+        assert (r.suffix is None) == (r.word == ""), r.text
+    plan = optimized(E.block_tests(rows))
+    assert "RLIKE GOVERNMENT|WARNING" not in plan and "RLIKE ALC|VOL|PROOF" not in plan
+
+
+def test_trimming_knows_the_spaces_of_the_pattern(spark):
+    texts = spark.createDataFrame([(chr(i) + "a" + chr(i) + "b" + chr(i) * 2,) for i in range(0x3100)] + [(" \n",), (None,), ("a\r\n",)], "t string")
+    both = texts.select("t", X.strip(F.col("t")).alias("a"), F.regexp_replace(X.text_or_empty(F.col("t")), rf"(?U)^{X.SPACE}+|{X.SPACE}+$", "").alias("b"))
+    assert [r.t for r in both.collect() if r.a != r.b] == []
+    assert "regexp" not in optimized(texts.select(X.strip(F.col("t")).alias("a"))).lower()
