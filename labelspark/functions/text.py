@@ -197,11 +197,15 @@ def collapse_repeats(text: Column) -> Column:
     out = F.regexp_replace(out, r"\}\s*", " ")
     out = F.regexp_replace(out, r"[—\-]{3,}", " ")
 
+    def drop(c, n, flags):
+        more = r"(?:\s++\w++){%d}" % (n - 1)
+        return F.regexp_replace(c, rf"(?{flags})(\b\w++%s)\s++\1\b" % more, "$1")
+
     def one_round(c, flags):
-        for n in (5, 4, 3, 2, 1):
-            more = r"(?:\s++\w++){%d}" % (n - 1)
-            c = F.regexp_replace(c, rf"(?{flags})(\b\w++%s)\s++\1\b" % more, "$1")
-        return c
+        """A phrase of several words can repeat only where its first two words come again soon."""
+        pair = rf"(?{flags})(\b\w++\s++\w++)(?:\s++\w++){{0,3}}?\s++\1\b"
+        phrases = reduce(lambda out, n: drop(out, n, flags), (5, 4, 3, 2), c)
+        return drop(F.when(c.rlike(pair), phrases).otherwise(c), 1, flags)
 
     def again(before, rounds, flags):
         """Another round only for texts the last one changed, three in all."""

@@ -164,3 +164,21 @@ def test_trimming_knows_the_spaces_of_the_pattern(spark):
     both = texts.select("t", X.strip(F.col("t")).alias("a"), F.regexp_replace(X.text_or_empty(F.col("t")), rf"(?U)^{X.SPACE}+|{X.SPACE}+$", "").alias("b"))
     assert [r.t for r in both.collect() if r.a != r.b] == []
     assert "regexp" not in optimized(texts.select(X.strip(F.col("t")).alias("a"))).lower()
+
+
+def test_repeats_are_dropped_as_by_all_patterns(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["a", "A", "b", "of", "of.", "c", "\u00c9", "\u00e9"]) for _ in range(rnd.randrange(24))) for _ in range(400)]
+    texts += ["a b c d e A B C D E", "a b c d a b c d x", "a b  a b", "a b\ta b", "of the risk of birth", "x a b c a b c a b c"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+
+    def one_round(c):
+        for n in (5, 4, 3, 2, 1):
+            c = F.regexp_replace(c, r"(?iU)(\b\w++(?:\s++\w++){%d})\s++\1\b" % (n - 1), "$1")
+        return c
+
+    # three rounds, of which a text without change is the same after any further one
+    both = rows.select("t", X.collapse_repeats(F.col("t")).alias("a"), X.norm(one_round(one_round(one_round(F.col("t"))))).alias("b")).collect()
+    assert [r.t for r in both if r.a != r.b] == []
+    plan = optimized(rows.select(X.collapse_repeats(F.col("t"))))
+    assert "{0,3}?" in plan
