@@ -7,6 +7,7 @@ the walks over neighbours work on that array inside the row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -294,10 +295,28 @@ TESTED = [
     "warning_pos", "warning_text",
 ]
 
-
-def in_reading_order(tested: DataFrame) -> DataFrame:
-    """One row per label: ``bs`` sorted by (y1, x1, block_id) and the full text."""
-    item = F.struct("y1", "x1", "block_id", "x2", "y2", *TESTED)
+#: What each field reads of the tested blocks besides their boxes and text; ``combined_stripped`` reads t.
+READS = {
+    "brand_name": ["t", "junk", "class_any", "suffix"],
+    "class_type": ["t", "stop", "class_word", "anchor", "adjective"],
+    "alcohol_pct": ["abv", "abv_score", "abv_any", "abv_loose"],
+    "proof": ["proof_no"],
+    "net_contents": ["net"],
+    "government_warning": ["up", "opens", "in_warning", "warning_pos", "warning_text"],
+    "bottler": ["t", "up", "junk", "bottler_header", "bottler_end", "opens"],
+    "country_of_origin": ["t", "country", "country_name"],
+}
+#: The same without a required wording.
+READS_BY_ANCHOR = {**READS, "government_warning": ["t", "up", "class_any", "opens", "leaves"]}
+
+
+def in_reading_order(tested: DataFrame, reads: list[str] = TESTED) -> DataFrame:
+    """One row per label: ``bs`` sorted by (y1, x1, block_id) and the full text.
+
+    The blocks are gathered with the columns ``reads``; equal places are settled by the text, which
+    all tests are made of, so the order is the same whatever is read.
+    """
+    item = F.struct("y1", "x1", "block_id", "x2", "y2", "text", *[c for c in TESTED[1:] if c in reads])
     gathered = tested.groupBy("label_id").agg(F.array_sort(F.collect_list(item)).alias("bs"))
     in_input_order = F.array_sort(
         F.transform("bs", lambda b: F.struct(b["block_id"].alias("n"), b["text"].alias("s")))
@@ -307,7 +326,7 @@ def in_reading_order(tested: DataFrame) -> DataFrame:
         "bs",
         F.array_join(F.transform(in_input_order, lambda b: b["s"]), " ").alias("all_text"),
         F.array_join(F.transform("bs", lambda b: b["text"]), " ").alias("combined"),
-        F.array_join(F.transform("bs", lambda b: b["t"]), " ").alias("combined_stripped"),
+        *[F.array_join(F.transform("bs", lambda b: b["t"]), " ").alias("combined_stripped") for c in reads if c == "t"],
     )
 
 
@@ -681,31 +700,41 @@ def country_of_origin(bs: Column) -> Column:
     )
 
 
-@built_once
-def field_columns(by_reference: bool) -> list[Column]:
-    bs, combined = F.col("bs"), F.col("combined")
-    return [
-        brand_candidates(bs).alias("brand_candidates"),
-        prominent_brand(bs).alias("brand_prominent"),
-        class_type(bs, combined).alias("class_type"),
-        alcohol_pct(bs, combined).alias("alcohol_pct"),
-        proof(bs, combined).alias("proof"),
-        net_contents(bs, combined).alias("net_contents"),
-        (warning_by_reference(bs) if by_reference else warning_by_anchor(bs)).alias(
-            "government_warning"
-        ),
-        bottler(bs, F.col("combined_stripped")).alias("bottler"),
-        country_of_origin(bs).alias("country_of_origin"),
-    ]
+#: Columns that a field is extracted to, where not one of its name.
+PARTS = {"brand_name": ["brand_candidates", "brand_prominent"]}
 
 
-def extract_fields(blocks: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+@built_once
+def field_columns(by_reference: bool) -> dict[str, Column]:
+    bs, combined = F.col("bs"), F.col("combined")
+    return {
+        "brand_candidates": brand_candidates(bs),
+        "brand_prominent": prominent_brand(bs),
+        "class_type": class_type(bs, combined),
+        "alcohol_pct": alcohol_pct(bs, combined),
+        "proof": proof(bs, combined),
+        "net_contents": net_contents(bs, combined),
+        "government_warning": warning_by_reference(bs) if by_reference else warning_by_anchor(bs),
+        "bottler": bottler(bs, F.col("combined_stripped")),
+        "country_of_origin": country_of_origin(bs),
+    }
+
+
+def extract_fields(
+    blocks: DataFrame, cfg: RuleConfig = DEFAULT, fields: Sequence[str] = tuple(READS)
+) -> DataFrame:
     """Block table to one row per label. The brand stays open until the application is
-    known: ``brand_candidates`` and ``brand_prominent`` go into :func:`pick_brand`."""
-    labels = in_reading_order(block_tests(blocks, cfg))
-    return labels.select(
-        "label_id", "all_text", *field_columns(bool(cfg.required_statement.strip()))
-    )
+    known: ``brand_candidates`` and ``brand_prominent`` go into :func:`pick_brand`.
+
+    Of the ``fields`` asked for, all unless named; blocks travel with the tests these read. Spark drops
+    unused columns by itself, but not the parts of a struct that is gathered in an array.
+    """
+    by_reference = bool(cfg.required_statement.strip())
+    needs = READS if by_reference else READS_BY_ANCHOR
+    labels = in_reading_order(block_tests(blocks, cfg), sorted({c for f in fields for c in needs[f]}))
+    wanted = [c for f in READS if f in fields for c in PARTS.get(f, [f])]
+    made = field_columns(by_reference)
+    return labels.select("label_id", "all_text", *[made[c].alias(c) for c in wanted])
 
 
 def with_brand(labels: DataFrame, app_brand: Column | None = None) -> DataFrame:

@@ -872,6 +872,10 @@ def other_rules(cfg: RuleConfig) -> list[Column]:
 #: Categories of rules, in the order of their results.
 CATEGORIES = ("Identity", "Alcohol & contents", "Warning", "Origin", "Other")
 
+#: Extracted fields that the rules of a category read, where not all; the text of the label comes with any.
+#: A field that is left out raises an error if a rule reads it after all.
+READS = {OTHER: ("class_type",)}
+
 
 @built_once
 def rule_array(cfg: RuleConfig = DEFAULT, categories: tuple[str, ...] = CATEGORIES) -> Column:

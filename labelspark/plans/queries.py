@@ -26,7 +26,7 @@ from labelspark.operators import wordings as W
 from labelspark.plans import fixtures as T
 from labelspark.plans import planted as PL
 from labelspark.plans.verify import (
-    batch_report, batch_rows as rows_of_batch, join_labels, verify, verify_blocks, verify_rows,
+    batch_report, batch_rows as rows_of_batch, join_labels, verify, verify_blocks, verify_rows, without_unread,
 )
 from labelspark.sources import applications as A
 from labelspark.sources import application_file, store
@@ -60,14 +60,14 @@ def kept_blocks(spark, d):
     return U.deduplicate(found.drop("pass_id", "line_no"))
 
 
-def extracted(spark, d):
-    return E.extract_fields(kept_blocks(spark, d))
+def extracted(spark, d, names=tuple(E.READS)):
+    return E.extract_fields(kept_blocks(spark, d), fields=names)
 
 
-def fields(spark, d):
+def fields(spark, d, names=tuple(E.READS)):
     """Extracted fields with the brand settled against the application."""
     apps = applications(spark, d).select("label_id", F.col("brand_name").alias("wanted"))
-    return E.with_brand(extracted(spark, d).join(apps, "label_id"), F.col("wanted"))
+    return E.with_brand(extracted(spark, d, names).join(apps, "label_id"), F.col("wanted"))
 
 
 def checked(spark, d):
@@ -75,8 +75,11 @@ def checked(spark, d):
 
 
 def results(spark, d, category):
-    matched = join_labels(applications(spark, d), extracted(spark, d))
-    done = R.run_rules(E.with_brand(matched, F.col("brand_name_app")), categories=(category,))
+    reads = R.READS.get(category, tuple(E.READS))
+    matched = join_labels(applications(spark, d), extracted(spark, d, reads))
+    if "brand_name" in reads:
+        matched = E.with_brand(matched, F.col("brand_name_app"))
+    done = R.run_rules(without_unread(matched), categories=(category,))
     return R.explode_results(done).select(
         "label_id", "rule_id", "status", "message", "extracted_value", "app_value",
         "prefer_app_display",
@@ -224,7 +227,7 @@ def reading_order(spark, d):
 @query
 def label_text(spark, d):
     """Full text of a label in input order."""
-    return extracted(spark, d).select("label_id", "all_text")
+    return extracted(spark, d, ()).select("label_id", "all_text")
 
 
 # --- block tests ------------------------------------------------------------------------
@@ -252,7 +255,7 @@ def statement_order(spark, d):
 
 def one_field(name):
     def run(spark, d):
-        return extracted(spark, d).select(
+        return extracted(spark, d, (name,)).select(
             "label_id", F.col(f"{name}.value").alias("value"),
             F.array_join(f"{name}.bbox", ",").alias("bbox"),
         )
@@ -267,7 +270,7 @@ for _name in schemas.FIELDS[1:]:
 
 @query
 def field_brand_name(spark, d):
-    return fields(spark, d).select(
+    return fields(spark, d, ("brand_name",)).select(
         "label_id", F.col("brand_name.value").alias("value"),
         F.array_join("brand_name.bbox", ",").alias("bbox"),
     )
@@ -276,7 +279,8 @@ def field_brand_name(spark, d):
 @query
 def field_warning_by_anchor(spark, d):
     """The statement read without a configured wording."""
-    labels = E.extract_fields(kept_blocks(spark, d), replace(DEFAULT, required_statement=""))
+    cfg = replace(DEFAULT, required_statement="")
+    labels = E.extract_fields(kept_blocks(spark, d), cfg, ("government_warning",))
     return labels.select("label_id", F.col("government_warning.value").alias("value"))
 
 
@@ -530,7 +534,7 @@ def statement_words(spark, d):
     text = X.statement_norm(F.col("government_warning.value"))
     words = X.upper_words(F.col("normed"))
     return (
-        extracted(spark, d).select("label_id", text.alias("normed"), "all_text")
+        extracted(spark, d, ("government_warning",)).select("label_id", text.alias("normed"), "all_text")
         .select(
             "label_id", "normed", R.all_words_present(words, need).alias("all_present"),
             R.phrase_within_gap(words, "BIRTH DEFECTS").alias("in_order"),
@@ -572,7 +576,7 @@ def unknown_label_words(spark, d):
         .unionByName(spark.range(1).select(
             F.explode(X.upper_words(F.lit(REQUIRED_STATEMENT))).alias("word")))
     )
-    counted = ST.word_multiset(extracted(spark, d), "label_id", "all_text")
+    counted = ST.word_multiset(extracted(spark, d, ()), "label_id", "all_text")
     return ST.unknown_words(counted, lexicon)
 
 

@@ -30,11 +30,17 @@ def join_labels(applications: DataFrame, labels: DataFrame) -> DataFrame:
     empty = F.struct(F.lit("").alias("value"), F.lit(None).alias("bbox")).cast(FIELD)
     joined = as_application_side(applications).join(labels, "label_id", "left")
     none = F.array().cast(f"array<{FIELD}>")
-    defaults = {name: empty for name in schemas.FIELDS if name in labels.columns}
+    defaults = {name: empty for name in schemas.FIELDS}
     defaults |= {
         "all_text": F.lit(""), "brand_candidates": none, "brand_prominent": empty,
     }
-    return joined.withColumns({n: F.coalesce(n, v) for n, v in defaults.items()})
+    return joined.withColumns({n: F.coalesce(n, v) for n, v in defaults.items() if n in labels.columns})
+
+
+def without_unread(matched: DataFrame) -> DataFrame:
+    """Columns for the fields that were not extracted; whatever reads one fails."""
+    unread = {n: F.raise_error(F.lit(f"{n} was not extracted")).cast(FIELD) for n in schemas.FIELDS if n not in matched.columns}
+    return matched.withColumns(unread)
 
 
 def verify_blocks(
