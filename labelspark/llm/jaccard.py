@@ -13,6 +13,12 @@ least. A set keeps its first `spare` empty segments to itself, in an order all s
 similar sets agree in empty segments only, the last of these comes after `spare` others in both
 sets, so both send it, and no pair is lost.
 
+Of its filled segments a set sends the rarest only. All but H filled segments of a set are equal in a
+similar one, so in an order of segment subsets that all sets share, the first equal one is among the
+first H + 1 of both. Subsets are ordered by how often the rarest of their shingles is seen in all texts,
+counted in a table of fixed size; collisions there move cost, never results. Frequent lines are thus kept
+from bringing unlike sets together. Sets with fewer filled segments send them all, and their empty ones as above.
+
 Sets that meet are compared by parity sketches before any element travels: bit b tells whether
 an odd number of a set's elements hash to b. Two sketches differ in at most as many bits as
 their sets have unshared elements, so a pair over the allowance is refused without error.
@@ -44,6 +50,8 @@ SIGNATURE_COST, PAIR_COST = 1.0, 20.0
 AGREEMENT: float | None = None
 #: Sizes of a band differ by less than this factor.
 BAND_NUMERATOR, BAND_DENOMINATOR = 3, 2
+#: Places of the table in which shingles are counted.
+PLACES = 1 << 15
 #: Longs of a parity sketch. More refuse more unrelated pairs of long texts; results are the same.
 SKETCH_WORDS = 16
 #: Sets of a bucket's part: fuller buckets are compared in several parts.
@@ -120,8 +128,13 @@ def allocate(index: int, lo: int, hi: int, sets: int, percent: int, agreement: f
     return best[1]
 
 
-def signatures(elements: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a set's segment subsets that are sent, and of those subsets less one element."""
+def signatures(
+    elements: np.ndarray, band: Band, counts: np.ndarray | None = None, percent: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a set's segment subsets that are sent, and of those subsets less one element.
+
+    With `counts`, by place of a shingle, no more subsets are sent than similarity `percent` asks for.
+    """
     total_segments = band.segments + band.spare
     m = np.uint64(total_segments)
     segment = mix(elements, 1) % m
@@ -138,6 +151,17 @@ def signatures(elements: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray
     empty = cut[1:] == cut[:-1]
     empty[total_segments - band.deletions :] = False
     sent = ~empty | (np.cumsum(empty) > band.spare)
+    if counts is not None:
+        plain = total_segments - band.deletions
+        filled = np.flatnonzero(~empty[:plain])
+        unlike = min(len(elements) * (100 - percent) // percent, band.segments + band.deletions - 1)
+        need = max(unlike - 2 * band.deletions + 1, 0)
+        if need <= len(filled):
+            seen = counts[(elements[order][: cut[plain]] & np.uint64(PLACES - 1)).astype(np.int64)]
+            least = np.minimum.reduceat(seen, cut[filled]).astype(np.uint64) if len(filled) else np.empty(0, np.uint64)
+            rarest = np.argsort((least << np.uint64(24)) | (mix(sums[filled], 5) >> np.uint64(40)), kind="stable")
+            sent[filled[rarest[need:]]] = False
+            sent[:plain] &= ~empty[:plain]
     return mix(sums[sent], 3), mix(fewer, 3)
 
 
@@ -177,31 +201,46 @@ def _place() -> Column:
 
 
 def _least_shingles(docs: DataFrame, k: int, lows: np.ndarray) -> DataFrame:
-    """(band, a, b, c): each set's band and its least shingles by three hashes."""
+    """(band, a, b, c): each set's band and its least shingles by three hashes.
+
+    Band -1 has how many shingles of a task's sets (b) fall on each place (a).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, waiting, size = np.zeros(PLACES, np.int64), [], 0
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
                 elements = _elements(t, k)
+                waiting.append((elements & np.uint64(PLACES - 1)).astype(np.int64))
+                size += len(elements)
+                if size > PLACES:
+                    seen += np.bincount(np.concatenate(waiting), minlength=PLACES)
+                    waiting, size = [], 0
                 at = int(np.searchsorted(lows, len(elements), side="right")) - 1
                 if at >= 0:
                     out.append((at, *(_signed(int(mix(elements, salt).min())) for salt in (11, 12, 13))))
             yield batch_of(_LEAST, *(zip(*out) if out else [[]] * 4))
+        seen += np.bincount(np.concatenate([np.empty(0, np.int64), *waiting]), minlength=PLACES)
+        places = np.flatnonzero(seen)
+        yield batch_of(_LEAST, np.full(len(places), -1), places, seen[places], np.zeros(len(places), np.int64))
 
     return map_batches(docs.select("text"), run, "band long, a long, b long, c long")
 
 
-def _bands(docs: DataFrame, k: int, percent: int) -> list[Band]:
-    """Bands priced by how many sets they have and how often unlike sets agree; all texts are counted.
+def _bands(docs: DataFrame, k: int, percent: int) -> tuple[list[Band], np.ndarray]:
+    """Bands, and how many shingles fall on each place. Bands are priced by how many sets they have and how often unlike sets agree; all texts are counted.
 
     Two sets agree on a least shingle by chance J, their similarity. Pairs that agree by the first
     hash and by neither of the others are counted by inclusion and exclusion, J(1 - J)^2 on
     average: copies, which have to meet anyway, count as nothing, and unlike sets count as J.
     """
     limits = band_limits(percent)
-    least = _least_shingles(docs, k, np.array([lo for lo, _ in limits]))
-    groups = stored(least.groupBy("band", "a", "b", "c").agg(F.count("*").alias("n")))
+    least = stored(_least_shingles(docs, k, np.array([lo for lo, _ in limits])))
+    counts = np.zeros(PLACES, np.int64)
+    seen = least.where("band = -1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()
+    counts[seen.column("a").to_numpy()] = seen.column("n").to_numpy()
+    groups = stored(least.where("band >= 0").groupBy("band", "a", "b", "c").agg(F.count("*").alias("n")))
     pairs = F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
 
     def agreeing(*by: str) -> dict[int, float]:
@@ -215,11 +254,12 @@ def _bands(docs: DataFrame, k: int, percent: int) -> list[Band]:
         n = sets.get(i, 1)
         alike = one[i] - two[i] - other[i] + three[i] if i in one else 0.0
         out.append(allocate(i, lo, hi, n, percent, min(1.0, (alike + 1) / (n * (n - 1) / 2 + 1))))
-    return out
+    return out, counts
 
 
-def _signed_rows(docs: DataFrame, k: int, percent: int, bands: list[Band]) -> DataFrame:
+def _signed_rows(docs: DataFrame, k: int, percent: int, bands: list[Band], counts: np.ndarray) -> DataFrame:
     lows = np.array([b.lo for b in bands])
+    seen = docs.sparkSession.sparkContext.broadcast(counts)
 
     def of(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(elements)
@@ -229,7 +269,7 @@ def _signed_rows(docs: DataFrame, k: int, percent: int, bands: list[Band]) -> Da
         mine = [bands[at]]
         if at and bands[at - 1].hi * 100 >= n * percent:
             mine.append(bands[at - 1])
-        full, fewer = zip(*(signatures(elements, b) for b in mine))
+        full, fewer = zip(*(signatures(elements, b, seen.value, percent) for b in mine))
         return np.concatenate(full), np.concatenate(fewer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,14 +313,13 @@ def _representatives(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _buckets(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(signature, set, n, rank): sets that share a signature, numbered within it."""
+    """(signature, set, rank, size): sets that share a signature, numbered within it, and how many they are."""
     sent = _representatives(signed, classes).select("set", F.explode(F.concat("full", "fewer")).alias("signature"))
-    order = Window.partitionBy("signature").orderBy("set")
+    whole = Window.partitionBy("signature")
     numbered = sent.select(
-        "signature", "set", F.row_number().over(order).alias("rank"), F.lead("set").over(order).alias("next")
+        "signature", "set", F.row_number().over(whole.orderBy("set")).alias("rank"), F.count("*").over(whole).cast("int").alias("size")
     )
-    shared = numbered.where("rank > 1 or next is not null").drop("next")
-    return shared.join(classes.select("set", "n"), "set").select("signature", "set", "n", "rank")
+    return numbered.where("size > 1").join(classes.select("set"), "set", "left_semi")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -335,14 +374,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(with_both.select("u", "v", "eu", "ev"), run, "u long, v long")
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets whose sets are not in one component yet, with label and the bucket's size."""
-    if labels is None:
-        named = buckets.withColumn("label", F.col("set"))
-    else:
-        named = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
-            "label", F.coalesce("label", "set")
-        )
+    named = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(
+        "label", F.coalesce("label", "set")
+    )
     open_ = named.groupBy("signature").agg(
         F.min("label").alias("a"), F.max("label").alias("b"), F.max("rank").alias("size")
     ).where("a < b")
@@ -382,7 +418,7 @@ def _labels(docs: DataFrame, classes: DataFrame, buckets: DataFrame, sketches: D
     """
     links = tested = sets = labels = None
     low, high = 1, 2
-    active = _open(buckets, None)
+    active = buckets.withColumn("label", F.col("set"))
     while True:
         pairs = _met(active, sketches, low, high, percent)
         if tested is not None:
@@ -402,7 +438,8 @@ def _labels(docs: DataFrame, classes: DataFrame, buckets: DataFrame, sketches: D
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links)
-                active = _open(active.drop("label", "size"), labels)
+                # all pairs of a bucket of `high` sets are tested
+                active = _open(active.where(F.col("size") > high).drop("label", "size"), labels)
         low, high = high, high * 8
         last = active.agg(F.max("rank")).first()[0]
         if last is None or last <= low:
@@ -422,8 +459,8 @@ def similar_rows(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Equal sets are one class from the start, found with a map-side aggregate, so copies cost
     one comparison. Elements are 64-bit hashes of shingles, classes 128-bit hashes of sets.
     """
-    bands = _bands(docs, k, percent)
-    signed = stored(_signed_rows(docs, k, percent, bands).withColumn("row", F.monotonically_increasing_id()))
+    bands, counts = _bands(docs, k, percent)
+    signed = stored(_signed_rows(docs, k, percent, bands, counts).withColumn("row", F.monotonically_increasing_id()))
     rows = stored(signed.drop("full", "fewer"))
     classes = stored(
         rows.where("n_shingles > 0").withColumn("place", _place()).groupBy("hi", "lo").agg(
@@ -433,10 +470,10 @@ def similar_rows(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     )
     buckets = stored(_buckets(signed, classes))
     release(signed)
-    met = classes.join(buckets.select("set").distinct(), "set", "left_semi").select("set")
+    met = classes.join(buckets.select("set").distinct(), "set", "left_semi").select("set", "n")
     sketches = stored(
-        rows.withColumnRenamed("row", "set").join(met, "set", "left_semi")
-        .select("set", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
+        rows.withColumnRenamed("row", "set").join(met, "set")
+        .select("set", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
     )
     release()
     labels = _labels(docs, classes, buckets, sketches, k, percent)
