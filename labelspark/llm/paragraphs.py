@@ -254,7 +254,7 @@ def _banded(docs: DataFrame, s: ParagraphSettings) -> DataFrame:
 
 
 def _buckets(banded: DataFrame) -> DataFrame:
-    """(band, key, rank): keys of bands that hold several, numbered within the band.
+    """(band, key, rank, size): keys of bands that hold several, numbered within the band, and how many they are.
 
     A band whose keys all stand in one and the same row, and do not lie apart there, links nothing
     and is left out. The paragraphs of a row and band have the same mark.
@@ -267,7 +267,8 @@ def _buckets(banded: DataFrame) -> DataFrame:
         F.max("key").over(whole).alias("last"), F.min("mark").over(whole).alias("a"), F.max("mark").over(whole).alias("b"),
     )
     several = "(rank > 1 or key < last) and (a < b or b % 2 = 1)"
-    return rows.where(f"(before is null or before < key) and {several}").select("band", "key", "rank")
+    sized = rows.where(several).withColumn("size", F.max("rank").over(whole))
+    return sized.where("before is null or before < key").select("band", "key", "rank", "size")
 
 
 def _sets(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,12 +339,9 @@ def _sketches(sets: DataFrame) -> DataFrame:
     )
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the bands whose keys are not in one component yet, with label and the band's size."""
-    if labels is None:
-        named = buckets.withColumn("label", F.col("key"))
-    else:
-        named = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_ = named.groupBy("band").agg(
         F.min("label").alias("a"), F.max("label").alias("b"), F.max("rank").alias("size")
     ).where("a < b")
@@ -394,7 +392,8 @@ def _labels(active: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links).withColumnRenamed("node", "key")
-                old, active = active, _open(active.drop("label", "size"), labels)
+                # all pairs of a band of `high` keys are tested
+                old, active = active, _open(active.where(F.col("size") > high).drop("label", "size"), labels)
                 release(old)
         low, high = high, high * 8
         last = active.agg(F.max("rank")).first()[0]
@@ -441,9 +440,7 @@ def repeated_paragraphs(docs: DataFrame, settings: ParagraphSettings = Paragraph
     release()
     sets = _shingles_of(docs, buckets.select("key").distinct(), s)
     sketches = stored(_sketches(sets))
-    active = _open(buckets, None)
-    release(buckets)
-    labels = stored(_labels(active, sketches, sets, s.percent))
+    labels = stored(_labels(buckets.withColumn("label", F.col("key")), sketches, sets, s.percent))
     release(sets, sketches)
     spans = stored(_occurrences(docs, s))
     classes = spans.groupBy("key", "check").agg(
