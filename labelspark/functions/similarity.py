@@ -5,16 +5,22 @@ computed bit-parallel on bigint limbs of 62 bits, one step per character of the
 longer text, so it stays on the JVM and never builds a table. Threshold tests
 are settled by length and the built-in ``levenshtein`` wherever these already
 decide: an edit distance d means between d and 2d insertions and deletions.
+
+Where a query compares many rows, a ``Reading`` holds both texts prepared once and the LCS lengths,
+which numpy finds for whole batches many times as fast.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelspark.config import CONFUSABLE_PAIRS, DEFAULT, RuleConfig
+from labelspark.functions.subsequence import batch_lcs
 from labelspark.functions.text import (
-    chars, let, norm, ocr_fold, strip_edges, tokenize,
+    chars, let, norm, ocr_fold, strip_edges, tokenize, tokens_of,
 )
 
 LIMB = 62
@@ -136,12 +142,12 @@ def lcs_length(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), body)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Similarity between 0 and 1."""
+def ratio(a: Column, b: Column, common: Column | None = None) -> Column:
+    """Similarity between 0 and 1; ``common`` is the length of the LCS where it is known."""
     def body(p):
         total = F.length(p["a"]) + F.length(p["b"])
         return F.when(p["a"] == p["b"], F.lit(1.0)).otherwise(
-            lcs_length(p["a"], p["b"]) * F.lit(2.0) / total
+            (lcs_length(p["a"], p["b"]) if common is None else common) * F.lit(2.0) / total
         )
 
     return let(F.struct(a.alias("a"), b.alias("b")), body)
@@ -196,17 +202,47 @@ def ratio_from(a: Column, b: Column, pct: int) -> Column:
 
 
 def sort_words(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+    return F.array_join(F.sort_array(F.split(c, " ")), " ")
+
+
+def text_form(c: Column) -> Column:
+    """A text as comparisons read it: normal and lower-case, with misread digits ``folded``, and the tokens of both."""
+    def body(p):
+        folded = F.when(p["folded"] == p["text"], p["tokens"]).otherwise(F.transform(p["tokens"], ocr_fold))
+        return F.struct(p["text"], p["folded"], p["tokens"], folded.alias("folded_tokens"))
+
+    return let(
+        F.lower(norm(c)),
+        lambda t: let(F.struct(t.alias("text"), ocr_fold(t).alias("folded"), tokens_of(t).alias("tokens")), body),
+    )
+
+
+def common_lengths(a: Column, b: Column) -> Column:
+    """LCS lengths of two ``text_form``s, as they are (``plain``) and with words in order (``sorted``).
+
+    A Python function over batches: it cannot stand inside a lambda.
+    """
+    a, b = a["text"], b["text"]
+    return F.struct(batch_lcs(a, b).alias("plain"), batch_lcs(sort_words(a), sort_words(b)).alias("sorted"))
+
+
+@dataclass(frozen=True)
+class Reading:
+    """Columns that hold the ``text_form`` of both texts of a comparison and their ``common_lengths``."""
+    a: Column
+    b: Column
+    common: Column
 
 
-def similarity(a: Column, b: Column) -> Column:
+def similarity(a: Column, b: Column, known: Reading | None = None) -> Column:
     """Case- and space-insensitive ratio; 0 when either side is empty."""
     def body(p):
         return F.when((p["a"] == "") | (p["b"] == ""), F.lit(0.0)).otherwise(
-            ratio(p["a"], p["b"])
+            ratio(p["a"], p["b"], known and known.common["plain"])
         )
 
-    return let(F.struct(F.lower(norm(a)).alias("a"), F.lower(norm(b)).alias("b")), body)
+    a, b = (known.a["text"], known.b["text"]) if known else (F.lower(norm(a)), F.lower(norm(b)))
+    return let(F.struct(a.alias("a"), b.alias("b")), body)
 
 
 def brand_similarity(a: Column, b: Column) -> Column:
@@ -222,6 +258,18 @@ def brand_similarity(a: Column, b: Column) -> Column:
     return let(F.struct(F.lower(norm(a)).alias("a"), F.lower(norm(b)).alias("b")), body)
 
 
+def tokens_near(app_tokens: Column, label_tokens: Column, pct: int) -> Column:
+    """Whether each application token has a label token near enough for a ratio of ``pct``, up to the first without.
+
+    Insertions and deletions are no fewer than edits, so a token without one here has none that reaches ``pct``.
+    """
+    def near(t, w):
+        budget = F.floor((F.length(t) + F.length(w)) * (100 - pct) / 100).cast("int")
+        return F.call_function("levenshtein", t, w, budget) >= 0
+
+    return F.forall(app_tokens, lambda t: F.exists(label_tokens, lambda w: near(t, w)))
+
+
 def best_token_scores(app_tokens: Column, label_tokens: Column, pct: int) -> Column:
     """For each application token, its best ratio to a label token that reaches ``pct``.
 
@@ -249,12 +297,16 @@ def _outcome(score: Column | float, reason: str) -> Column:
     return F.struct(value.alias("score"), F.lit(reason).alias("reason"))
 
 
-def smart_match(app: Column, label: Column, cfg: RuleConfig = DEFAULT) -> Column:
+def smart_match(app: Column, label: Column, cfg: RuleConfig = DEFAULT, known: Reading | None = None) -> Column:
     """Score of an application value against a label value with the deciding reason."""
     generic = list(cfg.generic_tokens)
 
     def contained(a, b):
-        return F.size(F.array_except(a, b)) == 0
+        return F.forall(a, lambda t: F.array_contains(b, t))
+
+    def misread(p):
+        """Whether folding changes a text; where it does not, the tokens as they are have told already."""
+        return (p["af"] != p["a"]) | (p["bf"] != p["b"])
 
     def reverse(p, suffix_partial, suffix_generic, reason):
         return (
@@ -265,49 +317,50 @@ def smart_match(app: Column, label: Column, cfg: RuleConfig = DEFAULT) -> Column
             .otherwise(_outcome(0.90, reason))
         )
 
+    def closest(p):
+        if known is None:
+            return best_ratio((p["a"], p["b"]), (sort_words(p["a"]), sort_words(p["b"])))
+        # sorting moves words only, so the lengths stay
+        most = F.greatest(known.common["plain"], known.common["sorted"])
+        return most * F.lit(2.0) / (F.length(p["a"]) + F.length(p["b"]))
+
     def fuzzy(p):
         def decide(worst):
             return F.when(
                 worst * 100 >= cfg.fuzzy_token_pct,
                 _outcome(F.greatest(F.lit(0.88), worst * 0.95), "fuzzy_token"),
-            ).otherwise(
-                _outcome(
-                    best_ratio((p["a"], p["b"]), (sort_words(p["a"]), sort_words(p["b"]))),
-                    "fuzzy_ratio",
-                )
-            )
+            ).otherwise(_outcome(closest(p), "fuzzy_ratio"))
 
-        scores = best_token_scores(p["at"], p["bt"], cfg.fuzzy_token_pct)
-        return let(F.array_min(scores), decide)
+        worst = F.when(
+            tokens_near(p["at"], p["bt"], cfg.fuzzy_token_pct),
+            F.array_min(best_token_scores(p["at"], p["bt"], cfg.fuzzy_token_pct)),
+        ).otherwise(F.lit(0.0))
+        return let(worst, decide)
 
     def body(p):
         return (
             F.when((p["a"] == "") | (p["b"] == ""), _outcome(0.0, "empty"))
             .when(p["a"] == p["b"], _outcome(1.0, "exact"))
-            .when(ocr_fold(p["a"]) == ocr_fold(p["b"]), _outcome(1.0, "exact_ocr_normalized"))
+            .when(p["af"] == p["bf"], _outcome(1.0, "exact_ocr_normalized"))
             .when((F.size(p["at"]) == 0) | (F.size(p["bt"]) == 0),
                   _outcome(0.0, "empty_tokens"))
             .when(contained(p["at"], p["bt"]), _outcome(0.95, "token_containment"))
-            .when(contained(p["ao"], p["bo"]),
+            .when(misread(p) & contained(p["ao"], p["bo"]),
                   _outcome(0.95, "token_containment_ocr_normalized"))
             .when(contained(p["bt"], p["at"]), reverse(p, "", "", "reverse_containment"))
-            .when(contained(p["bo"], p["ao"]),
+            .when(misread(p) & contained(p["bo"], p["ao"]),
                   reverse(p, "_ocr", "_ocr", "reverse_containment_ocr_normalized"))
             .when(F.contains(p["b"], p["a"]) | F.contains(p["a"], p["b"]),
                   _outcome(0.92, "substring"))
             .otherwise(fuzzy(p))
         )
 
-    at, bt = tokenize(app), tokenize(label)
-    bound = F.struct(
-        F.lower(norm(app)).alias("a"),
-        F.lower(norm(label)).alias("b"),
-        at.alias("at"),
-        bt.alias("bt"),
-        F.transform(at, ocr_fold).alias("ao"),
-        F.transform(bt, ocr_fold).alias("bo"),
-    )
-    return let(bound, body)
+    def named(f):
+        held = {"": "text", "f": "folded", "t": "tokens", "o": "folded_tokens"}
+        return body({name + k: f[name][field] for name in "ab" for k, field in held.items()})
+
+    a, b = (known.a, known.b) if known else (text_form(app), text_form(label))
+    return let(F.struct(a.alias("a"), b.alias("b")), named)
 
 
 def confusable(a: Column, b: Column, cfg: RuleConfig = DEFAULT) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 #: The characters of ``SPACE`` in Unicode, for trimming without a pattern.
 SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-EDGE_PUNCTUATION = r"""^[.,;:!?'"()]+|[.,;:!?'"()]+$"""
+PUNCTUATION = """.,;:!?'"()"""
+EDGE_PUNCTUATION = rf"""^[{PUNCTUATION}]+|[{PUNCTUATION}]+$"""
 
 
 def built_once(fn):
@@ -64,11 +65,15 @@ def strip_edges(c: Column) -> Column:
     return F.regexp_replace(c, EDGE_PUNCTUATION, "")
 
 
+def tokens_of(normed: Column) -> Column:
+    """``tokenize`` for a text that is normal and lower-case already."""
+    trimmed = F.transform(F.split(normed, " "), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    return F.filter(trimmed, lambda t: t != "")
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case words without punctuation at the edges."""
-    return F.filter(
-        F.transform(F.split(F.lower(norm(c)), " "), strip_edges), lambda t: t != ""
-    )
+    return tokens_of(F.lower(norm(c)))
 
 
 def chars(c: Column) -> Column:

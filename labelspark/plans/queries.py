@@ -493,11 +493,14 @@ def block_similarity(spark, d):
     lines = T.label_blocks(spark, d).select(
         (F.expr("cast(substring(label_id, 2) as bigint)") - 1).alias("k"), "pass_id", "line_no", F.col("text").alias("line"),
     )
-    both = T.submitted(spark, d).select("k", "label_id", "brand_name").join(lines, "k")
-    m = S.smart_match(F.col("brand_name"), F.col("line"))
+    # a brand meets many blocks, so its form is made before the join
+    apps = T.submitted(spark, d).select("k", "label_id", "brand_name", S.text_form(F.col("brand_name")).alias("a"))
+    both = apps.join(lines, "k").withColumn("b", S.text_form(F.col("line")))
+    both = both.withColumn("common", S.common_lengths(F.col("a"), F.col("b")))
+    pair, known = (F.col("brand_name"), F.col("line")), S.Reading(F.col("a"), F.col("b"), F.col("common"))
     return both.select(
         "label_id", "pass_id", "line_no",
-        F.round(S.similarity(F.col("brand_name"), F.col("line")), 6).alias("ratio"), m.alias("m"),
+        F.round(S.similarity(*pair, known=known), 6).alias("ratio"), S.smart_match(*pair, known=known).alias("m"),
     ).select("label_id", "pass_id", "line_no", "ratio", F.round("m.score", 6).alias("score"), "m.reason")
 
 
