@@ -493,9 +493,9 @@ def block_similarity(spark, d):
     lines = T.label_blocks(spark, d).select(
         (F.expr("cast(substring(label_id, 2) as bigint)") - 1).alias("k"), "pass_id", "line_no", F.col("text").alias("line"),
     )
-    # a brand meets many blocks, so its form is made before the join
+    # a brand meets many blocks, so its form is made before the join; the rows it makes wide are not to be broadcast
     apps = T.submitted(spark, d).select("k", "label_id", "brand_name", S.text_form(F.col("brand_name")).alias("a"))
-    both = apps.join(lines, "k").withColumn("b", S.text_form(F.col("line")))
+    both = apps.hint("merge").join(lines, "k").withColumn("b", S.text_form(F.col("line")))
     both = both.withColumn("common", S.common_lengths(F.col("a"), F.col("b")))
     pair, known = (F.col("brand_name"), F.col("line")), S.Reading(F.col("a"), F.col("b"), F.col("common"))
     return both.select(
